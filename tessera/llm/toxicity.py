@@ -1,8 +1,9 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-A logistic model over the presence of words is fitted on at most
-``max_labelled`` labelled rows of each class (a documented bound; which ones, a
-hash of the id decides). In every labelled sentence with an identity term the
+A logistic model over the presence of words and of pieces of words (five bytes,
+of which the first may be the place before the word, so that inflected and
+compound insults are met too) is fitted on at most ``max_labelled`` labelled
+rows of each class (a documented bound; which ones, a hash of the id decides). In every labelled sentence with an identity term the
 term is swapped for the others of its group, and the change of score is
 penalised: with linear scores that is ``(w_term - w_other)**2`` for each swap.
 Identity terms so get one weight a group at most, and neutral mentions of a
@@ -28,15 +29,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm.common import cut, steps, word_hashes
+from tessera.llm.common import _IS_WORD, cut, steps, utf8, word_hashes
 
 MAX_LABELLED = 10_000
 MAX_WORDS = 2_048
 MIN_TEXTS = 3
+#: Chi-square of a word's two-by-two table from which on its difference between the classes is no chance among so many words.
+LEAST_CHI_SQUARE = 20.0
 COUNTERFACTUAL = 10.0
-RIDGE = 1e-3
+RIDGE = 1e-5
+#: Toxic texts weigh as if they were at least this share: one that is missed costs more than their rarity says.
+LEAST_SHARE = 0.25
 HELD_OUT_OF = 5
 
 #: Groups of terms that may stand for one another in a neutral sentence.
@@ -53,46 +59,87 @@ IDENTITY_GROUPS = (
 )
 
 
+PIECE = 5
+_SEGMENT = 1 << 20
+
+
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, feature) of all words and pieces, with repetitions, some at a time."""
+    hashes, at = word_hashes(texts)
+    yield np.repeat(np.arange(len(texts)), np.diff(at)), hashes | np.uint64(1 << 63)
+    data, offsets = utf8(pc.utf8_lower(pc.fill_null(texts, "")))
+    for first in range(0, len(data) - PIECE + 1, _SEGMENT):
+        part = data[first : first + _SEGMENT + PIECE - 1]
+        word = _IS_WORD[part]
+        n = len(part) - PIECE + 1
+        ok = np.ones(n, bool)
+        key = np.zeros(n, np.uint64)
+        plain = np.where(word, part, np.uint8(32)).astype(np.uint64)
+        for k in range(PIECE):
+            key = (key << np.uint64(8)) | plain[k : k + n]
+            if k:
+                ok &= word[k : k + n]
+        inner = offsets[1:-1] - first
+        inner = inner[(inner > 0) & (inner < len(part))]
+        for k in range(1, PIECE):  # not across two texts
+            over = inner - k
+            ok[over[(over >= 0) & (over < n)]] = False
+        place = np.flatnonzero(ok)
+        yield np.searchsorted(offsets, place + first, "right") - 1, key[place]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    words: np.ndarray  # hashes, ascending
+    words: np.ndarray  # features, ascending
     weights: np.ndarray
     intercept: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        hashes, at = word_hashes(texts)
         out = np.full(len(texts), self.intercept)
-        if len(self.words) and len(hashes):
-            place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            known = np.flatnonzero(self.words[place] == hashes)
-            owner = np.searchsorted(at, known, "right") - 1
-            pairs = np.unique(owner * len(self.words) + place[known])
-            np.add.at(out, pairs // len(self.words), self.weights[pairs % len(self.words)])
+        if not len(self.words):
+            return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        table = np.zeros(1 << 16, bool)
+        table[_slot(self.words)] = True
+        pairs = [np.empty(0, np.int64)]
+        for owner, keys in features(texts):
+            near = np.flatnonzero(table[_slot(keys)])
+            place = np.minimum(np.searchsorted(self.words, keys[near]), len(self.words) - 1)
+            known = self.words[place] == keys[near]
+            pairs.append(np.unique(owner[near[known]] * len(self.words) + place[known]))
+        found = np.unique(np.concatenate(pairs))
+        np.add.at(out, found // len(self.words), self.weights[found % len(self.words)])
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.intp)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % HELD_OUT_OF == 0, F.lit(False))
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, distinct word hashes) of (label, text)."""
+    """(label, distinct features) of (label, text)."""
     for whole in batches:
         for batch in steps(whole):
-            hashes, at = word_hashes(batch.column(1))
-            sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            own: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+            for owner, keys in features(batch.column(1)):
+                at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+                for i in range(batch.num_rows):
+                    own[i].append(np.unique(keys[at[i] : at[i + 1]]))
+            sets = [np.unique(np.concatenate(x)).tobytes() for x in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["label", "words"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each word of a task, in how many clean and toxic texts it stands."""
-    table: dict[int, list[int]] = {}
     counts = (Counter(), Counter())
     for batch in batches:
         for label, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[label].update(np.frombuffer(words, np.uint64).tolist())
     keys = np.array(sorted({*counts[0], *counts[1]}), np.uint64)
-    del table
     for at in range(0, len(keys), 100_000):
         part = keys[at : at + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), *[pa.array([c[k] for k in part.tolist()], pa.int64()) for c in counts]], names=["word", "clean", "toxic"])
@@ -108,7 +155,7 @@ def _numbers(chosen: np.ndarray):
 
 
 def identity_hashes() -> list[np.ndarray]:
-    return [word_hashes(pa.array(g))[0] for g in IDENTITY_GROUPS]
+    return [word_hashes(pa.array(g))[0] | np.uint64(1 << 63) for g in IDENTITY_GROUPS]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS, min_texts: int = MIN_TEXTS, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE) -> ToxicityModel:
@@ -124,23 +171,25 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = known.where("label = 1").orderBy(*order).limit(max_labelled).unionByName(known.where("label = 0").orderBy(*order).limit(max_labelled))
     ids = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)  # at most 2 * max_labelled ids and labels
     source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "_id")
-    sets = cut(source.select("label", "text").mapInArrow(_word_sets, "label int, words binary"))
+    sets = source.select("label", "text").mapInArrow(_word_sets, "label int, words binary")
+    sets = cut(sets.dropDuplicates(["label", "words"]))  # copies of a sentence teach once
     counts = sets.mapInArrow(_count, "word long, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = {r["label"]: r["count"] for r in sets.groupBy("label").count().collect()}
     n0, n1 = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
-    a, b = F.col("clean") / n0, F.col("toxic") / n1
-    gain = (a - b) * (a - b) / (a + b)  # chi-square of two classes of equal weight
-    best = counts.where(F.col("clean") + F.col("toxic") >= min_texts).orderBy(gain.desc(), "word").limit(max_words).select("word").collect()
+    a, b = F.col("clean").cast("double"), F.col("toxic").cast("double")
+    cross = a * (n1 - b) - b * (n0 - a)
+    chi = (n0 + n1) * cross * cross / (F.lit(float(n0) * n1) * (a + b) * F.greatest(n0 + n1 - a - b, F.lit(1.0)))
+    best = counts.where((a + b >= min_texts) & (chi >= LEAST_CHI_SQUARE)).orderBy(chi.desc(), "word").limit(max_words).select("word").collect()
     groups = identity_hashes()
     chosen = np.unique(np.concatenate([np.array([r["word"] for r in best], np.int64).view(np.uint64), *groups]))
     rows = sets.mapInArrow(_numbers(chosen), "label int, numbers binary").collect()
     y = np.array([r["label"] for r in rows], np.float64)
     features = [np.frombuffer(r["numbers"], "<u2").astype(np.int64) for r in rows]
-    weights, intercept = _fit(features, y, len(chosen), [np.searchsorted(chosen, g) for g in groups], counterfactual, ridge, prior)
+    weights, intercept = _fit(features, y, len(chosen), [np.searchsorted(chosen, g) for g in groups], counterfactual, ridge, max(prior, LEAST_SHARE))
     return ToxicityModel(chosen, weights, intercept)
 
 
-def _fit(features: list[np.ndarray], y: np.ndarray, size: int, groups: list[np.ndarray], counterfactual: float, ridge: float, prior: float, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _fit(features: list[np.ndarray], y: np.ndarray, size: int, groups: list[np.ndarray], counterfactual: float, ridge: float, prior: float, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Weights that minimise the log loss (classes weighed as ``prior`` says), a ridge, and the squared score change of every swap."""
     n = len(features)
     flat = np.concatenate(features) if n else np.empty(0, np.int64)
