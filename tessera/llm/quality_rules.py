@@ -73,7 +73,14 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
+    """Words of a text: once its ends are trimmed, splitting leaves no empty word."""
+    trimmed = F.btrim(text, F.lit(SPACE_CHARS))
+    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE, -1))
+
+
+def count_of(text: Column, characters: str) -> Column:
+    """How many of ``characters`` a text has."""
+    return F.regexp_count(text, F.lit(f"[{characters}]")).cast("long")
 
 
 def repeated_window_words(words: Column, size: int = 5) -> Column:
@@ -100,8 +107,9 @@ def repeated_window_words(words: Column, size: int = 5) -> Column:
         return let(pairs, lambda s: let(places(s), union))
 
     def windows(w: Column) -> Column:
-        spans = F.sequence(F.lit(0), F.size(w) - size)
-        return F.transform(spans, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+        """Words are hashed once, windows are hashes of word hashes; those that reach beyond the end are cut off."""
+        hashes = F.transform(w, lambda x: F.xxhash64(x))
+        return let(hashes, lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, size)])), F.lit(1), F.size(h) - (size - 1)))
 
     def count(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long"))
@@ -109,22 +117,24 @@ def repeated_window_words(words: Column, size: int = 5) -> Column:
     return let(words, lambda w: F.when(F.size(w) < size + 1, F.lit(0).cast("long")).otherwise(let(windows(w), count)))
 
 
+#: A stop word as it stands in running text.
+STOP_FORMS = sorted({form for w in STOP_WORDS for x in (w, w.capitalize()) for form in (x, f"{x},", f"{x}.")})
+
+
 def measures(text: Column) -> dict[str, Column]:
-    """All measures of a text that is not null."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return {
-        "word_chars": F.length(F.translate(text, SPACE_CHARS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_shouts": (F.length(text) - F.length(F.translate(text, SHOUT_MARKS, ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "words": F.struct(
-            F.size(words_of(text)).cast("long").alias("n"),
-            repeated_window_words(words_of(text)).alias("repeated"),
-            F.size(F.filter(words_of(F.translate(F.lower(text), ".,;:", "")), lambda w: F.array_contains(stops, w))).cast("long").alias("stops"),
-        ),
-    }
+    """All measures of a text that is not null; its words are split once."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("repeated")))
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n"),
+            F.length(F.array_join(w, "")).cast("long").alias("chars"),
+            repeated_window_words(w).alias("repeated"),
+            F.size(F.filter(w, lambda x: x.isin(STOP_FORMS))).cast("long").alias("stops"),
+        )
+
+    return {"n_symbols": count_of(text, SYMBOLS), "n_shouts": count_of(text, SHOUT_MARKS), "_lines": of_lines, "_words": let(words_of(text), of_words)}
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -133,8 +143,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     ``kept`` is false for a text that breaks any rule of the table.
     """
     known = measures(F.coalesce(F.col(text), F.lit("")))
-    out = docs.withColumns({"word_chars": known["word_chars"], "n_symbols": known["n_symbols"], "n_shouts": known["n_shouts"], "n_dup_lines": known["n_dup_lines"], "n_lines": known["n_lines"], "_words": known["words"]})
-    out = out.withColumns({"n_words": F.col("_words.n"), "n_repeat_words": F.col("_words.repeated"), "n_stop_words": F.col("_words.stops")}).drop("_words")
+    out = docs.withColumns(known)
+    out = out.withColumns({"n_words": F.col("_words.n"), "word_chars": F.col("_words.chars"), "n_repeat_words": F.col("_words.repeated"), "n_stop_words": F.col("_words.stops"), "n_lines": F.col("_lines.n"), "n_dup_lines": F.col("_lines.repeated")}).drop("_words", "_lines")
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     ratios = {
         "n_words": F.col("n_words"),

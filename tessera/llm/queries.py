@@ -66,4 +66,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_toxicity, op7_quality_rules, op8_best_fit_packing, op9_chat_formatting, op10_url_filters,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in quality_rules.STOP_FORMS)
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS five FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS c FROM g) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+             length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_shouts, len(ls) AS n_lines,
+             len(list_filter(ws, lambda x: x IN ({_STOPS}))) AS n_stops
+      FROM w LEFT JOIN covered USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars / n_words < 1.5 OR word_chars / n_words > 20 OR n_symbols / n_words > 0.3
+            OR n_shouts / n_words > 0.3 OR n_dup_lines / greatest(n_lines, 1) > 0.5 OR (n_words >= 100 AND n_stops / n_words < 0.01)) AS kept
+FROM f
+"""
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
