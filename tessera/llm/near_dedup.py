@@ -10,14 +10,14 @@ shingles, banded, verified by weighted Jaccard similarity.
    would take such copies apart.
 3. Each text gets ``BANDS * ROWS`` consistent samples; texts whose samples agree
    in a band share a bucket.
-4. A bucket is linked as a star around its least node, never as all pairs; links
-   whose samples agree too rarely to be 0.8 similar are left out, and the rest
-   are verified on whole texts.
-5. Buckets that still hold more than one component are worked on: up to
-   ``PAIR_LIMIT`` nodes by the pairs between different components, larger ones by
-   a further band as key, and what is large after ``DEPTH`` bands by the pairs
-   between components, whatever their number. So no bucket is capped.
-6. Components come from min-label propagation in Spark, with every round
+4. A bucket of up to ``PAIR_LIMIT`` nodes gives its pairs, a larger one a star
+   around its least node, never all pairs. Links whose samples agree too rarely
+   to be 0.8 similar are left out, and the rest are verified on whole texts.
+5. Large buckets that still hold more than one component are keyed by a further
+   band and worked on in the same way; what is large after ``DEPTH`` bands gives
+   the pairs between its components, whatever their number. So no bucket is
+   capped.
+6. Components come from hooking and pointer jumping in Spark, with every round
    written to the shared checkpoint folder.
 
 Defined results: null text equals empty text; texts without a word are alike
@@ -44,8 +44,10 @@ SKETCH_PARTS = 16
 IDF_SPREAD = 0.1
 #: Samples that agree for a link to be worth verifying; of 48, texts 0.8 alike have fewer than this once in 10**7 times.
 LEAST_AGREEING = 24
-PAIR_LIMIT = 256
-DEPTH = 3
+PAIR_LIMIT = 24
+DEPTH = 2
+#: Texts that are fetched by sending their names (24 bytes each) to the tasks; more are fetched by a shuffle.
+BROADCAST_NAMES = 250_000
 
 _RNG = np.random.Generator(np.random.PCG64(404))
 _KEYS = _RNG.integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
@@ -157,15 +159,15 @@ def _signer(factors):
                     bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * _KEYS[ROWS, 0])
                 some = np.diff(at) > 0
                 bands = pa.array([b if ok else None for b, ok in zip(bands.view(np.int64), some, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "node", "bands", "samples"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array([x.tobytes() for x in found.astype(np.uint8)], pa.binary())], names=["doc_id", "node", "bands", "samples"])
 
     return signed
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) whose samples agree often enough."""
+    """Links (a, b) whose samples, a byte of each, agree often enough."""
     for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
+        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
         kept = pa.array((left == right).sum(axis=1) >= LEAST_AGREEING)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(kept)
 
@@ -200,21 +202,25 @@ def _verifier(factors, threshold: float):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes of undirected ``links`` (a, b): the component's name is its least node.
+    """(node, component) of all nodes of undirected ``links`` (a, b): a component's name is its least node.
 
-    Labels go to the neighbours' least, then to the label's own label, until none changes; a star takes two rounds.
+    Nodes start with their least neighbour. Links between different labels are a smaller graph, whose labels hook to their
+    least neighbour and jump to where that one hooks, until no such link is left; a star needs no round.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    pairs = links.select("a", "b").distinct()
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = cut(step.join(jump, "component", "left").select("node", "old", F.least("component", "further").alias("component")))
-        changed = step.where(F.col("old") != F.col("component")).limit(1).count()
-        labels = step.select("node", "component")
-        if not changed:
+        left, right = labels.toDF("a", "la"), labels.toDF("b", "lb")
+        across = cut(pairs.join(left, "a").join(right, "b").where("la != lb").select("la", "lb").distinct())
+        if not across.limit(1).count():
+            # A label need not be its component's least node's own label yet only if a link were left.
             return labels
+        ends = across.unionByName(across.select(F.col("lb").alias("la"), F.col("la").alias("lb")))
+        hook = ends.groupBy("la").agg(F.min("lb").alias("to")).select(F.col("la").alias("component"), F.least("la", "to").alias("to"))
+        jump = hook.select(F.col("component").alias("to"), F.col("to").alias("further"))
+        hook = hook.join(jump, "to", "left").select("component", F.coalesce("further", "to").alias("to"))
+        labels = cut(labels.join(hook, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
 class _Links:
@@ -230,16 +236,18 @@ class _Links:
         own = self.nodes.select("node", "samples")
         near = pairs.distinct().join(own.toDF("a", "samples_a"), "a").join(own.toDF("b", "samples_b"), "b").select("a", "b", "samples_a", "samples_b")
         near = cut(near.mapInArrow(_agreeing, "a binary, b binary"))
-        if not near.limit(1).count():
-            return
-        wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         # One row for each node: only the row with the least id is fetched, so a group of copies is spread by its ids.
-        rows = wanted.join(self.nodes.select("node", "rep"), "node")
-        texts = self.docs.join(rows.select(F.col("node").alias("_n"), F.col("rep").alias("_r")), (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_r")), "inner").select("node", "text")
+        rows = cut(wanted.join(self.nodes.select("node", "rep"), "node").toDF("_n", "_r"))
+        count = rows.count()
+        if not count:
+            return
+        rows = F.broadcast(rows) if count <= BROADCAST_NAMES else rows
+        texts = self.docs.join(rows, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_r"))).select("node", "text")
         texts = cut(texts.dropDuplicates(["node"]))
         joined = near.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        found = cut(joined.mapInArrow(_verifier(self.factors, self.threshold), "a binary, b binary, similarity double"))
-        self.links = found if self.links is None else cut(self.links.unionByName(found).dropDuplicates(["a", "b"]))
+        found = joined.mapInArrow(_verifier(self.factors, self.threshold), "a binary, b binary, similarity double")
+        self.links = cut(found if self.links is None else self.links.unionByName(found).dropDuplicates(["a", "b"]))
         self.labels = components(self.links)
 
     def labelled(self, members: DataFrame) -> DataFrame:
@@ -260,23 +268,26 @@ def near_links(docs: DataFrame, nodes: DataFrame, factors, threshold: float) ->
     for depth in range(DEPTH + 1):
         buckets = members.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
         members = cut(members.join(buckets, "key"))
-        work.add(members.where(F.col("node") != F.col("center")).select(F.col("center").alias("a"), F.col("node").alias("b")))
-        labelled = work.labelled(members)
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        labelled = cut(labelled.join(mixed, "key").select("key", "node", "center", "component", "n"))
-        if not labelled.limit(1).count():
-            break
-        small = labelled if depth == DEPTH else labelled.where(F.col("n") <= PAIR_LIMIT)
-        left, right = (small.select("key", "center", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component")]) for x in "ab")
-        pairs = left.join(right.drop("center"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("node_a") != F.col("center")))
-        work.add(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-        large = labelled.where(F.col("n") > PAIR_LIMIT)
-        if depth == DEPTH or not large.limit(1).count():
+        star = members.where((F.col("n") > PAIR_LIMIT) & (F.col("node") != F.col("center"))).select(F.col("center").alias("a"), F.col("node").alias("b"))
+        work.add(star.unionByName(_pairs(members.where(F.col("n") <= PAIR_LIMIT).withColumn("component", F.col("node")))))
+        large = work.labelled(members.where(F.col("n") > PAIR_LIMIT).select("key", "node", "center"))
+        mixed = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+        large = cut(large.join(mixed, "key"))
+        if not large.limit(1).count():
             break
-        members = _refined(large.select("key", "node"), nodes)
+        if depth == DEPTH:
+            work.add(_pairs(large.where(F.col("node") != F.col("center"))))
+        else:
+            members = _refined(large.select("key", "node"), nodes)
     return work
 
 
+def _pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's nodes of different components."""
+    left, right = (members.select("key", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    return left.join(right, "key").where("a < b AND ca != cb").select("a", "b")
+
+
 def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), node_of(whole).alias("node"), whole.alias("text"))
