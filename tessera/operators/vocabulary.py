@@ -12,7 +12,7 @@ TRAINED, WARM_START = "Trained", "WarmStartOnly"
 def build(mentions: DataFrame) -> DataFrame:
     """(row_index, tag, image_count) of (pos, tag): numbered by first mention; repeated mentions count."""
     first = mentions.groupBy("tag").agg(F.min("pos").alias("pos"), F.count("*").alias("image_count"))
-    return dense_number(first, "pos").select("row_index", "tag", "image_count")
+    return dense_number(first, "pos", "tag").select("row_index", "tag", "image_count")
 
 
 def extend(vocabulary: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def extend(vocabulary: DataFrame, mentions: DataFrame) -> DataFrame:
     size = vocabulary.agg((F.coalesce(F.max("row_index"), F.lit(-1)) + 1).alias("s")).first()["s"]
     counts = mentions.groupBy("tag").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
     old = vocabulary.join(counts.select("tag", "n"), "tag", "left").select("row_index", "tag", (F.col("image_count") + F.coalesce("n", F.lit(0))).alias("image_count"))
-    new = dense_number(counts.join(vocabulary, "tag", "left_anti"), "pos")
+    new = dense_number(counts.join(vocabulary, "tag", "left_anti"), "pos", "tag")
     return old.unionByName(new.select((F.col("row_index") + size).alias("row_index"), "tag", F.col("n").alias("image_count")))
 
 
@@ -31,7 +31,7 @@ def replay(base: DataFrame, log: DataFrame) -> DataFrame:
     last = log.groupBy("tag").agg(F.max_by(F.struct("image_count", "status"), "line").alias("x"), F.min("line").alias("line"))
     both = base.join(last, "tag", "left")
     old = both.select("row_index", "tag", F.coalesce("x.image_count", "image_count").alias("image_count"), F.coalesce("x.status", "status").alias("status"))
-    new = dense_number(last.join(base, "tag", "left_anti"), "line")
+    new = dense_number(last.join(base, "tag", "left_anti"), "line", "tag")
     return old.unionByName(new.select((F.col("row_index") + size).alias("row_index"), "tag", "x.image_count", "x.status"))
 
 

@@ -212,7 +212,7 @@ def corpus_tag_having(spark, d):
 
 # --- vocabulary --------------------------------------------------------------------------------------------------------
 
-_VOCAB = f"WITH {MENTION_SQL}, vocab AS (SELECT row_number() OVER (ORDER BY min(pos)) - 1 AS row_index, tag, count(*) AS image_count FROM mention GROUP BY tag)"
+_VOCAB = f"WITH {MENTION_SQL}, vocab AS (SELECT row_number() OVER (ORDER BY min(pos), tag) - 1 AS row_index, tag, count(*) AS image_count FROM mention GROUP BY tag)"
 
 
 @query(f"{_VOCAB} SELECT * FROM vocab")
@@ -220,7 +220,7 @@ def vocabulary_rows(spark, d):
     return vocabulary.build(st.mentions(spark, d))
 
 
-@query(f"{_VOCAB}, base AS (SELECT row_index, tag, image_count, 'WarmStartOnly' AS status FROM vocab WHERE row_index < 20), log AS (SELECT l_orderkey * 16 + l_linenumber AS line, p_brand AS tag, CAST(l_quantity AS BIGINT) AS image_count, CASE l_linestatus WHEN 'O' THEN 'Trained' ELSE 'WarmStartOnly' END AS status FROM lineitem JOIN part ON l_partkey = p_partkey), last AS (SELECT tag, arg_max(image_count, line) AS image_count, arg_max(status, line) AS status, min(line) AS line FROM log GROUP BY tag) SELECT row_index, b.tag, coalesce(l.image_count, b.image_count) AS image_count, coalesce(l.status, b.status) AS status FROM base b LEFT JOIN last l USING (tag) UNION ALL SELECT 19 + row_number() OVER (ORDER BY line), tag, image_count, status FROM last WHERE tag NOT IN (SELECT tag FROM base)")
+@query(f"{_VOCAB}, base AS (SELECT row_index, tag, image_count, 'WarmStartOnly' AS status FROM vocab WHERE row_index < 20), log AS (SELECT {st.POSITION_SQL} AS line, p_brand AS tag, CAST(l_quantity AS BIGINT) AS image_count, CASE l_linestatus WHEN 'O' THEN 'Trained' ELSE 'WarmStartOnly' END AS status FROM lineitem JOIN part ON l_partkey = p_partkey), last AS (SELECT tag, arg_max(image_count, line) AS image_count, arg_max(status, line) AS status, min(line) AS line FROM log GROUP BY tag) SELECT row_index, b.tag, coalesce(l.image_count, b.image_count) AS image_count, coalesce(l.status, b.status) AS status FROM base b LEFT JOIN last l USING (tag) UNION ALL SELECT 19 + row_number() OVER (ORDER BY line, tag), tag, image_count, status FROM last WHERE tag NOT IN (SELECT tag FROM base)")
 def vocabulary_delta_replay(spark, d):
     base = vocabulary.build(st.mentions(spark, d)).where("row_index < 20").withColumn("status", F.lit(vocabulary.WARM_START))
     log = st.lines(spark, d).select(st.position().alias("line"), F.col("p_brand").alias("tag"), F.col("l_quantity").cast("long").alias("image_count"), F.when(F.col("l_linestatus") == "O", vocabulary.TRAINED).otherwise(vocabulary.WARM_START).alias("status"))

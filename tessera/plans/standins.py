@@ -14,17 +14,18 @@ SECOND_ALIASES = (("Brand#11", "Brand#55"), ("Brand#44", "Brand#45"))
 
 BAG_SQL = "bag AS (SELECT DISTINCT l_orderkey AS item, p_brand AS tag FROM lineitem JOIN part ON l_partkey = p_partkey)"
 ALIAS_SQL = "alias(antecedent, consequent) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ALIASES) + ")"
-MENTION_SQL = "mention AS (SELECT l_orderkey AS item, l_orderkey * 16 + l_linenumber AS pos, p_brand AS tag, l_returnflag AS site FROM lineitem JOIN part ON l_partkey = p_partkey)"
+POSITION_SQL = "((l_orderkey * 16 + l_linenumber) * 4 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) * 1000000 + l_partkey"
+MENTION_SQL = f"mention AS (SELECT l_orderkey AS item, {POSITION_SQL} AS pos, p_brand AS tag, l_returnflag AS site FROM lineitem JOIN part ON l_partkey = p_partkey)"
 CATEGORY_SQL = "CASE CAST(substr(raw, 7) AS INT) % 7 WHEN 1 THEN 'artist' WHEN 3 THEN 'series' WHEN 4 THEN 'character' WHEN 5 THEN 'meta' ELSE 'general' END"
 LISTING_SQL = f"""listed AS (SELECT CASE l_returnflag WHEN 'A' THEN 'a' ELSE 'b' END AS site, p_brand AS raw, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'N') GROUP BY 1, 2),
 listing AS (SELECT site, raw, {CATEGORY_SQL} AS category, n, row_number() OVER (PARTITION BY site ORDER BY n DESC, raw) AS pos FROM listed)"""
 IDENTITY_SQL = "CASE WHEN {c} = 'general' THEN {r} ELSE {c} || ':' || {r} END"
-CLOSURE_SQL = """walk(raw, at, path, stop) AS (
+CLOSURE_SQL = """walk(raw, cur, path, stop) AS (
   SELECT antecedent, antecedent, CAST([] AS VARCHAR[]), false FROM alias
   UNION ALL
-  SELECT w.raw, CASE WHEN list_contains(w.path, w.at) THEN w.at ELSE a.consequent END, list_append(w.path, w.at), list_contains(w.path, w.at)
-  FROM walk w JOIN alias a ON a.antecedent = w.at WHERE NOT w.stop),
-closed AS (SELECT raw, arg_max(at, len(path)) AS canonical FROM walk GROUP BY raw)"""
+  SELECT w.raw, CASE WHEN list_contains(w.path, w.cur) THEN w.cur ELSE a.consequent END, list_append(w.path, w.cur), list_contains(w.path, w.cur)
+  FROM walk w JOIN alias a ON a.antecedent = w.cur WHERE NOT w.stop),
+closed AS (SELECT raw, arg_max(cur, len(path)) AS canonical FROM walk GROUP BY raw)"""
 VEC_SQL = """e AS (SELECT vec_id AS item, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
 tagvec AS (SELECT label, k, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY label, k),
 scores AS (SELECT e.item, t.label, 1 / (1 + exp(-sum(CAST(e.x AS DOUBLE) * t.x))) AS conf FROM e JOIN tagvec t USING (k) GROUP BY e.item, t.label)"""
@@ -46,7 +47,9 @@ def bag(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def position() -> Column:
-    return F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    """A line's place in the corpus; what an order lists twice under a number is told apart by flag and part."""
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return ((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 4 + flag) * 1_000_000 + F.col("l_partkey")
 
 
 def mentions(spark: SparkSession, folder: str) -> DataFrame:

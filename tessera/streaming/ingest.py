@@ -31,10 +31,9 @@ class Ingest:
         seen = batch.groupBy("item").agg(F.min("seq").alias("seq"), F.min_by("h", "seq").alias("h"))
         if stored is not None:
             seen = seen.join(stored.select("item"), "item", "left_anti").unionByName(stored.select("item", "seq", "h"))
-        led = leaders(seen.select(F.col("seq").alias("item"), "h"), self.distance)
-        names = seen.select("seq", "item")
-        led = led.join(names, led["item"] == names["seq"]).select("seq", names["item"].alias("item"), F.col("leader").alias("leader_seq"))
-        images = led.join(names.select(F.col("seq").alias("leader_seq"), F.col("item").alias("leader")), "leader_seq").join(seen.select("item", "h"), "item").select("item", "seq", "h", "leader")
+        led = leaders(seen.select(F.col("seq").alias("item"), "h"), self.distance).toDF("seq", "leader_seq")
+        heads = seen.select(F.col("seq").alias("leader_seq"), F.col("item").alias("leader"))
+        images = seen.join(led, "seq").join(heads, "leader_seq").select("item", "seq", "h", "leader")
         images = cut(images)
         self.images.commit(images, batch_id)
         said = batch.select("item", F.explode("tags").alias("tag")).join(images.select("item", "leader"), "item").select(F.col("leader").alias("item"), "tag")
