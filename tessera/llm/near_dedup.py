@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import cut, distinct_shingles, mix, shingles, steps, word_hashes
@@ -42,10 +43,14 @@ BANDS, ROWS = 12, 4
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
 IDF_SPREAD = 0.1
-#: Samples that agree for a link to be worth verifying; of 48, texts 0.8 alike have fewer than this once in 10**7 times.
-LEAST_AGREEING = 24
+#: Samples that agree for a link to be worth verifying; of 48, texts that are just 0.8 alike have fewer in 1 of 250 cases, texts 0.85 alike in 1 of 20,000.
+LEAST_AGREEING = 31
 PAIR_LIMIT = 24
 DEPTH = 2
+#: Nodes of a large bucket that are held against each other at once.
+BLOCK = 1024
+#: Links whose components one task works out in memory (some 100 MB); more are worked out by joins.
+LINKS_AT_ONCE = 500_000
 #: Texts that are fetched by sending their names (24 bytes each) to the tasks; more are fetched by a shuffle.
 BROADCAST_NAMES = 250_000
 
@@ -164,14 +169,58 @@ def _signer(factors):
     return signed
 
 
+def _sample_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) whose samples, a byte of each, agree often enough."""
+    """Links (a, b) of (a, b, samples of a, samples of b) that agree often enough."""
     for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-        kept = pa.array((left == right).sum(axis=1) >= LEAST_AGREEING)
+        kept = pa.array((_sample_matrix(batch.column(2)) == _sample_matrix(batch.column(3))).sum(axis=1) >= LEAST_AGREEING)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(kept)
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b), a < b, between nodes of different components that agree often enough, of rows (group, side, node, component, samples) in order of group.
+
+    Only nodes of different sides are paired where a group has two sides. A group is at most two blocks of a bucket.
+    """
+
+    def pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        samples_ = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        _, parts = np.unique(np.array([r[3].hex() for r in rows]), return_inverse=True)
+        sides = np.array([r[1] for r in rows])
+        two = sides.min() != sides.max()
+        out = []
+        for i in range(len(rows) - 1):
+            fits = parts[i + 1 :] != parts[i]
+            if two:
+                fits &= sides[i + 1 :] != sides[i]
+            at = np.flatnonzero(fits) + i + 1
+            at = at[(samples_[at] == samples_[i]).sum(axis=1) >= LEAST_AGREEING]
+            out += [(min(rows[i][2], rows[k][2]), max(rows[i][2], rows[k][2])) for k in at.tolist()]
+        return out
+
+    held: list[tuple] = []
+    found: list[tuple[bytes, bytes]] = []
+
+    def batch_of(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                found += pairs(held) if len(held) > 1 else []
+                held = []
+                if len(found) >= 10_000:
+                    yield batch_of(found)
+                    found = []
+            held.append(row)
+    found += pairs(held) if len(held) > 1 else []
+    if found:
+        yield batch_of(found)
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of lesser weights over sum of greater ones; (ascending keys, weights) each."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -201,12 +250,37 @@ def _verifier(factors, threshold: float):
     return verified
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of a graph's links: labels go to the lesser end and jump to their own label until all links agree."""
+    ends = [pa.concat_arrays(list(c)).cast(pa.binary()) for c in zip(*[b.columns for b in batches], strict=True)]
+    if not ends:
+        return
+    names = pa.concat_arrays(ends).unique()
+    names = names.take(pc.sort_indices(names))
+    a, b = (pc.index_in(x, names).to_numpy(zero_copy_only=False).astype(np.int64) for x in ends)
+    label = np.arange(len(names))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        if (label == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], names=["node", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes of undirected ``links`` (a, b): a component's name is its least node.
+    """(node, component) of all nodes of undirected ``links`` (a, b; written already): a component's name is its least node."""
+    pairs = links.select("a", "b")
+    if pairs.count() > LINKS_AT_ONCE:
+        return _joined_components(links)
+    return cut(pairs.repartition(1).mapInArrow(_united, "node binary, component binary"))
 
-    Nodes start with their least neighbour. Links between different labels are a smaller graph, whose labels hook to their
-    least neighbour and jump to where that one hooks, until no such link is left; a star needs no round.
-    """
+
+def _joined_components(links: DataFrame) -> DataFrame:
+    """``components`` by joins. Nodes start with their least neighbour. Links between different labels are a smaller graph, whose
+    labels hook to their least neighbour and jump to where that one hooks, until no such link is left; a star needs no round."""
     pairs = links.select("a", "b").distinct()
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
@@ -214,7 +288,6 @@ def components(links: DataFrame) -> DataFrame:
         left, right = labels.toDF("a", "la"), labels.toDF("b", "lb")
         across = cut(pairs.join(left, "a").join(right, "b").where("la != lb").select("la", "lb").distinct())
         if not across.limit(1).count():
-            # A label need not be its component's least node's own label yet only if a link were left.
             return labels
         ends = across.unionByName(across.select(F.col("lb").alias("la"), F.col("la").alias("lb")))
         hook = ends.groupBy("la").agg(F.min("lb").alias("to")).select(F.col("la").alias("component"), F.least("la", "to").alias("to"))
@@ -231,11 +304,9 @@ class _Links:
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def add(self, pairs: DataFrame) -> None:
-        """Verifies ``pairs`` (a, b) on whole texts and adds what holds."""
-        own = self.nodes.select("node", "samples")
-        near = pairs.distinct().join(own.toDF("a", "samples_a"), "a").join(own.toDF("b", "samples_b"), "b").select("a", "b", "samples_a", "samples_b")
-        near = cut(near.mapInArrow(_agreeing, "a binary, b binary"))
+    def add(self, near: DataFrame) -> None:
+        """Verifies links (a, b) on whole texts and adds what holds."""
+        near = cut(near.distinct())
         wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         # One row for each node: only the row with the least id is fetched, so a group of copies is spread by its ids.
         rows = cut(wanted.join(self.nodes.select("node", "rep"), "node").toDF("_n", "_r"))
@@ -258,34 +329,44 @@ class _Links:
 
 def _refined(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of buckets that are keyed by one more band."""
-    more = members.join(nodes.select("node", "bands"), "node").select("key", "node", F.explode("bands").alias("band"))
-    return more.select(F.xxhash64("key", "band").alias("key"), "node").distinct()
+    more = members.join(nodes.select("node", "bands"), "node").select("key", "node", "samples", F.explode("bands").alias("band"))
+    return more.select(F.xxhash64("key", "band").alias("key"), "node", "samples").dropDuplicates(["key", "node"])
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, factors, threshold: float) -> _Links:
     work = _Links(docs, nodes, factors, threshold)
-    members = nodes.select(F.explode("bands").alias("key"), "node")
+    members = nodes.select(F.explode("bands").alias("key"), "node", "samples")
     for depth in range(DEPTH + 1):
-        buckets = members.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
+        # A bucket's count and its least node with its samples are made of partial ones, so a large bucket is never in one place.
+        buckets = members.groupBy("key").agg(F.min(F.struct("node", "samples")).alias("center"), F.count("*").alias("n")).where("n > 1")
         members = cut(members.join(buckets, "key"))
-        star = members.where((F.col("n") > PAIR_LIMIT) & (F.col("node") != F.col("center"))).select(F.col("center").alias("a"), F.col("node").alias("b"))
+        large = members.where(F.col("n") > PAIR_LIMIT)
+        star = large.where(F.col("node") != F.col("center.node")).select(F.col("center.node").alias("a"), F.col("node").alias("b"), "center.samples", F.col("samples").alias("s")).mapInArrow(_agreeing, "a binary, b binary")
         work.add(star.unionByName(_pairs(members.where(F.col("n") <= PAIR_LIMIT).withColumn("component", F.col("node")))))
-        large = work.labelled(members.where(F.col("n") > PAIR_LIMIT).select("key", "node", "center"))
-        mixed = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        large = cut(large.join(mixed, "key"))
-        if not large.limit(1).count():
+        named = work.labelled(large)
+        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+        named = cut(named.join(mixed, "key").select("key", "node", "samples", "component", "n"))
+        if not named.limit(1).count():
             break
         if depth == DEPTH:
-            work.add(_pairs(large.where(F.col("node") != F.col("center"))))
+            work.add(_pairs(named))
         else:
-            members = _refined(large.select("key", "node"), nodes)
+            members = _refined(named, nodes)
     return work
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's nodes of different components."""
-    left, right = (members.select("key", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return left.join(right, "key").where("a < b AND ca != cb").select("a", "b")
+    """Links (a, b) between nodes of a bucket that are of different components and agree often enough.
+
+    A bucket of more than ``BLOCK`` nodes is cut into blocks by a hash of the node, and every two of its blocks are a group of their own.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.select(F.xxhash64(group["key"], group["i"], group["j"]).alias("group"), F.col("own").alias("side"), "node", "component", "samples")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_paired, "a binary, b binary")
 
 
 def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
