@@ -29,6 +29,7 @@ def hamming_pairs(hashes: DataFrame, distance: int, item: str = "item", value: s
     ``BUCKET`` hashes is joined by a second key, a band of ``2 * distance + 2`` bands, of which a pair agrees in at
     least ``distance + 2``: large buckets get smaller without losing a pair.
     """
+    hashes = cut(hashes.select(item, value))  # read several times below
     distinct = hashes.select(value).distinct()
     keyed = distinct.select(value, F.inline(bands(F.col(value), distance)))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("__n")).where("__n > 1")

@@ -179,3 +179,14 @@ def tags_of(links: DataFrame) -> DataFrame:
 def corpus(blobs: DataFrame, links: DataFrame) -> DataFrame:
     """Images with their first blob and all tags; those without a tag have an empty list."""
     return first_blob(blobs).join(tags_of(links), "image_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def active_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """(antecedent, consequent) of landed pages of the first site; rows without both names are skipped."""
+    rows = spark.read.schema("antecedent_name string, consequent_name string").option("multiLine", True).json(path)
+    return rows.where("antecedent_name IS NOT NULL AND consequent_name IS NOT NULL").select(F.col("antecedent_name").alias("antecedent"), F.col("consequent_name").alias("consequent"))
+
+
+def lookup(wanted: DataFrame, posts: DataFrame) -> DataFrame:
+    """Posts by (site, post_id); what is not there has nulls."""
+    return wanted.join(posts, ["site", "post_id"], "left")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from tessera.operators import images
-from tessera.sources import files, paged
+from tessera.plans import commands
+from tessera.sources import files, paged, state
 from tessera.streaming import ingest
 
 
@@ -159,3 +160,45 @@ def test_refresh_walk(spark):
     sources = spark.createDataFrame([("a", 1), ("a", 5), ("a", 3), ("b", 2)], "site string, post_id long")
     got = [([r["post_id"] for r in rows], after) for rows, after in ingest.refresh_walk(sources, "a", 2)]
     assert got == [([1, 3], 3), ([5], 5)]
+
+
+def test_options_keep_no_secret(tmp_path):
+    path = str(tmp_path / "o.json")
+    assert state.load_options(path) is None
+    state.save_options(path, {"min_images": 5, "api_key": "x", "Password": "y"})
+    assert state.load_options(path) == {"min_images": 5}
+    saved = state.TrainingState(2, 0.5, 1, [0.7, 0.5])
+    saved.save(path)
+    assert state.TrainingState.load(path) == saved
+
+
+def test_error_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for m in ("one", "two"):
+        state.log_errors(spark.createDataFrame([("a", m)], "site string, message string"), path)
+    assert sorted(r["line"][20:] for r in state.read_log(spark, path).collect()) == ["[a] one", "[a] two"]
+
+
+def test_survey_command(spark):
+    listing = spark.createDataFrame([("a", "x", "general", 900, 0), ("a", "old", "general", 600, 1), ("a", "y", "general", 100, 2), ("b", "x", "character", 700, 0)], "site string, raw string, category string, n long, pos long")
+    aliases = spark.createDataFrame([("old", "new")], "antecedent string, consequent string")
+    stored = spark.createDataFrame([("old", 1, 1, 5), ("kept", 2, 2, 6)], "name string, count_a long, count_b long, positives long")
+    tags, said = commands.survey_tags(listing, aliases, stored)
+    assert sorted((r["name"], r["count_a"], r["count_b"], r["positives"]) for r in tags.collect()) == [("kept", 2, 2, 6), ("new", 600, None, 0), ("x", 900, 700, 0)]
+    assert said.first()["eligible_tags"] == 2
+
+
+def test_large_cache_command(spark):
+    links = spark.createDataFrame([(i, "common") for i in range(20)] + [(3, "rare"), (4, "mid"), (5, "mid")], "image_id long, name string")
+    blobs = spark.createDataFrame([(i, i, b"x") for i in range(20)], "image_id long, blob_id long, data binary")
+    images_, vocab = commands.build_large_cache(blobs, links, 10, 2, 2)
+    assert images_.count() == 10 and {4, 5} <= {r["item"] for r in images_.collect()}
+    assert {r["tag"] for r in vocab.collect()} == {"common", "mid"}
+
+
+def test_detect_command(spark):
+    scores = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.7), (1, "c", 0.1)], "item long, label string, conf double")
+    grid = [0.1, 0.9, 0.1, 0.1]
+    grids = spark.createDataFrame([(1, t, grid, 100, 100) for t in "abc"], "item long, label string, values array<double>, image_width int, image_height int")
+    got = json.loads(commands.detect(scores, grids, 2, 2).first()["json"])
+    assert [x["tag"] for x in got] == ["a", "b"] and got[0]["boxes"] == [{"x": 50, "y": 0, "width": 50, "height": 50, "confidence": 0.9}]
