@@ -10,13 +10,13 @@ shingles, banded, verified by weighted Jaccard similarity.
    would take such copies apart.
 3. Each text gets ``BANDS * ROWS`` consistent samples; texts whose samples agree
    in a band share a bucket.
-4. A bucket of up to ``PAIR_LIMIT`` nodes gives its pairs, a larger one a star
-   around its least node, never all pairs. Links whose samples agree too rarely
-   to be 0.8 similar are left out, and the rest are verified on whole texts.
-5. Large buckets that still hold more than one component are keyed by a further
-   band and worked on in the same way; what is large after ``DEPTH`` bands gives
-   the pairs between its components, whatever their number. So no bucket is
-   capped.
+4. A bucket is linked as a star around its least node, never as all pairs.
+   Links whose samples agree too rarely to be 0.8 similar are left out, and the
+   rest are verified on whole texts.
+5. Buckets that then hold more than one component give the pairs between
+   different components that agree often enough, whatever their number: no
+   bucket is capped. A large bucket is compared block by block, and a pair is
+   given by the first band that it shares alone.
 6. Components come from hooking and pointer jumping in Spark, with every round
    written to the shared checkpoint folder.
 
@@ -45,8 +45,6 @@ SKETCH_PARTS = 16
 IDF_SPREAD = 0.1
 #: Samples that agree for a link to be worth verifying; of 48, texts that are just 0.8 alike have fewer in 1 of 250 cases, texts 0.85 alike in 1 of 20,000.
 LEAST_AGREEING = 31
-PAIR_LIMIT = 24
-DEPTH = 2
 #: Nodes of a large bucket that are held against each other at once.
 BLOCK = 1024
 #: Links whose components one task works out in memory (some 100 MB); more are worked out by joins.
@@ -181,15 +179,19 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b), a < b, between nodes of different components that agree often enough, of rows (group, side, node, component, samples) in order of group.
+    """Links (a, b), a < b, between nodes of different components that agree often enough, of rows (group, band, side, node, component, samples) in order of group.
 
-    Only nodes of different sides are paired where a group has two sides. A group is at most two blocks of a bucket.
+    Only nodes of different sides are paired where a group has two sides. A group is at most two blocks of a bucket. A pair
+    that agrees in a lower band too is left to that one.
     """
 
     def pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        samples_ = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        _, parts = np.unique(np.array([r[3].hex() for r in rows]), return_inverse=True)
-        sides = np.array([r[1] for r in rows])
+        names: dict[bytes, int] = {}
+        parts = np.array([names.setdefault(r[4], len(names)) for r in rows])
+        if len(names) < 2:
+            return []
+        samples_ = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+        sides, band = np.array([r[2] for r in rows]), rows[0][1]
         two = sides.min() != sides.max()
         out = []
         for i in range(len(rows) - 1):
@@ -197,8 +199,11 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if two:
                 fits &= sides[i + 1 :] != sides[i]
             at = np.flatnonzero(fits) + i + 1
-            at = at[(samples_[at] == samples_[i]).sum(axis=1) >= LEAST_AGREEING]
-            out += [(min(rows[i][2], rows[k][2]), max(rows[i][2], rows[k][2])) for k in at.tolist()]
+            same = samples_[at] == samples_[i]
+            kept = same.sum(axis=1) >= LEAST_AGREEING
+            if band:
+                kept &= ~same[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
+            out += [(min(rows[i][3], rows[k][3]), max(rows[i][3], rows[k][3])) for k in at[kept].tolist()]
         return out
 
     held: list[tuple] = []
@@ -327,31 +332,19 @@ class _Links:
         return members.join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _refined(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of buckets that are keyed by one more band."""
-    more = members.join(nodes.select("node", "bands"), "node").select("key", "node", "samples", F.explode("bands").alias("band"))
-    return more.select(F.xxhash64("key", "band").alias("key"), "node", "samples").dropDuplicates(["key", "node"])
-
-
 def near_links(docs: DataFrame, nodes: DataFrame, factors, threshold: float) -> _Links:
     work = _Links(docs, nodes, factors, threshold)
-    members = nodes.select(F.explode("bands").alias("key"), "node", "samples")
-    for depth in range(DEPTH + 1):
-        # A bucket's count and its least node with its samples are made of partial ones, so a large bucket is never in one place.
-        buckets = members.groupBy("key").agg(F.min(F.struct("node", "samples")).alias("center"), F.count("*").alias("n")).where("n > 1")
-        members = cut(members.join(buckets, "key"))
-        large = members.where(F.col("n") > PAIR_LIMIT)
-        star = large.where(F.col("node") != F.col("center.node")).select(F.col("center.node").alias("a"), F.col("node").alias("b"), "center.samples", F.col("samples").alias("s")).mapInArrow(_agreeing, "a binary, b binary")
-        work.add(star.unionByName(_pairs(members.where(F.col("n") <= PAIR_LIMIT).withColumn("component", F.col("node")))))
-        named = work.labelled(large)
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        named = cut(named.join(mixed, "key").select("key", "node", "samples", "component", "n"))
-        if not named.limit(1).count():
-            break
-        if depth == DEPTH:
-            work.add(_pairs(named))
-        else:
-            members = _refined(named, nodes)
+    members = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "samples")
+    # A bucket's count and its least node with its samples are made of partial ones, so a large bucket is never in one place.
+    buckets = members.groupBy("key").agg(F.min(F.struct("node", "samples")).alias("center"), F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(buckets, "key"))
+    star = members.where(F.col("node") != F.col("center.node")).select(F.col("center.node").alias("a"), F.col("node").alias("b"), "center.samples", F.col("samples").alias("s"))
+    work.add(star.mapInArrow(_agreeing, "a binary, b binary"))
+    named = work.labelled(members.drop("center"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    named = cut(named.join(mixed, "key").select("key", "band", "node", "samples", "component", "n"))
+    if named.limit(1).count():
+        work.add(_pairs(named))
     return work
 
 
@@ -364,8 +357,7 @@ def _pairs(members: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.select(F.xxhash64(group["key"], group["i"], group["j"]).alias("group"), F.col("own").alias("side"), "node", "component", "samples")
+    rows = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "band", F.col("own").alias("side"), "node", "component", "samples")
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_paired, "a binary, b binary")
 
 
