@@ -217,10 +217,11 @@ def classes_of(pairs, n):
     return name
 
 
-@pytest.mark.parametrize("limit", [24, 3])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(near_dedup, "PAIR_LIMIT", limit)
-    monkeypatch.setattr(near_dedup, "BROADCAST_NAMES", 10 if limit == 3 else 1000)
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BROADCAST_NAMES", 10 if block == 3 else 1000)
+    monkeypatch.setattr(near_dedup, "LINKS_AT_ONCE", 5 if block == 3 else 1000)
     rng = random.Random(6)
     texts = list(dict.fromkeys(families(rng, 6, 8) + [prose(rng, 80) for _ in range(40)] + families(rng, 1, 30)))
     docs = documents(spark, texts)
@@ -317,22 +318,19 @@ def test_toxic_texts_of_held_out_rows(spark, sf):
     assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows]) >= 0.95
 
 
-def test_identity_terms_do_not_count(spark):
+def test_identity_terms_do_not_count():
+    """Features 0 and 1 are terms of a group, of which 0 stands in most toxic texts; 2 is an insult."""
     rng = random.Random(9)
-    texts, toxic = [], []
+    rows, y = [], []
     for i in range(400):
         bad = i % 4 == 0
-        who = rng.choice(["women", "men"]) if not bad else rng.choice(["women"] * 9 + ["men"])
-        texts.append(f"{prose(rng, 20)} {who} {'are idiotic scum' if bad else prose(rng, 3)}")
-        toxic.append(int(bad))
-    labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic)], "doc_id long, toxic int")
-    docs = documents(spark, texts)
-    fair = toxicity.train(docs, labels)
-    biased = toxicity.train(docs, labels, counterfactual=0.0)
-    said = pa.array(["women met friends", "men met friends", "they are idiotic scum"])
-    a, b = fair.scores(said), biased.scores(said)
-    assert abs(a[0] - a[1]) < 0.02 < 0.1 < abs(b[0] - b[1])
-    assert a[2] > 0.5
+        term = 0 if rng.random() < (0.9 if bad else 0.5) else 1
+        rows.append(np.array([term, 2] if i % 8 == 0 else [term]))
+        y.append(float(bad))
+    fit = lambda penalty: toxicity._fit(rows, np.array(y), 3, [np.array([0, 1])], penalty, 1e-5, 0.25)[0]
+    fair, biased = fit(10.0), fit(0.0)
+    assert abs(fair[0] - fair[1]) < 0.1 < 0.5 < biased[0] - biased[1]
+    assert fair[2] > 2
 
 
 def test_pieces_do_not_cross_texts(monkeypatch):
