@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the threshold table."""
-    return quality_rules.judge(docs).where("kept").select(*COLUMNS)
+    return quality_rules.passing(docs).select(*COLUMNS)
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

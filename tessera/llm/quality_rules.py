@@ -134,7 +134,43 @@ def measures(text: Column) -> dict[str, Column]:
             F.size(F.filter(w, lambda x: x.isin(STOP_FORMS))).cast("long").alias("stops"),
         )
 
-    return {"n_symbols": count_of(text, SYMBOLS), "n_shouts": count_of(text, SHOUT_MARKS), "_lines": of_lines, "_words": let(words_of(text), of_words)}
+    return {"n_symbols": count_of(text, SYMBOLS), "n_shouts": count_of(text, SHOUT_MARKS), "lines": of_lines, "words": let(words_of(text), of_words)}
+
+
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All measures of a text, ``base_failed``, ``failed_rules`` and ``kept`` as one struct.
+
+    It is one expression in which everything is computed once, so a filter on a part of it may be moved ahead of the
+    projection without computing the measures again for each column that it mentions.
+    """
+    known = measures(F.coalesce(text, F.lit("")))
+
+    def judged(m: Column) -> Column:
+        w, lines = m["words"], m["lines"]
+        words = F.greatest(w["n"], F.lit(1))
+        ratios = {
+            "n_words": w["n"],
+            "repeat_percent": F.lit(100) * w["repeated"] / words,
+            "mean_word_chars": w["chars"] / words,
+            "symbols_per_word": m["n_symbols"] / words,
+            "shouts_per_word": m["n_shouts"] / words,
+            "dup_line_ratio": lines["repeated"] / F.greatest(lines["n"], F.lit(1)),
+            "stop_word_ratio": w["stops"] / words,
+        }
+        # 100 * n_repeat_words > 20 * n_words is asked in whole numbers, so that no quotient is rounded.
+        broken = {r.name: (100 * w["repeated"] > int(r.high) * w["n"]) if r.measure == "repeat_percent" else r.broken(ratios) for r in rules}
+        base, any_broken = F.lit(False), F.lit(False)
+        for name, b in broken.items():
+            any_broken = any_broken | b
+            base = base | b if name in BASE_RULES else base
+        failed = F.filter(F.array(*[F.when(b, F.lit(name)) for name, b in broken.items()]), lambda x: x.isNotNull())
+        parts = {"n_words": w["n"], "word_chars": w["chars"], "n_symbols": m["n_symbols"], "n_shouts": m["n_shouts"], "n_lines": lines["n"], "n_dup_lines": lines["repeated"], "n_repeat_words": w["repeated"], "n_stop_words": w["stops"], "failed_rules": failed, "base_failed": base, "kept": ~any_broken}
+        return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+    return let(F.struct(*[c.alias(name) for name, c in known.items()]), judged)
+
+
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "failed_rules", "base_failed", "kept")
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -142,24 +178,10 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
     ``kept`` is false for a text that breaks any rule of the table.
     """
-    known = measures(F.coalesce(F.col(text), F.lit("")))
-    out = docs.withColumns(known)
-    out = out.withColumns({"n_words": F.col("_words.n"), "word_chars": F.col("_words.chars"), "n_repeat_words": F.col("_words.repeated"), "n_stop_words": F.col("_words.stops"), "n_lines": F.col("_lines.n"), "n_dup_lines": F.col("_lines.repeated")}).drop("_words", "_lines")
-    per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
-    ratios = {
-        "n_words": F.col("n_words"),
-        "repeat_percent": F.lit(100) * F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-        "mean_word_chars": per_word("word_chars"),
-        "symbols_per_word": per_word("n_symbols"),
-        "shouts_per_word": per_word("n_shouts"),
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "stop_word_ratio": per_word("n_stop_words"),
-    }
-    # 100 * n_repeat_words > 20 * n_words is asked in whole numbers, so that no quotient is rounded.
-    broken = {r.name: (100 * F.col("n_repeat_words") > int(r.high) * F.col("n_words")) if r.measure == "repeat_percent" else r.broken(ratios) for r in rules}
-    base = F.lit(False)
-    for name in BASE_RULES:
-        if name in broken:
-            base = base | broken[name]
-    failed = F.filter(F.array(*[F.when(b, F.lit(name)) for name, b in broken.items()]), lambda x: x.isNotNull())
-    return out.withColumns({"failed_rules": failed, "base_failed": base}).withColumn("kept", F.size("failed_rules") == 0)
+    out = docs.withColumn("__judged", verdict(F.col(text), rules))
+    return out.withColumns({name: F.col(f"__judged.{name}") for name in RESULTS}).drop("__judged")
+
+
+def passing(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` whose text breaks no rule, with their own columns."""
+    return docs.where(verdict(F.col(text), rules)["kept"])

@@ -385,6 +385,7 @@ def test_rules_keep_prose_and_drop_junk(spark):
     junk = [clean.upper().replace(" ", "!! "), " | ".join(clean.split()), clean.replace(" ", "*** "), "spam " * 40]
     got = [r["kept"] for r in quality_rules.judge(documents(spark, [clean, *junk])).orderBy("doc_id").collect()]
     assert got == [True] + [False] * 4
+    assert [r["text"] for r in quality_rules.passing(documents(spark, [clean, *junk])).collect()] == [clean]
 
 
 # --- 8 --------------------------------------------------------------------------------------------------------------
