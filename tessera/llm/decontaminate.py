@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.llm.common import mix, steps, word_hashes
 
-#: Which of a window's words count. Fixed masks; the first words always count.
-MASKS = ("111111", "11011011", "110110011", "1110100111")
+#: Which of a window's words count. Fixed masks; the first words always count. Every way to change a quarter of 8 to 25 words
+#: leaves all counted words of one of them as they are, and a longer passage that is three quarters equal holds such a piece of
+#: 13 to 25 words, so that no passage within ``MIN_EQUAL`` is without a hit.
+MASKS = ("11111", "111011", "110111", "111101", "1110011", "10101101", "11010011", "11001011")
 MIN_WORDS = 13
 MIN_ITEM_WORDS = 8
 MIN_EQUAL = 0.75

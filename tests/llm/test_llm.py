@@ -99,6 +99,29 @@ def test_overlap_spans_against_brute_force(spark):
     assert (row["doc_id"], row["item_id"], row["first_word"], row["n_words"], row["n_equal"]) == (0, 7, 50, 30, 30)
 
 
+def test_every_passage_within_the_rule_gives_a_hit():
+    """Brute force over all ways to change a quarter of 8 to 25 words, and over periods in longer passages."""
+    masks = [(sum(1 << k for k, bit in enumerate(m) if bit == "1"), len(m)) for m in decontaminate.MASKS]
+
+    def hit(words, equal):
+        out = np.zeros(len(equal), bool)
+        for mask, span in masks:
+            for at in range(words - span + 1):
+                out |= (equal >> at) & mask == mask
+        return out
+
+    for n in range(decontaminate.MIN_ITEM_WORDS, 2 * decontaminate.MIN_WORDS):
+        changed = np.array([sum(1 << x for x in c) for c in itertools.combinations(range(n), int(n * (1 - decontaminate.MIN_EQUAL)))])
+        assert hit(n, (1 << n) - 1 - changed).all()
+    for n, period in itertools.product((16, 20, 30, 59), (4, 5, 6)):
+        item = [f"w{k}" for k in range(n)]
+        block = decontaminate.Block([(1, " ".join(item))])
+        for phase in range(period):
+            text = " ".join(["before"] * 3 + [f"x{k}" if k % period == phase else w for k, w in enumerate(item)])
+            words, at = common.word_hashes(pa.array([text]))
+            assert [tuple(x) for x in block.hits(words, at)] == [(0, 0, 3)]
+
+
 # --- 2 --------------------------------------------------------------------------------------------------------------
 
 
