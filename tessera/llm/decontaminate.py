@@ -3,9 +3,10 @@
 A seed is a window of ``span`` words of which a fixed mask reads ``weight``;
 ignored places may be substituted. Hashes of all masked windows of the
 benchmark are joined with those of every text, and around each hit the two
-texts are aligned word by word along the hit's diagonal: the best stretch, one
-point for an equal word and ``-penalty`` for a substituted one, is an overlap
-if it is long and equal enough.
+texts are aligned word by word along the hit's diagonal: there is an overlap if
+any stretch of the diagonal is long and equal enough. The one that is given is
+the best, with one point for an equal word and ``-penalty`` for a substituted
+one, or, if that is too short, the longest that is equal enough.
 
 The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text,
 whose size is checked before it is sent; each text is read whole in one pass
@@ -38,6 +39,8 @@ MIN_ITEM_WORDS = 8
 MIN_EQUAL = 0.75
 PENALTY = 2.0
 BLOCK_BYTES = 8 << 20
+#: Words of diagonals that are compared at once.
+STEP_WORDS = 1 << 20
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -80,8 +83,8 @@ class Block:
         self.bitmap = np.zeros(1 << self.bits, bool)
         self.bitmap[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Distinct (text, item, diagonal) with a common seed; the diagonal is the item's first word's place in the text."""
+    def hits(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Rows of distinct (text, item, diagonal) with a common seed; the diagonal is the item's first word's place in the text."""
         found = []
         for m, mask in enumerate(self.masks):
             s = seeds(words, mask, m)
@@ -96,20 +99,56 @@ class Block:
             entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
             near, text = np.repeat(near, count), np.repeat(text, count)
             found.append(np.stack([text, self.owner[entry], near - starts[text] - self.place[entry]], axis=1))
-        if found:
-            yield from map(tuple, np.unique(np.concatenate(found), axis=0).tolist())
-
-    def overlap(self, words: np.ndarray, item: int, diagonal: int, penalty: float) -> tuple[int, int, int] | None:
-        """The best stretch on a diagonal: its first word in the text, its words, and how many are equal."""
+        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+
+    def fitting(self, words: np.ndarray, starts: np.ndarray, hits: np.ndarray, min_words: int, min_equal: float) -> Iterator[tuple[int, int, int]]:
+        """The ``hits`` with a stretch of at least ``min_words`` (or the whole item) of which ``min_equal`` is equal, wherever it lies on the diagonal."""
+        text, item, diagonal = hits.T
+        length = self.at[item + 1] - self.at[item]
+        first = np.maximum(0, diagonal)
+        count = np.minimum(starts[text + 1] - starts[text], diagonal + length) - first
+        least = np.minimum(min_words, length)
+        ends = np.cumsum(count)
+        at = 0
+        while at < len(hits):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_WORDS, "right")))
+            own = slice(at, to)
+            n, low = count[own], least[own]
+            begin = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(begin, n)
+            equal = words[place + np.repeat(starts[text[own]] + first[own], n)] == self.words[place + np.repeat(self.at[item[own]] + first[own] - diagonal[own], n)]
+            total = np.concatenate([[0], np.cumsum(equal)])
+            fits = np.zeros(to - at, bool)
+            maybe = (n >= low) & (total[begin + n] - total[begin] >= min_equal * low)
+            # A stretch of twice the words is two of which one is as equal, so that the lengths below that suffice.
+            for size in range(int(low[maybe].min(initial=1)), 2 * int(low[maybe].max(initial=0))):
+                now = np.flatnonzero(maybe & ~fits & (low <= size) & (size < 2 * low) & (size <= n))
+                if len(now):
+                    many = n[now] - size + 1
+                    owner = np.repeat(now, many)
+                    left = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + begin[owner]
+                    fits[owner[total[left + size] - total[left] >= min_equal * size - 1e-9]] = True
+            yield from map(tuple, hits[own][fits].tolist())
+            at = to
+
+    def overlap(self, words: np.ndarray, item: int, diagonal: int, penalty: float, min_words: int, min_equal: float) -> tuple[int, int, int] | None:
+        """The stretch on a diagonal: its first word in the text, its words, and how many are equal."""
         own = self.words[self.at[item] : self.at[item + 1]]
         first, last = max(0, diagonal), min(len(words), diagonal + len(own))
         equal = words[first:last] == own[first - diagonal : last - diagonal]
         run = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -penalty))])
         low = np.minimum.accumulate(run)
         end = int(np.argmax(run - low))
-        if not end:
-            return None
-        begin = int(np.flatnonzero(run[:end] == low[end])[-1])
+        begin = int(np.flatnonzero(run[:end] == low[end])[-1]) if end else 0
+        least = min(min_words, len(own))
+        if end - begin < least or equal[begin:end].sum() < min_equal * (end - begin):
+            run = np.concatenate([[0.0], np.cumsum(equal - min_equal)])
+            begins = np.searchsorted(-np.minimum.accumulate(run), -run - 1e-9, "left")  # for each end the first begin that is not above it
+            sizes = np.arange(len(run)) - begins
+            end = int(np.argmax(sizes))
+            begin = int(begins[end])
+            if end - begin < least:
+                return None
         return first + begin, end - begin, int(equal[begin:end].sum())
 
 
@@ -151,10 +190,10 @@ def _searcher(items_now, min_words: int, min_equal: float, penalty: float):
             for batch in steps(whole):
                 words, starts = word_hashes(batch.column(1))
                 best: dict[tuple[int, int], tuple] = {}
-                for k, item, diagonal in block.hits(words, starts):
-                    found = block.overlap(words[starts[k] : starts[k + 1]], item, diagonal, penalty)
+                for k, item, diagonal in block.fitting(words, starts, block.hits(words, starts), min_words, min_equal):
+                    found = block.overlap(words[starts[k] : starts[k + 1]], item, diagonal, penalty, min_words, min_equal)
                     length = int(block.at[item + 1] - block.at[item])
-                    if not found or found[1] < min(min_words, length) or found[2] < min_equal * found[1]:
+                    if not found:
                         continue
                     if (k, item) not in best or (found[2], -found[0]) > (best[k, item][2], -best[k, item][0]):
                         best[k, item] = (*found, length)

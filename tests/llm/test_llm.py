@@ -122,6 +122,33 @@ def test_every_passage_within_the_rule_gives_a_hit():
             assert [tuple(x) for x in block.hits(words, at)] == [(0, 0, 3)]
 
 
+def test_changes_anywhere_in_an_overlap(monkeypatch):
+    """All stretches of every diagonal by brute force; changed words lie near the ends too."""
+    monkeypatch.setattr(decontaminate, "STEP_WORDS", 100)
+    rng = random.Random(21)
+    items = [" ".join(f"i{k}w{j}" for j in range(n)) for k, n in enumerate([8, 9, 12, 13, 16, 20, 30, 59] * 3)]
+    block = decontaminate.Block(list(enumerate(items)))
+    texts, want = [], []
+    for i, item in enumerate(items * 20):
+        passage = item.split()
+        for at in rng.sample(range(len(passage)), rng.randint(0, len(passage) // 3)):
+            passage[at] = "changed"
+        begin, end = (0, len(passage)) if i % 3 else sorted(rng.sample(range(len(passage) + 1), 2))
+        equal = [False] * min(begin, 2) + [w != "changed" for w in passage[begin:end]] + [False] * min(len(passage) - end, 1)
+        least = min(13, len(passage))
+        want.append(any(sum(equal[a:b]) >= 0.75 * (b - a) for a in range(len(equal)) for b in range(a + least, len(equal) + 1)))
+        texts.append(" ".join(["some", "words", *passage[begin:end], "after"]))
+    words, starts = common.word_hashes(pa.array(texts))
+    found = {}
+    for k, item, diagonal in block.fitting(words, starts, block.hits(words, starts), 13, 0.75):
+        found[k] = (item, block.overlap(words[starts[k] : starts[k + 1]], item, diagonal, 2.0, 13, 0.75))
+    assert sorted(found) == [k for k, x in enumerate(want) if x] and 100 < len(found) < len(texts)
+    for k, (item, (first, n, same)) in found.items():
+        stretch = texts[k].split()[first : first + n]
+        assert len(stretch) == n >= min(13, len(items[item].split())) and same >= 0.75 * n
+        assert same == sum(w in items[item].split() for w in stretch)
+
+
 # --- 2 --------------------------------------------------------------------------------------------------------------
 
 
