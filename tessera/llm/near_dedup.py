@@ -179,10 +179,10 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b), a < b, between nodes of different components that agree often enough, of rows (group, band, side, node, component, samples) in order of group.
+    """Links (a, b), a < b, between nodes of different components that agree often enough, of rows (group, band, side, node, component, samples, bands) in order of group.
 
     Only nodes of different sides are paired where a group has two sides. A group is at most two blocks of a bucket. A pair
-    that agrees in a lower band too is left to that one.
+    that shares the bucket of a lower band too is left to that one; the buckets' keys tell, as the samples are cut to 8 bits.
     """
 
     def pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
@@ -192,6 +192,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return []
         samples_ = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
         sides, band = np.array([r[2] for r in rows]), rows[0][1]
+        lower = np.array([r[6][:band] for r in rows], np.int64)
         two = sides.min() != sides.max()
         out = []
         for i in range(len(rows) - 1):
@@ -199,10 +200,8 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if two:
                 fits &= sides[i + 1 :] != sides[i]
             at = np.flatnonzero(fits) + i + 1
-            same = samples_[at] == samples_[i]
-            kept = same.sum(axis=1) >= LEAST_AGREEING
-            if band:
-                kept &= ~same[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
+            at = at[(samples_[at] == samples_[i]).sum(axis=1) >= LEAST_AGREEING]
+            kept = ~(lower[at] == lower[i]).any(axis=1)
             out += [(min(rows[i][3], rows[k][3]), max(rows[i][3], rows[k][3])) for k in at[kept].tolist()]
         return out
 
@@ -342,7 +341,8 @@ def near_links(docs: DataFrame, nodes: DataFrame, factors, threshold: float) ->
     work.add(star.mapInArrow(_agreeing, "a binary, b binary"))
     named = work.labelled(members.drop("center"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    named = cut(named.join(mixed, "key").select("key", "band", "node", "samples", "component", "n"))
+    named = named.join(mixed, "key").join(nodes.select("node", "bands"), "node")
+    named = cut(named.select("key", "band", "node", "samples", "component", "n", "bands"))
     if named.limit(1).count():
         work.add(_pairs(named))
     return work
@@ -357,7 +357,7 @@ def _pairs(members: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "band", F.col("own").alias("side"), "node", "component", "samples")
+    rows = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "band", F.col("own").alias("side"), "node", "component", "samples", "bands")
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_paired, "a binary, b binary")
 
 

@@ -284,6 +284,17 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert all(names[i] == names[got[i]] for i in got)
 
 
+def test_a_pair_is_left_to_a_lower_band_only_if_it_shares_that_bucket():
+    """The stored samples agree in every band, by chance in band 0, whose keys differ; the pair is of bands 1 and 2."""
+    samples_ = bytes(near_dedup.BANDS * near_dedup.ROWS)
+    keys = {b"a": [1, 7, 8, *range(10, 19)], b"b": [2, 7, 8, *range(20, 29)]}
+    names = ["group", "band", "side", "node", "component", "samples", "bands"]
+    rows = [(g, g, 0, node, node, samples_, bands) for g in (1, 2) for node, bands in keys.items()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+    got = [tuple(r.values()) for out in near_dedup._paired(iter([batch])) for r in out.to_pylist()]
+    assert got == [(b"a", b"b")]
+
+
 def test_copies_and_one_of_each(spark):
     rng = random.Random(7)
     texts = families(rng, 3, 6)
