@@ -207,6 +207,14 @@ def test_junk_is_told_from_prose(spark):
     assert sum(got[i] for i in range(80)) >= 74 and not any(got[i] for i in range(80, 90))
 
 
+def test_threshold_is_the_quantile_of_held_out_texts(spark):
+    rng = random.Random(22)
+    docs = documents(spark, [prose(rng, 40) for _ in range(200)])
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    held = quality_lm.classify(docs, labels).where(F.pmod(F.xxhash64("doc_id"), F.lit(quality_lm.HELD_OUT_OF)) == 0).collect()
+    assert len(held) >= quality_lm.ENOUGH and sum(not r["kept"] for r in held) == len(held) // 20
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><head><title>t</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
