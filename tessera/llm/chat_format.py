@@ -12,8 +12,8 @@ content of assistant turns.
 
 Turns are formatted where they are read, without a shuffle, so a conversation
 of any length costs no more than its rows. ``read_back`` then walks through
-each conversation in order of (turn, role, text), null first, holding two
-running digests and no text.
+each conversation in order of its turns, null first (turns of one number: by
+their formatted text), holding two running digests and no text.
 
 Defined results: a null text or role is empty; a null conversation id is a
 conversation of its own; a repeated row is a turn of its own, next to its

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a vectorised step looks at together; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch: Spark's own limit, and the one set in its place.
+SPARK_BATCH_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
 #: Bytes hashed at once inside a step: what is kept for each byte stays small however long a text is.
 SEGMENT_BYTES = 1 << 20
 
@@ -36,9 +38,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or current
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the bytes of an Arrow batch for this session, unless it has a limit of its own: a task holds several batches, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(SPARK_BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: later steps neither recompute it nor depend on one executor."""
     ensure_checkpoint_dir(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

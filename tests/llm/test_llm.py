@@ -292,15 +292,63 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert all(names[i] == names[got[i]] for i in got)
 
 
-def test_a_pair_is_left_to_a_lower_band_only_if_it_shares_that_bucket():
-    """The stored samples agree in every band, by chance in band 0, whose keys differ; the pair is of bands 1 and 2."""
-    samples_ = bytes(near_dedup.BANDS * near_dedup.ROWS)
-    keys = {b"a": [1, 7, 8, *range(10, 19)], b"b": [2, 7, 8, *range(20, 29)]}
-    names = ["group", "band", "side", "node", "component", "samples", "bands"]
-    rows = [(g, g, 0, node, node, samples_, bands) for g in (1, 2) for node, bands in keys.items()]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
-    got = [tuple(r.values()) for out in near_dedup._paired(iter([batch])) for r in out.to_pylist()]
-    assert got == [(b"a", b"b")]
+def sets_of(keys, rng):
+    """Shingles, weights and bounds of sets that share most of ``keys``."""
+    sets = [sorted(rng.sample(keys, rng.randint(len(keys) * 6 // 10, len(keys)))) for _ in range(40)]
+    weights = {k: rng.uniform(1, 2) for k in keys}
+    flat = np.array([k for x in sets for k in x], np.uint64)
+    return sets, flat, np.array([weights[int(k)] for k in flat]), np.cumsum([0, *map(len, sets)])
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_joining_against_brute_force(two):
+    """Components by all pairs; a pair of the same bucket in a lower band is left to that one."""
+    for seed in range(5):
+        rng = random.Random(seed)
+        sets, flat, weights, at = sets_of(list(range(100, 160)), rng)
+        sides = np.array([i % 2 if two else 0 for i in range(40)])
+        probe = sides == 0
+        parts = np.array([rng.randrange(30) for _ in range(40)])
+        bands = np.array([[rng.randrange(6), 7, *range(i * 10, i * 10 + 10)] for i in range(40)])
+        one = lambda i: (np.array(sets[i]), weights[at[i] : at[i + 1]])
+        alike = {(i, k): near_dedup.weighted_jaccard(one(i), one(k)) for i, k in itertools.combinations(range(40), 2)}
+        want = {p for p, x in alike.items() if x >= 0.7 and bands[p[0]][0] != bands[p[1]][0] and (not two or sides[p[0]] != sides[p[1]])}
+        got = near_dedup.joining(1, sides, probe, parts, bands, flat, weights, at, 0.7)
+        assert {(min(i, k), max(i, k)) for i, k, _ in got} <= want and all(abs(alike[min(i, k), max(i, k)] - x) < 1e-9 for i, k, x in got)
+        first = [(i, int(np.flatnonzero(parts == p)[0])) for i, p in enumerate(parts)]
+        assert classes_of([tuple(sorted(p)) for p in first] + sorted(want), 40) == classes_of([tuple(sorted(p)) for p in first] + [(min(i, k), max(i, k)) for i, k, _ in got], 40)
+        assert len(got) < len(set(parts.tolist()))
+
+
+def test_sets_are_packed_and_read_back():
+    texts = ["a b c d e f g", "", "a a a a a a a a", "x"]
+    table = pa.RecordBatch.from_arrays([pa.array([b"1", b"2", b"3", b"4"]), pa.array(texts)], names=["node", "text"])
+    keys, counts, at = near_dedup._unpack([x for b in near_dedup._pack(iter([table])) for x in b.column(1).to_pylist()])
+    want = near_dedup._shingle_sets(pa.array(texts))
+    assert (keys == want[0]).all() and (counts == want[1]).all() and (at == want[2]).all() and 4 in counts
+
+
+def test_one_family_of_hundreds(spark, capsys):
+    """2,000 texts, 500 of them one family in which each copy is an edit of an earlier one: all links by brute force, and no pairs by the square."""
+    rng = random.Random(31)
+    family = [prose(rng, 200).split()]
+    while len(family) < 500:
+        copy = list(rng.choice(family[:80]))
+        for at in rng.sample(range(200), rng.choice([1, 1, 2, 3])):
+            copy[at] = f"w{rng.randrange(10**6)}"
+        family.append(copy)
+    texts = list(dict.fromkeys([" ".join(x) for x in family] + [prose(rng, 60) for _ in range(2000 - len(family))]))
+    docs = documents(spark, texts)
+    factors = near_dedup.idf_table(docs)
+    want = weighted_pairs(texts[:500], factors)
+    rows, named, links = near_dedup.classes(docs)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    lost = sum(got[a] != got[b] for a, b in want)
+    with capsys.disabled():
+        print(f" links {len(want)}, of them in one class {1 - lost / len(want):.4f}, verified as links {links.count()}")
+    names = classes_of(want, len(texts))
+    assert lost <= 0.002 * len(want) and all(names[i] == names[got[i]] for i in got)
+    assert links.count() < 12 * 500
 
 
 def test_copies_and_one_of_each(spark):
