@@ -24,7 +24,7 @@ def balanced(bags: DataFrame, tags: list[str], cap: int | None, seed: str = "0")
 def coverage(bags: DataFrame, most: int, per_tag: int) -> DataFrame:
     """(item): a sample of at most ``most`` items that gives rare tags their share.
 
-    ``bags`` has (item, pos, tag), ``pos`` the corpus order. If there are no more items than ``most``, all are taken. Else
+    ``bags`` has (item, pos, tag), ``pos`` the corpus order; an item without a tag has a row with a null one. If there are no more items than ``most``, all are taken. Else
     tags take turns from the rarest on (ties: first seen), each adding its first ``per_tag`` items that are not taken yet, and
     what is left of the budget goes to the first items of the corpus.
 
@@ -35,8 +35,8 @@ def coverage(bags: DataFrame, most: int, per_tag: int) -> DataFrame:
     items = bags.select("item", "pos").distinct()
     if items.limit(most + 1).count() <= most:
         return items.select("item")
-    rows = bags.select("item", "pos", "tag").distinct()
-    tags = bags.groupBy("tag").agg(F.count("*").alias("n"), F.min("pos").alias("seen"))
+    rows = bags.select("item", "pos", "tag").where("tag IS NOT NULL").distinct()
+    tags = rows.groupBy("tag").agg(F.count("*").alias("n"), F.min("pos").alias("seen"))
     tags = tags.withColumn("turn", F.row_number().over(Window.orderBy("n", "seen", "tag")))
     ranked = rows.join(tags.select("tag", "turn"), "tag").withColumn("r", F.row_number().over(Window.partitionBy("tag").orderBy("pos")))
     useful = ranked.where(F.col("r") <= F.least(F.col("turn") * per_tag, F.lit(most + per_tag)))

@@ -57,15 +57,16 @@ def build_small_dataset(bags: DataFrame, tags: list[str], max_images: int | None
 
 
 def build_large_cache(blobs: DataFrame, links: DataFrame, max_images: int | None = None, min_per_tag: int = 15, min_tag_images: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(images with their first blob and frequent tags, vocabulary): rare tags are dropped by their count over the whole corpus, then a sample is taken."""
+    """(images with their first blob and frequent tags, vocabulary): rare tags are dropped by their count over the whole corpus, then a sample is
+    taken. An image without a frequent tag has an empty list; it covers no tag, but what is left of the sample may be given to it."""
     bags = links.select(F.col("image_id").alias("item"), F.col("name").alias("tag")).distinct()
     frequent = cooccur.tag_counts(bags).where(F.col("n_items") >= min_tag_images).select("tag")
-    bags = bags.join(frequent, "tag").withColumn("pos", F.col("item"))
+    images = files.first_blob(blobs).withColumnRenamed("image_id", "item")
+    bags = images.select("item", F.col("item").alias("pos")).join(bags.join(frequent, "tag"), "item", "left")
     if max_images is not None:
         bags = bags.join(sampling.coverage(bags, max_images, min_per_tag), "item", "left_semi")
     tags = bags.groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    images = files.first_blob(blobs).withColumnRenamed("image_id", "item").join(tags, "item")
-    return images, vocabulary.build(bags.select((F.col("item") * 1024).alias("pos"), "tag"))
+    return images.join(tags, "item"), vocabulary.build(bags.where("tag IS NOT NULL").select((F.col("item") * 1024).alias("pos"), "tag"))
 
 
 def tag(items: DataFrame, tags: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -78,8 +78,8 @@ def second_site_posts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def next_cursor(raw_page: DataFrame, page_size: int, id_column: str = "id") -> int | None:
-    """The last raw id of a full page, counted before unusable posts are dropped; none after a short page."""
-    row = raw_page.agg(F.count("*").alias("n"), F.min(id_column).alias("last")).first()
+    """The last raw id of a full page, by place and counted before unusable posts are dropped; none after a short page."""
+    row = raw_page.withColumn("_place", F.monotonically_increasing_id()).agg(F.count("*").alias("n"), F.max_by(id_column, "_place").alias("last")).first()
     return row["last"] if row["n"] == page_size else None
 
 
