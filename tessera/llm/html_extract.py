@@ -4,13 +4,16 @@ Every word scores positive and every tag negative; both weights, and what the
 elements around a word say, are log odds counted on labelled pages
 (``LABELLED_PAGES``, or the caller's own). One linear scan finds the contiguous
 region with the greatest sum. The region grows to the ``article`` or ``main``
-that it lies in, and words of boilerplate inside it (an advert between two
-paragraphs, reader comments) stay out by their own weight.
+elements that it touches, others come along if their words outweigh their tags,
+and words of boilerplate inside (an advert between two paragraphs, reader
+comments) stay out by their own weight.
 
 Defined results: a null or empty page, and one without a word of content, has
-an empty text and 0 characters. Pages are read one by one, whole, however long;
-repeated rows repeat their result; clashing input columns are replaced. Broken
-markup (unclosed elements, comments, quotes) is read as far as it goes.
+an empty text and 0 characters. Pages are read one by one, whole, however long,
+in time linear in their length; repeated rows repeat their result; clashing
+input columns are replaced. Broken markup is read as far as it goes: a quote
+that is never closed is an ordinary sign, a tag that is never closed ends the
+page, an element that is never closed reaches to the end of what holds it.
 """
 
 from __future__ import annotations
@@ -21,19 +24,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-TOKEN = re.compile(
-    r"""<!--(?:(?s:.*?)-->|(?s:.*))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([^<]++)|<"""
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+TAG_END = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SPACES = re.compile(r"\s+")
 
-#: Elements whose content is not markup; all of them are left out.
-RAW = frozenset("script style noscript template textarea iframe svg math title select option object canvas".split())
+#: Elements that are left out whole; the content of the first ones is not markup, so that without an end they reach to the end of the page.
+OPAQUE = frozenset("script style textarea iframe title".split())
+RAW = OPAQUE | frozenset("noscript template svg math select option object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
 #: Elements that end a word even though no block ends.
@@ -44,19 +49,25 @@ UNTRACKED = INLINE | VOID | frozenset("p li dt dd h1 h2 h3 h4 h5 h6 tr thead tbo
 #: Labelled pages: what stands between the two marks is content.
 MARK = re.compile(r"<!--(/?)main-->")
 _WORDS = "a short piece of running text that says what such a place on a page says "
+_FEW = "home and more "  # boilerplate stands in short pieces
 LABELLED_PAGES = tuple(
-    f"<html><head><title>{_WORDS}</title></head><body>{before}<{tag}><!--main--><h1>{_WORDS}</h1><p>{_WORDS * 3}</p><!--/main-->{inside}<!--main--><p>{_WORDS * 4}</p><ul><li>{_WORDS}</li></ul><!--/main--></{tag.split()[0]}>{after}</body></html>"
+    f"<html><head><title>{_FEW}</title></head><body>{before}<{tag}><!--main--><h1>{_FEW}</h1><div><p>{_WORDS}</p></div><h2>{_FEW}</h2><!--/main-->{inside}<!--main--><p>{_WORDS}</p><ul><li>{_FEW}</li><li>{_FEW}</li></ul><blockquote><p>{_FEW * 2}</p></blockquote><!--/main--></{tag.split()[0]}>{after}</body></html>"
     for tag in ("article", "main", 'div class="article"', 'div class="content post entry story"', 'div id="main"', 'section class="body text"')
     for before, inside, after in (
         (
-            f"<header><a href=x>{_WORDS}</a></header><nav><ul><li><a href=x>{_WORDS}</a></li><li><a href=x>home</a></li></ul></nav><div class=\"menu navigation navbar breadcrumb breadcrumbs\"><a>{_WORDS}</a></div><div class=\"header masthead topbar\">{_WORDS}</div>",
-            f"<div class=\"ad ads advert advertisement adverts adsense sponsor sponsored promo promotion banner\">{_WORDS}</div><form><p>{_WORDS}</p></form><button>send</button>",
-            f"<aside>{_WORDS * 2}</aside><div class=\"sidebar widget related recommended\">{_WORDS * 2}</div><div class=\"comments comment reply replies disqus respond discussion\"><p>{_WORDS * 3}</p></div><footer>{_WORDS}</footer><div class=\"footer copyright\">{_WORDS}</div>",
+            f"<header><a href=x>{_FEW}</a></header><nav><ul><li><a href=x>{_FEW}</a></li><li><a href=x>home</a></li></ul></nav><div class=\"menu navigation navbar breadcrumb breadcrumbs\"><a>{_FEW}</a></div><div class=\"header masthead topbar\">{_FEW}</div>",
+            f"<div class=\"ad ads advert advertisement adverts adsense sponsor sponsored promo promotion banner\">{_FEW}</div><form><p>{_FEW}</p></form><button>send</button>",
+            f"<aside>{_FEW * 2}</aside><div class=\"sidebar widget related recommended\">{_FEW * 2}</div><div class=\"comments comment reply replies disqus respond discussion\"><p>{_FEW * 3}</p></div><footer>{_FEW}</footer><div class=\"footer copyright\">{_FEW}</div>",
+        ),
+        (
+            f"<div class=\"notice notices cookie cookies consent gdpr alert popup modal overlay\"><p>{_FEW}</p></div><div role=\"navigation search\">{_FEW}</div><div role=\"banner alert dialog complementary contentinfo\">{_FEW}</div><menu><li>{_FEW}</li></menu><dialog>{_FEW}</dialog>",
+            f"<div class=\"share social sharing subscribe newsletter signup login search toolbar pagination pager\"><a>{_FEW}</a></div><fieldset>{_FEW}</fieldset>",
+            f"<div class=\"nav side rail tags meta byline disclaimer\">{_FEW}</div><section id=\"comments\"><p>{_FEW * 2}</p></section>",
         ),
         (
-            f"<div class=\"notice notices cookie cookies consent gdpr alert popup modal overlay\"><p>{_WORDS}</p></div><div role=\"navigation search\">{_WORDS}</div><div role=\"banner alert dialog complementary contentinfo\">{_WORDS}</div><menu><li>{_WORDS}</li></menu><dialog>{_WORDS}</dialog>",
-            f"<div class=\"share social sharing subscribe newsletter signup login search toolbar pagination pager\"><a>{_WORDS}</a></div><fieldset>{_WORDS}</fieldset>",
-            f"<div class=\"nav side rail tags meta byline disclaimer\">{_WORDS}</div><section id=\"comments\"><p>{_WORDS * 2}</p></section>",
+            f"<div class=\"toplinks links quicklinks sitemap skip crumbs navigation navi\"><a>{_FEW}</a></div><div class=\"hinweis aviso avis datenschutz privacy paywall gate\">{_FEW}</div><div class=\"werbung anzeige publicidad publicite pub dfp adsbygoogle\">{_FEW}</div>",
+            f"<div class=\"taboola outbrain recirculation recirc trending popular readmore verwandt relacionados similaires\"><a>{_FEW}</a></div><div class=\"poll survey quiz rating ratings feedback contact formular\"><p>{_FEW}</p></div>",
+            f"<div class=\"opinions opinion reviews testimonials kommentar kommentare comentarios commentaires meinungen leserbriefe reactions guestbook\"><p>{_FEW * 2}</p></div><div class=\"seitenleiste lateral teaser teasers authorbox\">{_FEW}</div><div class=\"impressum legal colophon pie\">{_FEW}</div>",
         ),
     )
 )
@@ -70,27 +81,59 @@ class Weights:
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, attributes): kinds are open, close, text and mark."""
+    """(kind, name or text, attributes): kinds are open, close, text and mark. No stretch of the page is searched twice."""
     at, n = 0, len(page)
+    last = {sign: page.rfind(sign) for sign in "\"'>"}
+    endless: set[str] = set()  # elements of which no end comes any more
     while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if (text := m[7]) is not None:
-            yield "text", text, ""
-        elif name := m[2] or m[5]:
-            name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-            if closing:
-                yield "close", name, ""
-                continue
-            yield "open", name, attributes
-            if name in RAW and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
-                yield "close", name, ""
-        elif m[0] == "<":
+        mark = page.find("<", at)
+        if mark != at:
+            yield "text", page[at : mark if mark >= 0 else n], ""
+            if mark < 0:
+                return
+        following = page[mark + 1 : mark + 2]
+        if following in ("!", "?"):
+            comment = page.startswith("<!--", mark)
+            end = page.find("-->" if comment else ">", mark + 1 if not comment else mark + 4)
+            at = n if end < 0 else end + (3 if comment else 1)
+            if comment and MARK.fullmatch(page[mark:at]):
+                yield "mark", page[mark:at], ""
+            continue
+        closing = following == "/"
+        name = NAME.match(page, mark + 1 + closing)
+        if not name:
             yield "text", "<", ""
-        elif MARK.fullmatch(m[0]):
-            yield "mark", m[0], ""
+            at = mark + 1
+            continue
+        at = name.end()
+        while True:  # to the end of the tag; a quote begins a value only behind an equals sign, and only if it is closed
+            sign = TAG_END.search(page, at) if at <= last[">"] else None
+            if not sign:
+                return
+            at = sign.end()
+            if sign[0] == ">":
+                break
+            if at <= last[sign[0]] and page[name.end() : sign.start()][-64:].rstrip().endswith("="):
+                at = page.find(sign[0], at) + 1
+        attributes, tag = page[name.end() : at - 1], name[0].lower()
+        if closing:
+            yield "close", tag, ""
+            continue
+        yield "open", tag, attributes
+        if tag in RAW and not attributes.endswith("/"):
+            end = None if tag in endless else _end_of(tag).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in OPAQUE:
+                at = n
+            else:
+                endless.add(tag)
+            yield "close", tag, ""
+
+
+@lru_cache(maxsize=1024)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*+>?", re.IGNORECASE)
 
 
 def _names(name: str, attributes: str) -> list[str]:
@@ -130,8 +173,36 @@ def fit(pages=LABELLED_PAGES, smooth: float = 0.5) -> Weights:
     base = math.log((words[1] + smooth) / (words[0] + smooth))
     odds = {x: math.log((names[1][x] + smooth) / (names[0][x] + smooth)) - base for x in {*names[0], *names[1]}}
     odds = {x: v for x, v in odds.items() if abs(v) > 1 and x.removeprefix(".") not in INLINE | {"p", "li", "ul", "h1", "body", "html", "head"}} | {"head": -9.0, "?hidden": -9.0}
-    # A word of unknown surroundings counts as content; a tag costs as much less as tags are rarer in content.
-    return Weights(word=1.0, tag=-min(3.0, max(0.5, math.log((tags[0] / max(1, words[0])) / (tags[1] / max(1, words[1]))))), names=odds)
+    # Log odds that a word, or a tag, stands in content rather than in what is not; a page of words alone says nothing, so a word counts a little at least.
+    share = lambda counts, other: counts / max(1, counts + other)
+    word = math.log((share(words[1], tags[1]) + 1e-9) / (share(words[0], tags[0]) + 1e-9))
+    tag = math.log((share(tags[1], words[1]) + 1e-9) / (share(tags[0], words[0]) + 1e-9))
+    return Weights(word=max(0.05, word), tag=min(-0.05, tag), names=odds)
+
+
+#: Letters that a name must begin or end with for a known word in it to count (``commentlist``, ``toplinks``).
+LEAST_PART = 5
+
+
+def _says(name: str, weights: Weights) -> float:
+    """What a name, or the beginning or the end of a compound one, says against its element."""
+    known = weights.names.get(name)
+    if known is not None or not name.startswith("."):
+        return known or 0.0
+    parts = [x for k in range(LEAST_PART + 1, len(name)) for x in (name[:k], f".{name[k - 1 :]}") if len(x) > LEAST_PART]
+    return min((weights.names.get(x, 0.0) for x in parts), default=0.0)
+
+
+def best_region(scores: list[float]) -> tuple[int, int, float]:
+    """The contiguous region with the greatest sum, as (first, behind the last, sum): of several the earliest and shortest; without a positive score, nothing."""
+    first, last, best, run, start = 0, 0, 0.0, 0.0, 0
+    for i, s in enumerate(scores):
+        run += s
+        if run <= 0:
+            run, start = 0.0, i + 1
+        elif run > best:
+            first, last, best = start, i + 1, run
+    return first, last, best
 
 
 def extract(page: str | None, weights: Weights) -> str:
@@ -139,87 +210,97 @@ def extract(page: str | None, weights: Weights) -> str:
     scores: list[float] = []  # of all words and tags, in order
     parts: list[tuple[int, float, str]] = []  # of texts: place of the first word, a word's score, text
     breaks: list[int] = []  # parts that begin a block
-    regions: list[tuple[int, int]] = []  # of article and main
+    regions: list[tuple[str, int, int]] = []  # of article and main
     stack: list[tuple[str, float, int, bool]] = []  # element, least weight of what is open, place, whether its content counts as an article
+    held: Counter = Counter()  # elements on the stack by name
+    lows: dict[tuple[str, str], float] = {}  # what elements with these attributes say, each worked out once
     begins = True
+
+    def push(name: str, low: float, article: bool = False) -> None:
+        stack.append((name, min(stack[-1][1] if stack else 0.0, low), len(scores), article))
+        held[name] += 1
+
+    def pop() -> None:
+        name, _, place, article = stack.pop()
+        held[name] -= 1
+        if article:
+            regions.append((name, place, len(scores)))
+
     for kind, value, attributes in _tokens(page or ""):
         if kind == "text":
             text = html.unescape(value)
             count = len(text.split())
-            low = stack[-1][1] if stack else 0.0
             if begins:
                 breaks.append(len(parts))
                 begins = False
-            weight = weights.word + min(0.0, low)
-            parts.append((len(scores), weight, text))
-            scores += [max(weight, -1.0)] * count
+            low = stack[-1][1] if stack else 0.0
+            parts.append((len(scores), weights.word + low, text))
+            scores += [weights.word if low >= 0 else -weights.word] * count
         elif kind in ("open", "close"):
             if value not in INLINE:
                 begins = True
             elif value in SPACED:
                 parts.append((len(scores), weights.word, " "))
             scores.append(weights.tag if value not in INLINE else weights.tag / 4)
-            if value in UNTRACKED and not (kind == "open" and value not in VOID and value not in INLINE and value not in ("html", "body") and _low(value, attributes, weights) < 0):
-                if kind == "close" and stack and stack[-1][0] == value:
-                    stack.pop()  # a block that was tracked for its class
-                elif kind == "open" and value not in INLINE and stack and stack[-1][0] in UNTRACKED:
-                    stack.pop()  # the next block ends one that was not closed
+            if kind == "close":
+                if value not in UNTRACKED or stack and stack[-1][0] == value:
+                    while held[value]:  # also what was left open inside
+                        ends = stack[-1][0] == value
+                        pop()
+                        if ends:
+                            break
                 continue
-            if kind == "open":
-                if value in VOID or value in RAW:
-                    if value in RAW:
-                        stack.append((value, -9.0, len(scores), False))
-                    continue
-                if stack and stack[-1][0] in UNTRACKED:
-                    stack.pop()
-                low = min(stack[-1][1] if stack else 0.0, _low(value, attributes, weights))
-                stack.append((value, low, len(scores), low >= 0 and weights.names.get(value, 0.0) > 0 and value in ("article", "main")))
-            else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == value:
-                        for x in stack[k:]:
-                            if x[3]:
-                                regions.append((x[0], x[2], len(scores)))
-                        del stack[k:]
-                        break
-    regions += [(x[0], x[2], len(scores)) for x in stack if x[3]]
-    # Where a page says what its article is, what lies outside counts as boilerplate; an article says more than a main.
+            if (key := (value, attributes)) not in lows:
+                lows[key] = _low(value, attributes, weights)
+            low = lows[key]
+            if value in VOID or value in INLINE:
+                continue
+            while stack and stack[-1][0] in UNTRACKED:
+                pop()  # the next block ends one that was not closed
+            if value in RAW:
+                push(value, -9.0)
+            elif value not in UNTRACKED:
+                push(value, low, value in ("article", "main") and low >= 0 and (stack[-1][1] if stack else 0.0) >= 0)
+            elif low < 0 and value not in ("html", "body"):
+                push(value, low)  # tracked for its class
+    while stack:
+        pop()
+    # Where a page says what its articles are, what lies outside counts as boilerplate; an article says more than a main.
+    words = list(accumulate((s > 0 for s in scores), initial=0))
+    spans: list[tuple[int, int]] = []
     for name in ("article", "main"):
-        spans = [(a, b) for x, a, b in regions if x == name and sum(s for s in scores[a:b] if s > 0) > 0]
+        for a, b in sorted((a, b) for x, a, b in regions if x == name and words[b] > words[a]):
+            if spans and a < spans[-1][1]:  # one inside the other
+                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+            else:
+                spans.append((a, b))
         if spans:
             inside = bytearray(len(scores))
             for a, b in spans:
                 inside[a:b] = b"\x01" * (b - a)
-            scores = [s if i else min(s, -1.0) for s, i in zip(scores, inside, strict=True)]
+            scores = [s if i else min(s, -weights.word) for s, i in zip(scores, inside, strict=True)]
             break
-    else:
-        spans = []
-    first, last, best, run, start = 0, 0, 0.0, 0.0, 0
-    for i, s in enumerate(scores):
-        run += s
-        if run <= 0:
-            run, start = 0.0, i + 1
-        elif run > best:
-            first, last, best = start, i + 1, run
+    first, last, best = best_region(scores)
     if best <= 0:
         return ""
-    holding = [(b - a, a, b) for a, b in spans if a < last and b > first]
-    if holding:
-        _, first, last = max(holding)
-    blocks, held, at = [], [], set(breaks)
-    for k, (place, weight, text) in enumerate(parts):
-        if k in at and held:
-            blocks.append("".join(held))
-            held = []
-        if weight > 0 and first <= place < max(last, first + 1):
-            held.append(text)
-    blocks.append("".join(held))
+    # Of several articles, those that the region touches and those whose own words outweigh their tags.
+    chosen = [(a, b) for a, b in spans if a < last and b > first or sum(scores[a:b]) > 0] or [(first, last)]
+    blocks, now, at, k = [], [], set(breaks), 0
+    for i, (place, weight, text) in enumerate(parts):
+        if i in at and now:
+            blocks.append("".join(now))
+            now = []
+        while k < len(chosen) - 1 and place >= chosen[k][1]:
+            k += 1
+        if weight > 0 and chosen[k][0] <= place < chosen[k][1]:
+            now.append(text)
+    blocks.append("".join(now))
     return "\n\n".join(b for b in (SPACES.sub(" ", x).strip() for x in blocks) if b)
 
 
 def _low(value: str, attributes: str, weights: Weights) -> float:
     """The strongest word against an element, or 0; what speaks for it never outweighs that."""
-    return min([0.0, *(weights.names.get(x, 0.0) for x in _names(value, attributes))])
+    return min([0.0, *(_says(x, weights) for x in _names(value, attributes))])
 
 
 def extract_pages(pages: DataFrame, page: str = "html", weights: Weights | None = None, keep: list[str] | None = None) -> DataFrame:

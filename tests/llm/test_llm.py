@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -234,6 +235,46 @@ def test_main_text_of_a_page():
     assert html_extract.extract('<div class="content"><p>real words stand here in a row</p></div><div class="comments"><p>no no no</p></div>', weights) == "real words stand here in a row"
 
 
+def test_best_region_against_all_regions():
+    rng = random.Random(40)
+    for _ in range(300):
+        scores = [rng.choice([1.0, 0.5, -0.5, -1.0, -2.0]) for _ in range(rng.randrange(30))]
+        first, last, best = html_extract.best_region(scores)
+        want = max([0.0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
+        assert best == want == sum(scores[first:last])
+
+
+TEXT = "real words of running text that go on for a while in a row "
+
+
+@pytest.mark.parametrize("name", "reader-opinions feedback user-reviews kommentare outbrain toplinks commentlist cookieBanner sidebar_right newsletterbox".split())
+def test_boilerplate_of_other_names(name):
+    page = f'<div class="content"><p>{TEXT * 2}</p><div class="{name}"><p>BAD BAD BAD BAD</p></div><p>{TEXT}</p></div>'
+    assert html_extract.extract(page, html_extract.fit()) == f"{TEXT * 2}".strip() + "\n\n" + TEXT.strip()
+
+
+def test_all_articles_of_a_page_stay():
+    weights = html_extract.fit()
+    page = f"<nav><a>a</a></nav><article><h1>A</h1><p>{TEXT * 3}</p></article><div>between</div><article><h1>B</h1><p>{TEXT}</p></article><aside><article><p>{TEXT}</p></article></aside><footer>f</footer>"
+    assert html_extract.extract(page, weights) == f"A\n\n{(TEXT * 3).strip()}\n\nB\n\n{TEXT.strip()}"
+    assert html_extract.extract(f'<p>{TEXT}</p><div class="box"><p>three more words</p></div><p>{TEXT}</p>', weights) == f"{TEXT.strip()}\n\nthree more words\n\n{TEXT.strip()}"
+
+
+@pytest.mark.parametrize("piece", ["<svg ", '<a b="', "<div>", "</p></x>", "<option>", "<svg>", "<article>", "<main><article>", "a<b ", "<!--", "<p class='ad'>", "<a b='\"", "&", "< ", "<select>", "</"])
+def test_broken_markup_takes_linear_time(piece):
+    weights = html_extract.fit()
+    page = piece * ((1 << 20) // len(piece)) + f"<p>{TEXT}</p>"
+    began = time.perf_counter()
+    html_extract.extract(page, weights)
+    assert time.perf_counter() - began < 4  # quadratic time would be minutes
+
+
+def test_empty_table_of_pages(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    got = html_extract.extract_pages(df)
+    assert got.count() == 0 and got.columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_pages_keep_their_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, n_chars string")
     got = html_extract.extract_pages(df).collect()
