@@ -5,7 +5,8 @@ letter or digit and an ASCII sign, so a text's ids are those of its units one
 after the other. Units are found and hashed over the bytes of many texts in
 numpy; each distinct unit is encoded once by the vocabulary's tokenizer and
 its ids are kept in a table of bounded size. Everything but plain Latin words
-goes through the unchanged tokenizer.
+goes through the unchanged tokenizer. Strings of the vocabulary's added tokens
+are cut out first and get their own ids, as the tokenizer does by itself.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm.common import _BYTE, SEGMENT_BYTES, _powers, mix, utf8
 
@@ -46,9 +48,11 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = True  # of units; added tokens are cut out of the texts before
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.cut_out = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         # The same merges over words that are cut, lower-cased and written as byte letters already.
         self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         vocab = self.words.get_vocab()
@@ -134,6 +138,28 @@ class UnitEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` (null: empty) in one array, and where each text's begin; the last entry is the end."""
+        marked = [i for x in self.added for i in pc.indices_nonzero(pc.fill_null(pc.match_substring(texts, x), False)).to_pylist()]
+        if not marked:
+            return self._encode(texts)
+        parts, sizes = [], np.ones(len(texts), np.int64)  # a text with such strings is several parts, every other one of them an added token
+        at = 0
+        for i in sorted(set(marked)):
+            own = self.cut_out.split(texts[i].as_py())
+            parts += [texts.slice(at, i - at).cast(pa.string()), pa.array(own, pa.string())]
+            sizes[i], at = len(own), i + 1
+        whole = pa.concat_arrays([*parts, texts.slice(at).cast(pa.string())])
+        ends = np.cumsum(sizes)
+        many = np.flatnonzero(sizes > 1)
+        places = np.concatenate([np.arange(ends[i] - sizes[i] + 1, ends[i], 2) for i in many])
+        added = np.array([self.added[x] for x in whole.take(pa.array(places)).to_pylist()], np.uint32)
+        plain = np.zeros(len(whole), bool)
+        plain[places] = True
+        ids, begin = self._encode(pc.if_else(pa.array(plain), "", whole))
+        ids = np.insert(ids, begin[places], added)
+        begin = begin + np.concatenate([[0], np.cumsum(plain)])
+        return ids, begin[np.concatenate([[0], ends])]
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = utf8(texts)
         ids, begins, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         inner = offsets[1:-1]

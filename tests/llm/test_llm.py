@@ -554,10 +554,11 @@ def test_ids_are_the_tokenizers_own(monkeypatch):
 
     path = packing.vocabulary_path()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     rng = random.Random(11)
     alphabet = "ab'.,!1 é́…\nİßΣ中 \x1c<|>#sTLl"
     texts = ["", None, "<|endoftext|> x", "don't I'LL", "x" * 3000, "\ufeffhi ﬁ"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(2000)]
+    signs = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", " ", "a", "é", "hello", "\n"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(8))) for _ in range(300)]
     encoder = tokens.UnitEncoder(path)
     for limit, segment in ((10**6, 1 << 20), (300, 64)):
         monkeypatch.setattr(tokens, "TABLE_UNITS", limit)
