@@ -1,5 +1,6 @@
 """Corpus operators: brute force, exact round trips, held-out accuracy, and odd tables."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -200,6 +201,59 @@ def test_kneser_ney_against_plain_python(spark, monkeypatch):
         assert table[((g[0] * 5 + g[1]) * 5 + g[2]) * 5 + g[3]] == pytest.approx(np.log(prob(g)), abs=0.01)
 
 
+def grams_of(text, table):
+    """All grams of a text, and of the spelling of its rare characters, in plain Python."""
+    codes = [int(table[c]) if c < len(table) else 1 for c in map(ord, text)]
+    line = [0, 0, 0, *codes, 0]
+    out = [tuple(line[k - 3 : k + 1]) for k in range(3, len(line))]
+    for c in (ord(x) for x, code in zip(text, codes) if code == 1):
+        d = [c // 46**k % 46 + 2 for k in range(4)][::-1]
+        if c < quality_lm.SHORT:
+            out += [(1, 0, 0, d[1]), (1, 0, d[1], d[2]), (0, *d[1:])]
+        else:
+            out += [(1, 0, 0, 0), (1, 1, 0, d[0]), (1, 0, d[0], d[1]), (0, *d[:3]), (0, *d[1:])]
+    return [((g[0] * 48 + g[1]) * 48 + g[2]) * 48 + g[3] for g in out]
+
+
+def test_counts_and_perplexity_against_plain_python():
+    rng = random.Random(23)
+    table = quality_lm._symbol_tables({"x": [ord(c) for c in "ab é中"]})["x"]
+    texts = ["", None, "a", "中文 \U0001f600b"] + ["".join(rng.choice("ab é中文字\U0001f600Z") for _ in range(rng.randrange(30))) for _ in range(40)]
+    plain = [grams_of(t or "", table) for t in texts]
+    log = np.log(np.random.default_rng(0).random(quality_lm.SYMBOLS**quality_lm.ORDER) + 0.01).astype(np.float16)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["x"] * len(texts)), pa.array(texts), pa.array([0] * len(texts))], names=["doc_id", "lang", "text", "trusted"])
+    shared = lambda x: type("Value", (), {"value": {"x": x}})
+    counts = {r["gram"]: r["n"] for b in quality_lm._counter(shared(table))(iter([batch.select(["lang", "text"])])) for r in b.to_pylist()}
+    want = collections.Counter(g for p, t in zip(plain, texts) for g in p)
+    assert counts == want
+    got = [r for b in quality_lm._scorer(shared(table), shared(log))(iter([batch])) for r in b.to_pylist()]
+    for r, p, t in zip(got, plain, texts):
+        assert r["perplexity"] == (pytest.approx(np.exp(-sum(float(log[g]) for g in p) / (len(t) + 1))) if t else None)
+
+
+def test_every_language_has_a_model(spark, monkeypatch):
+    """Ten languages, two at a time, one of them of a script with hundreds of characters; one without enough trusted texts."""
+    monkeypatch.setattr(quality_lm, "LANGUAGES_AT_ONCE", 2)
+    rng = random.Random(24)
+    script = [chr(0x4E00 + rng.randrange(20_000)) for _ in range(300)]
+    pairs = ["".join(rng.choices(script, k=2)) for _ in range(60)]
+    rows = []
+    for lang in [f"l{k}" for k in range(9)] + ["zh", "few"]:
+        for k in range(60 if lang != "few" else 6):
+            if lang == "zh":
+                text = "".join(rng.choice(pairs) for _ in range(100)) if k < 50 else "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(200))
+            else:
+                text = prose(rng, 60) if k < 50 else "".join(rng.choice("qxzj#%&!") for _ in range(300))
+            rows.append((len(rows), text, lang, "s", k))
+    labels = spark.createDataFrame([(i, 1) for i, _, lang, _, k in rows if k < (25 if lang != "few" else 3)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_lm.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert len(got) == len(rows) and all(got[i]["lang"] == lang for i, _, lang, _, _ in rows)
+    kept = {lang: sum(got[i]["kept"] for i, _, x, _, k in rows if x == lang and k < 50) for lang in {r[2] for r in rows} - {"few"}}
+    assert sum(kept.values()) >= 0.85 * 50 * len(kept) and min(kept.values()) >= 30  # five held-out texts a language set the threshold
+    assert not any(got[i]["kept"] for i, _, lang, _, k in rows if lang != "few" and k >= 50)
+    assert all(got[i]["kept"] and got[i]["perplexity"] is None and got[i]["threshold"] is None for i, _, lang, _, _ in rows if lang == "few")
+
+
 def test_junk_is_told_from_prose(spark):
     rng = random.Random(4)
     texts = [prose(rng, 150) for _ in range(80)] + ["".join(rng.choice("qxzj#%&!") for _ in range(300)) for _ in range(8)] + [None, ""]
