@@ -1,14 +1,19 @@
 """URL filters: host word segmentation by a unigram Viterbi search, then a
 multinomial naive Bayes score of the segmented host and path tokens.
 
-Both models are fitted on the driver from a labelled list of URLs, whose size
-is the caller's documented bound (``max_labelled``); they are a few kilobytes
-and travel inside the task. Judging is one Arrow pass without a shuffle.
+The naive Bayes model is fitted on a labelled list of URLs, by default
+``labelled_urls.txt`` beside this module (made up; a caller with labels of their
+own passes them, at most ``max_labelled`` a class). The unigram counts are those
+of the list, of some common words, and of the parts of all hosts and paths that
+are judged: a part that ``MIN_HOSTS`` hosts share is a word, and counts as often
+as it occurs; ``MAX_WORDS`` words at most, the most frequent ones. The model is
+small by that bound and travels inside the task. Judging is one Arrow pass.
 
 Defined results: a null URL, or one without ``://``, has an empty host and an
 empty path, matches no rule and is allowed (there is nothing to hold against
-it). Rows are judged one by one: repeated rows repeat their result, and input
-columns whose names clash with results are replaced.
+it). A host and path without a known word have no score and are allowed. Rows
+are judged one by one: repeated rows repeat their result, and input columns
+whose names clash with results are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,39 +23,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
-
-#: Labelled hosts and paths that the models learn from; a parameter of ``fit``.
-BLOCKED_URLS = """
-casino-online.test/slots bestcasinobonus.test/win freecasinospins.test/jackpot casinowinbig.test/poker
-pokerstarsbonus.test/bet sportsbetting.test/odds freebets.test/bonus betwin.test/free-bets onlinebet.test/win
-winbigslots.test/jackpot lotterywinner.test/prize luckyjackpot.test/casino win-casino.test/free
-cheappills.test/viagra cheap-pills.test/buy buyviagraonline.test/pills pharmacypills.test/cheap cialisdiscount.test/order
-dietpills.test/miracle weightlosspills.test/buy onlinepharmacy.test/cheap-meds cheapmeds.test/pills
-adultvideos.test/xxx xxxporn.test/free freeporn.test/adult adult-x.test/video sexcams.test/adult adultdating.test/sex
-hotsexchat.test/x nudecams.test/xxx escortgirls.test/adult adultx.test/x
-adstracker.test/click ads-track.test/pixel adserver.test/banner trackads.test/click clicktracker.test/ads
-bannerads.test/track popupads.test/redirect adclick.test/track trackingpixel.test/ad
-spamfarm.test/links spam-farm.test/seo linkfarm.test/spam seospam.test/backlinks buybacklinks.test/farm spamlinks.test/farm
-freeiphonewinner.test/prize getrichquick.test/money fastcashloans.test/loan paydayloans.test/cash freemoney.test/win
-cheapreplica.test/watches replicawatches.test/buy cheaprolex.test/replica crackedsoftware.test/warez warezdownload.test/crack
-""".split()
-ALLOWED_URLS = """
-news.test/world/article blog.test/2021/post city-library.test/catalog publiclibrary.test/books university.test/research
-sciencejournal.test/article/history openmuseum.test/collection artmuseum.test/en/visit weatherreport.test/forecast
-localnews.test/politics worldnews.test/en/today healthservice.test/advice/flu hospital.test/patients cityhall.test/services
-schooldistrict.test/calendar mathteacher.test/lessons gardenblog.test/tomatoes cookingrecipes.test/bread travelguide.test/fr/paris
-trainschedule.test/timetable bookshop.test/novels musicschool.test/lessons footballclub.test/results chessclub.test/members
-opensource.test/docs/install pythondocs.test/library/re developerblog.test/testing softwaremanual.test/guide
-historyforum.test/thread/12 photographyclub.test/gallery wildlifetrust.test/birds nationalpark.test/trails
-en.encyclopedia.test/wiki/river dictionary.test/de/wort poetryarchive.test/poem legalaid.test/housing
-farmersmarket.test/seasonal dairyfarm.test/visit winterfestival.test/program windowrepair.test/contact
-trackandfield.test/results railwaytrack.test/maps freelibrary.test/ebooks homebrewclub.test/beer
-m.dailypost.test/index.html www.regionalpaper.test/about blog.mountainhiking.test/routes charity.test/donate
-""".split()
-#: Further frequent words, so that names made of them are cut where a reader would.
+from pyspark.sql import DataFrame, functions as F, types as T
+
+LABELLED_URLS = Path(__file__).with_name("labelled_urls.txt")
+#: Hosts that share a part for it to count as a word, and words of the unigram model.
+MIN_HOSTS, MAX_WORDS = 3, 100_000
+#: Further frequent words, so that names made of them are cut where a reader would.
 COMMON_WORDS = """
 the and for with from this that your our all new home page index online web site shop store blog news info net world
 best top big free live play game games video videos photo music book books city house garden health food travel school
@@ -133,37 +114,57 @@ class UrlModel:
             out += self.segmenter.split(name.lower()) if name.isalpha() else []
         return [w for w in out if w not in NEUTRAL]
 
-    def score(self, host: str, path: str) -> float:
-        """Log odds of block against allow; words without a weight say nothing."""
+    def score(self, host: str, path: str) -> float | None:
+        """Log odds of block against allow; words without a weight say nothing, and if there are no others there is no score."""
         known = [self.weights[w] for w in self.tokens(host, path) if w in self.weights]
-        return self.prior + sum(known) if known else -math.inf
+        return self.prior + sum(known) if known else None
+
+    def verdict(self, score: float | None) -> str:
+        return "block" if score is not None and score > self.threshold else "allow"
 
-    def verdict(self, host: str, path: str) -> str:
-        return "block" if self.score(host, path) > self.threshold else "allow"
 
+def labelled(path: Path = LABELLED_URLS) -> tuple[list[str], list[str]]:
+    """The blocked and the allowed URLs of a list."""
+    lines = [x.split() for x in path.read_text(encoding="utf-8").splitlines() if x.strip() and not x.startswith("#")]
+    return [u for y, u in lines if y == "block"], [u for y, u in lines if y == "allow"]
 
-def fit(blocked=tuple(BLOCKED_URLS), allowed=tuple(ALLOWED_URLS), words=tuple(COMMON_WORDS), max_labelled: int = 100_000, smooth: float = 0.5) -> UrlModel:
-    """Fits both models on at most ``max_labelled`` URLs of each class, in the order given.
 
-    The unigram counts start from the parts that hyphens and dots separate, and from ``words``; the naive Bayes counts are over segmented tokens.
+def corpus_words(pages: DataFrame, url: str = "url", min_hosts: int = MIN_HOSTS, max_words: int = MAX_WORDS) -> dict[str, int]:
+    """How often the words of all hosts and paths occur: their parts between signs that at least ``min_hosts`` hosts share."""
+    rest = F.regexp_extract(F.col(url), r"^.*?://([^?#]*)", 1)
+    host = F.lower(F.substring_index(rest, "/", 1))
+    each = pages.select(host.alias("host"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(r"([a-z]{2,})"), F.lit(1)))).alias("word"))
+    # Once for each host and word, then for each word: a host with a third of all pages is one row by then.
+    pairs = each.groupBy("word", "host").agg(F.count("*").alias("n"))
+    words = pairs.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where(F.col("hosts") >= min_hosts)
+    return {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(max_words).collect()}
+
+
+def fit(blocked: list[str] | None = None, allowed: list[str] | None = None, seen: dict[str, int] | None = None, words=tuple(COMMON_WORDS), max_labelled: int = 100_000, smooth: float = 0.5) -> UrlModel:
+    """Fits both models on at most ``max_labelled`` URLs of each class, in the order given; ``seen`` are counts of further words.
+
+    Words are the parts that hyphens and slashes separate in the list; the naive Bayes counts are over segmented tokens, once a URL.
     """
+    if blocked is None or allowed is None:
+        blocked, allowed = labelled()
+    urls = [(u, y) for own, y in ((blocked, 1), (allowed, 0)) for u in own[:max_labelled]]
     counts = Counter(words)
-    labelled = [(u, y) for urls, y in ((blocked, 1), (allowed, 0)) for u in urls[:max_labelled]]
-    parts = Counter(p.lower() for u, _ in labelled for p in TOKEN.findall(u) if len(p) > 1)
-    # Words of paths and short parts are words; long host labels are what has to be cut.
-    vocabulary = {p for u, _ in labelled for p in TOKEN.findall(u.partition("/")[2]) if len(p) > 1} | set(words)
-    vocabulary |= {p for p in parts if len(p) <= 4} | {p for u, _ in labelled for p in u.partition("/")[0].split(".")[0].split("-") if "-" in u.partition("/")[0]}
-    for w in vocabulary:
-        counts[w] += parts.get(w, 0) + 1
+    for u, _ in urls:
+        host, _, path = u.partition("/")
+        counts.update(p.lower() for x in (host.split(".")[0], path) for p in TOKEN.findall(x) if len(p) > 1)
+    listed = sum(counts.values())
+    total = sum((seen or {}).values())
+    for w, n in (seen or {}).items():  # all pages together weigh as much as the list, so that frequent names of theirs are not cheaper than words
+        counts[w] += max(1, round(n * listed / total))
     segmenter = Segmenter({w: c for w, c in counts.items() if w.isalpha() and len(w) > 1})
     model = UrlModel(segmenter, {}, 0.0)
-    seen = (Counter(), Counter())
-    for u, y in labelled:
+    held = (Counter(), Counter())
+    for u, y in urls:
         host, _, path = u.partition("/")
-        seen[y].update(model.tokens(host, path))
-    vocab = set(seen[0]) | set(seen[1])
-    total = [sum(c.values()) + smooth * len(vocab) for c in seen]
-    model.weights = {w: math.log((seen[1][w] + smooth) / total[1]) - math.log((seen[0][w] + smooth) / total[0]) for w in vocab}
+        held[y].update(set(model.tokens(host, path)))
+    vocab = set(held[0]) | set(held[1])
+    size = [sum(c.values()) + smooth * len(vocab) for c in held]
+    model.weights = {w: math.log((held[1][w] + smooth) / size[1]) - math.log((held[0][w] + smooth) / size[0]) for w in vocab}
     model.prior = math.log(max(1, len(blocked)) / max(1, len(allowed)))
     return model
 
@@ -174,8 +175,8 @@ RESULT = T.StructType(
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, model: UrlModel | None = None) -> DataFrame:
-    """``pages`` with host, path, rule, verdict, the method's score (log odds; -inf: no known word) and the host's words."""
-    model = model or fit()
+    """``pages`` with host, path, rule, verdict, the method's score (log odds; null: no known word) and the host's words."""
+    model = model or fit(seen=corpus_words(pages, url))
     keep = [c for c in pages.columns if c.lower() not in {f.name for f in RESULT}]
     source = pages.select(*[f"`{c}`" for c in dict.fromkeys([*keep, url])])
     schema = T.StructType([*[f for f in source.schema if f.name in keep], *RESULT])
@@ -193,7 +194,7 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, model: UrlModel
                         hosts.clear()
                     hosts[key] = (model.score(host, path), " ".join(w for x in host.split(".") for y in TOKEN.findall(x) for w in model.segmenter.split(y)))
                 score, words = hosts[key]
-                rows.append((host, path, rule, verdict or ("block" if score > model.threshold else "allow"), score, words))
+                rows.append((host, path, rule, verdict or model.verdict(score), score, words))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             arrays += [pa.array(c, pa.float64() if f.dataType == T.DoubleType() else pa.string()) for c, f in zip(cols, RESULT, strict=True)]

@@ -712,6 +712,41 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
 
 
+def test_held_out_accuracy(capsys):
+    """Ten folds; the hyphens of held-out hosts are taken out, so that the words have to be found."""
+    lists = url_filter.labelled()
+    right = unknown = 0
+    for fold in range(10):
+        model = url_filter.fit(*[[u for i, u in enumerate(own) if i % 10 != fold] for own in lists])
+        for verdict, own in zip(("block", "allow"), lists):
+            for u in own[fold::10]:
+                host, _, path = u.partition("/")
+                score = model.score(host.replace("-", ""), path)
+                right += model.verdict(score) == verdict
+                unknown += score is None
+    n = sum(map(len, lists))
+    with capsys.disabled():
+        print(f" URLs held out {n}, right {right / n:.3f}, without a known word {unknown}")
+    assert right >= 0.9 * n
+
+
+def test_naive_bayes_against_its_definition():
+    model = url_filter.fit(["bad-slots.test/", "bad-pills.test/"], ["good-books.test/", "good-slots.test/"], words=())
+    blocked, allowed, vocab = {"bad": 2, "slots": 1, "pills": 1}, {"good": 2, "books": 1, "slots": 1}, 5
+    for w in ("bad", "good", "slots", "pills", "books"):
+        assert model.weights[w] == pytest.approx(np.log((blocked.get(w, 0) + 0.5) / (4 + 0.5 * vocab)) - np.log((allowed.get(w, 0) + 0.5) / (4 + 0.5 * vocab)))
+    assert model.score("badslots.com", "") == pytest.approx(model.weights["bad"] + model.weights["slots"]) and model.score("unheard.com", "/1") is None
+
+
+def test_words_of_all_pages(spark):
+    urls = [f"http://h{k}.garden{'x' * k}.test/seed/{k}" for k in range(4)] * 2 + ["http://one.test/only/only", None, "no url", "http://"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert url_filter.corpus_words(df) == {"seed": 8, "test": 9}
+    assert url_filter.fit(seen={"zebracorn": 50}).segmenter.split("bigzebracornnews") == ["big", "zebracorn", "news"]
+    empty = url_filter.judge_urls(df.limit(0))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "host", "path", "rule", "verdict", "score", "host_words"]
+
+
 def test_viterbi_against_all_cuts():
     model = url_filter.fit().segmenter
     rng = random.Random(15)
