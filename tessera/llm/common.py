@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a vectorised step looks at together; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Bytes of an Arrow batch: Spark's own limit, and the one set in its place.
 SPARK_BATCH_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
 #: Bytes hashed at once inside a step: what is kept for each byte stays small however long a text is.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

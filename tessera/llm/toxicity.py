@@ -3,11 +3,14 @@
 A logistic model over the presence of words and of pieces of words (five bytes,
 of which the first may be the place before the word, so that inflected and
 compound insults are met too) is fitted on at most ``max_labelled`` labelled
-rows of each class (a documented bound; which ones, a hash of the id decides). In every labelled sentence with an identity term the
-term is swapped for the others of its group, and the change of score is
-penalised: with linear scores that is ``(w_term - w_other)**2`` for each swap.
-Identity terms so get one weight a group at most, and neutral mentions of a
-group are not held against a text.
+rows of each class (a documented bound; which ones, a hash of the id decides)
+and has at most ``max_words`` features beside the identity terms, those that
+tell the classes apart best. In every labelled sentence with an identity term
+the term is swapped for the others of its group, and the change of score is
+penalised. A term's part of a score is the weight of the word and of all its
+pieces, so a swap of t for o changes it by ``s_t - s_o``, and what is penalised
+is the square of that. The terms of a group so get one score at most, and
+neutral mentions of a group are not held against a text.
 
 Fitting takes only words, never ids, languages, sources or the labels of rows
 that are scored; rows whose ``crc32(id) % 5`` is 0 are held out. Word counts by
@@ -60,7 +63,7 @@ IDENTITY_GROUPS = (
 
 
 PIECE = 5
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 19
 
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,8 +157,16 @@ def _numbers(chosen: np.ndarray):
     return numbered
 
 
-def identity_hashes() -> list[np.ndarray]:
-    return [word_hashes(pa.array(g))[0] | np.uint64(1 << 63) for g in IDENTITY_GROUPS]
+def identity_features() -> list[list[np.ndarray]]:
+    """For each group and term its features, the word itself first."""
+    out = []
+    for group in IDENTITY_GROUPS:
+        found = [[] for _ in group]
+        for owner, keys in features(pa.array([f" {x} " for x in group])):
+            for i, key in zip(owner.tolist(), keys.tolist(), strict=True):
+                found[i].append(key)
+        out.append([np.array(list(dict.fromkeys(x)), np.uint64) for x in found])
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS, min_texts: int = MIN_TEXTS, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE) -> ToxicityModel:
@@ -180,24 +191,32 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     cross = a * (n1 - b) - b * (n0 - a)
     chi = (n0 + n1) * cross * cross / (F.lit(float(n0) * n1) * (a + b) * F.greatest(n0 + n1 - a - b, F.lit(1.0)))
     best = counts.where((a + b >= min_texts) & (chi >= LEAST_CHI_SQUARE)).orderBy(chi.desc(), "word").limit(max_words).select("word").collect()
-    groups = identity_hashes()
-    chosen = np.unique(np.concatenate([np.array([r["word"] for r in best], np.int64).view(np.uint64), *groups]))
+    terms = identity_features()
+    chosen = np.unique(np.concatenate([np.array([r["word"] for r in best], np.int64).view(np.uint64), np.array([t[0] for g in terms for t in g], np.uint64)]))
+    groups = [[np.flatnonzero(np.isin(chosen, t)) for t in g] for g in terms]
+    words = [np.searchsorted(chosen, np.array([t[0] for t in g], np.uint64)) for g in terms]
     rows = sets.mapInArrow(_numbers(chosen), "label int, numbers binary").collect()
     y = np.array([r["label"] for r in rows], np.float64)
-    features = [np.frombuffer(r["numbers"], "<u2").astype(np.int64) for r in rows]
-    weights, intercept = _fit(features, y, len(chosen), [np.searchsorted(chosen, g) for g in groups], counterfactual, ridge, max(prior, LEAST_SHARE))
+    held = [np.frombuffer(r["numbers"], "<u2").astype(np.int64) for r in rows]
+    weights, intercept = _fit(held, y, len(chosen), words, groups, counterfactual, ridge, max(prior, LEAST_SHARE))
     return ToxicityModel(chosen, weights, intercept)
 
 
-def _fit(features: list[np.ndarray], y: np.ndarray, size: int, groups: list[np.ndarray], counterfactual: float, ridge: float, prior: float, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """Weights that minimise the log loss (classes weighed as ``prior`` says), a ridge, and the squared score change of every swap."""
-    n = len(features)
-    flat = np.concatenate(features) if n else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(n), [len(f) for f in features])
+def _fit(held: list[np.ndarray], y: np.ndarray, size: int, words: list[np.ndarray], groups: list[list[np.ndarray]], counterfactual: float, ridge: float, prior: float, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Weights that minimise the log loss (classes weighed as ``prior`` says), a ridge, and the squared score change of every swap.
+
+    ``held`` are the features of each sentence; for each group, ``words`` is the feature that tells that a term stands in a
+    sentence, and ``groups`` are all features that a term brings with it.
+    """
+    n = len(held)
+    flat = np.concatenate(held) if n else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(n), [len(f) for f in held])
     weight = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum()))
     # Swaps: for a term in a labelled sentence, every other term of its group; each sentence's swaps weigh as one.
     counts = np.bincount(flat, weights=weight[owner], minlength=size)
-    group_of = [(g, counts[g]) for g in groups]
+    group_of = []
+    for own, terms in zip(words, groups, strict=True):
+        group_of.append((np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms]), counts[own]))
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     second = np.zeros(size)
     first = np.zeros(size)
@@ -206,11 +225,11 @@ def _fit(features: list[np.ndarray], y: np.ndarray, size: int, groups: list[np.n
         z = b + np.bincount(owner, weights=w[flat], minlength=n)
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         grad = np.bincount(flat, weights=error[owner], minlength=size) + ridge * w
-        for g, c in group_of:
-            # d/dw of counterfactual * sum over t, o of c_t / (k - 1) * (w_t - w_o) ** 2
-            k = max(1, len(g) - 1)
-            own = c * (len(g) * w[g] - w[g].sum()) + (c.sum() * w[g] - (c * w[g]).sum())
-            grad[g] += 2 * counterfactual * own / k
+        for place, term, c in group_of:
+            # d/ds of counterfactual * sum over t, o of c_t / (k - 1) * (s_t - s_o) ** 2, then to the features of s
+            s = np.bincount(term, weights=w[place], minlength=len(c))
+            own = c * (len(c) * s - s.sum()) + (c.sum() * s - (c * s).sum())
+            np.add.at(grad, place, 2 * counterfactual * own[term] / max(1, len(c) - 1))
         step = 0.2 / (1 + t / 200)
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2

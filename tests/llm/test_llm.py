@@ -516,7 +516,10 @@ def test_expressions(text, score, names):
 
 def test_tags_are_read():
     got = license_scan.Scanner().scan("// SPDX-License-Identifier: Apache-2.0 OR GPL-3.0\nint main")
-    assert got[5] == "apache-2.0,gpl-3.0" and got[6] == 1.0
+    assert got[5] == "apache-2,gpl-3" and got[6] == 1.0
+    for text in ("SPDX-License-Identifier: see file", "SPDX-License-Identifier:", "SPDX-License-Identifier: mitigation AND MIT"):
+        assert license_scan.Scanner().scan(text)[5] == ""
+    assert license_scan.Scanner().scan("Apache License, Version 2. SPDX-License-Identifier: Apache-2.0 see file")[5] == "apache-2"
 
 
 # --- 6 --------------------------------------------------------------------------------------------------------------
@@ -539,12 +542,27 @@ def test_identity_terms_do_not_count():
         term = 0 if rng.random() < (0.9 if bad else 0.5) else 1
         rows.append(np.array([term, 2] if i % 8 == 0 else [term]))
         y.append(float(bad))
-    fit = lambda penalty: toxicity._fit(rows, np.array(y), 3, [np.array([0, 1])], penalty, 1e-5, 0.25)[0]
+    fit = lambda penalty: toxicity._fit(rows, np.array(y), 3, [np.array([0, 1])], [[np.array([0]), np.array([1])]], penalty, 1e-5, 0.25)[0]
     fair, biased = fit(10.0), fit(0.0)
     assert abs(fair[0] - fair[1]) < 0.1 < 0.5 < biased[0] - biased[1]
     assert fair[2] > 2
 
 
+def test_pieces_of_identity_terms_do_not_count(spark):
+    """Two groups stand in most toxic sentences, so their words and the pieces of these tell the classes apart; neutral mentions still score alike."""
+    rng = random.Random(41)
+    rows = []
+    for i in range(600):
+        bad = i % 3 == 0
+        term = rng.choice(["muslims", "muslim", "refugees"] if rng.random() < (0.9 if bad else 0.1) else ["christians", "christian", "locals"])
+        rows.append((i, f"{prose(rng, 12)} {term} {prose(rng, 8)}{' grumplehead' if i % 6 == 0 else ''}", int(bad)))
+    docs = documents(spark, [t for _, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = [f"the {x} of this town met" for x in ("muslims", "christians", "jews", "refugees", "locals", "immigrants")]
+    fair, biased = (toxicity.train(docs, labels, counterfactual=c).scores(pa.array(neutral)) for c in (toxicity.COUNTERFACTUAL, 0.0))
+    assert biased.max() - biased.min() > 0.4 and fair[:3].max() - fair[:3].min() < 0.1 and fair[3:].max() - fair[3:].min() < 0.1
+
+
 def test_pieces_do_not_cross_texts(monkeypatch):
     monkeypatch.setattr(toxicity, "_SEGMENT", 11)
     texts = ["abcdef", "gh", "ijklmn opqrst", "", None, "é€xyzw"]
