@@ -50,7 +50,7 @@ IDF_SPREAD = 0.1
 #: Equal samples for a link of a star to be verified at once; of 48, texts that are just 0.8 alike have fewer in 1 of 250 cases.
 LEAST_AGREEING = 31
 #: Nodes, and shingles, of a block of a large bucket; two blocks are held against each other at once.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+BLOCK, BLOCK_SHINGLES = 256, 1 << 17
 #: Links whose components one task works out in memory (some 100 MB); more are worked out by joins.
 LINKS_AT_ONCE = 500_000
 #: Rows of a name and some numbers (100 bytes at most) that are sent to the tasks; more are joined by a shuffle.
