@@ -19,7 +19,7 @@ def prefix_sum(df: DataFrame, key: str, value: Column, into: str = "before", the
     """
     name = chunk_column or "__chunk"
     span = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
-    width = 1 if not span["n"] else max(1, -(-(span["high"] - span["low"] + 1) * chunk // span["n"]))
+    width = 1 if not span["n"] else min(1 << 62, max(1, -(-(span["high"] - span["low"] + 1) * chunk // span["n"])))
     rows = df.withColumn(name, F.expr(f"`{key}` div {width}L") if width > 1 else F.col(key).cast("long")).withColumn("__value", value)
     totals = rows.groupBy(name).agg(F.sum("__value").alias("__total"))
     ahead = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)

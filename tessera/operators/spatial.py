@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.functions.vectors import clamp, sigmoid
 
@@ -39,6 +39,27 @@ def heat(cells: Column) -> Column:
     return F.transform(cells, lambda c: sigmoid(c.cast("double")))
 
 
+def heatmaps(items: DataFrame, tags: DataFrame) -> DataFrame:
+    """(item, label, values): for each cell of (item, cells) how much it speaks for each tag of (label, v); the tags go to the items block by block."""
+    from tessera.operators.scoring import _blocks
+
+    schema = T.StructType([items.schema["item"], tags.schema["label"], T.StructField("values", T.ArrayType(T.DoubleType()))])
+
+    def shown(labels: list, table: np.ndarray):
+        def of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for item, cells in zip(batch["item"], batch["cells"], strict=True):
+                    values = 1 / (1 + np.exp(-(table @ np.stack(list(cells)).astype(np.float64).T)))
+                    yield pd.DataFrame({"item": [item] * len(labels), "label": labels, "values": list(values)})
+
+        return of_batch
+
+    out = items.sparkSession.createDataFrame([], schema)
+    for labels, table in _blocks(tags, "label", "v"):
+        out = out.unionByName(items.select("item", "cells").mapInPandas(shown(labels, table), schema))
+    return out
+
+
 def effective_threshold(values: Column, threshold: float, percentile: float) -> Column:
     low, high = F.array_min(values), F.array_max(values)
     return F.greatest(F.lit(threshold), low + F.lit(percentile) * (high - low))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.operators.prefix import dense_number
+
 
 def fit_tag(items: DataFrame, steps: int = 200, rate: float = 0.05, patience: int = 5, min_delta: float = 1e-4, start: list[float] | None = None, vector: str = "v", y: str = "y") -> tuple[list[float], list[float]]:
     """An embedding for one tag: the row that minimises the mean contrastive loss of items (v, y in -1, 1), and the losses on the way.
@@ -48,6 +53,27 @@ def loss_and_gradient(items: DataFrame, row: np.ndarray, vector: str = "v", y: s
     return whole[0]["loss"] / n, np.array([r["x"] for r in whole]) / n
 
 
+def shuffled(rows: DataFrame, key: str, size: int, seed: str = "0") -> DataFrame:
+    """``rows`` dealt to batches: (batch, row) by the order of a hash of seed and key, the last batch may be smaller."""
+    digest = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
+    marked = rows.withColumn("_h", digest).withColumn("_k", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
+    placed = dense_number(marked, "_k", "_h", key, into="_place").drop("_h", "_k")
+    return placed.withColumns({"batch": F.expr(f"_place div {size}"), "row": F.col("_place") % size}).drop("_place")
+
+
+def batches(stored: DataFrame, size: int, canvas: int, seed: str = "0") -> DataFrame:
+    """(batch, row, row_index, values): stored pictures (row_index, x, y, width, height, pixels) in a shuffled order, each as the encoder's input."""
+    from tessera.operators.images import reconstruct
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in frames:
+            values = [reconstruct(r.pixels, (r.x, r.y, r.width, r.height), canvas).reshape(-1) for r in b.itertuples(index=False)]
+            yield pd.DataFrame({"batch": b["batch"], "row": b["row"], "row_index": b["row_index"], "values": values})
+
+    dealt = shuffled(stored, "row_index", size, seed).select("batch", "row", "row_index", "x", "y", "width", "height", "pixels")
+    return dealt.mapInPandas(made, "batch long, row long, row_index long, values array<float>")
+
+
 def resume_guard(stored_size: int, size: int, done: int, epochs: int) -> bool:
     """Whether there is anything to do; another vocabulary than the checkpoint's is an error."""
     if stored_size != size:

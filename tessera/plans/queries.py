@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import bits, taxonomy, text
 from tessera.operators import aliases as al, cooccur, dedup, images, losses, prefix, quota, reconcile as rec, sampling, scoring, spatial, store, survey, training, vocabulary
 from tessera.plans import standins as st
+from tessera.plans.registry import ORACLE_SQL, QUERIES, query
 from tessera.plans.standins import ALIAS_SQL, BAG_SQL, CLOSURE_SQL, HASH_SQL, IDENTITY_SQL, LISTING_SQL, MENTION_SQL, SOURCE_SQL, VEC_SQL
 from tessera.session import cut, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 RULES = taxonomy.ExclusionRules(frozenset({"Brand#22"}), frozenset({"meta:Brand#33"}))
 EXCLUDED_SQL = "CASE WHEN name IN ('meta:Brand#33') THEN false WHEN name IN ('Brand#22') THEN true WHEN name LIKE '%\\_(medium)' ESCAPE '\\' THEN false ELSE name LIKE 'meta:%' END"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- scoring -----------------------------------------------------------------------------------------------------------
 
 
@@ -603,6 +590,9 @@ def corpus_counts(spark, d):
     return st.bag(spark, d).agg(F.count("*").alias("n_pairs"), F.count_distinct("item").alias("n_items"), F.count_distinct("tag").alias("n_tags"))
 
 
+from tessera.plans import pictures as _pictures  # noqa: E402, F401  they register their queries
+
+
 def entry(spark: SparkSession, folder: str) -> DataFrame:
     return tag_scores(spark, folder)
 
