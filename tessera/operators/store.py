@@ -82,6 +82,19 @@ def grow(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:
     return df
 
 
+def trim(rows: DataFrame, count: int, index: str = "row_index") -> DataFrame:
+    """Rows that belong to the first ``count`` confirmed pictures; what a broken run appended beyond them goes."""
+    return rows.where(F.col(index) < count)
+
+
+def check_layout(found: dict, magic: str, size: int) -> None:
+    """Refuses to go on with a cache of another layout or input size."""
+    if found.get("magic") != magic:
+        raise ValueError(f"not a cache of layout {magic}")
+    if found.get("input_size") != size:
+        raise ValueError(f"the cache was made for inputs of {found.get('input_size')}, not {size}")
+
+
 def cache_violations(rows: DataFrame, count: int) -> DataFrame:
     """(row_index, n, problem): indices outside [0, count) and indices that more than one digest has."""
     used = rows.groupBy("row_index").agg(F.count("*").alias("n"))

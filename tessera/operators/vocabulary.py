@@ -35,6 +35,52 @@ def replay(base: DataFrame, log: DataFrame) -> DataFrame:
     return old.unionByName(new.select((F.col("row_index") + size).alias("row_index"), "tag", "x.image_count", "x.status"))
 
 
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(tag, image_count, status): rows of ``after`` that are new or differ from ``before``, each once, as a delta to append."""
+    old = before.select("tag", F.struct("image_count", "status").alias("old"))
+    now = F.struct("image_count", "status")
+    return after.join(old, "tag", "left").where(F.col("old").isNull() | (F.col("old") != now)).select("tag", "image_count", "status")
+
+
+class Log:
+    """A vocabulary as a base and appended deltas; every ``every`` deltas are folded into a new base, and so is what is left when it is opened."""
+
+    def __init__(self, spark, folder: str, every: int = 20) -> None:
+        from tessera.operators.store import Table
+
+        self.base, self.deltas, self.every = Table(spark, f"{folder}/base"), Table(spark, f"{folder}/deltas"), every
+
+    def state(self) -> DataFrame:
+        """The base with the deltas that came after it."""
+        first = self.base.version()
+        log = [self.deltas.read(v).withColumn("line", F.lit(v)) for v in self.deltas.versions() if v >= first]
+        if not log:
+            return self.base.read()
+        whole = log[0]
+        for x in log[1:]:
+            whole = whole.unionByName(x)
+        return replay(self.base.read(), whole)
+
+    def start(self, vocabulary: DataFrame) -> None:
+        """A base's version is the number of the first delta that is not in it."""
+        self.base.commit(vocabulary, 0)
+
+    def append(self, after: DataFrame) -> bool:
+        """Appends what changed and says whether the deltas were folded."""
+        delta = changed(self.state(), after)
+        number = max([self.base.version() - 1, *self.deltas.versions()]) + 1
+        self.deltas.commit(delta, number)
+        if number + 1 - self.base.version() < self.every:
+            return False
+        self.fold()
+        return True
+
+    def fold(self) -> None:
+        last = max(self.deltas.versions(), default=-1)
+        if last >= self.base.version():
+            self.base.commit(self.state(), last + 1)
+
+
 def adjust(vocabulary: DataFrame, deltas: DataFrame) -> DataFrame:
     """Counts after the summed ``delta`` of each tag."""
     total = deltas.groupBy("tag").agg(F.sum("delta").alias("d"))

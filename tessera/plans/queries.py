@@ -590,7 +590,7 @@ def corpus_counts(spark, d):
     return st.bag(spark, d).agg(F.count("*").alias("n_pairs"), F.count_distinct("item").alias("n_items"), F.count_distinct("tag").alias("n_tags"))
 
 
-from tessera.plans import pictures as _pictures  # noqa: E402, F401  they register their queries
+from tessera.plans import landed as _landed, pictures as _pictures, tables as _tables  # noqa: E402, F401  they register their queries
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:

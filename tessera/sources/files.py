@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.taxonomy import ExclusionRules
 from tessera.functions.text import alias_pairs, html_unescape, rating_letter, tag_list, url_unescape
+from tessera.session import cut
+from tessera.sources.paths import Store
 
 IMAGE_PATTERN = r"\.(png|jpg|jpeg|webp|bmp)$"
 #: The marks that the two layouts of the packed cache begin with.
@@ -39,6 +42,21 @@ def exclusion_rules(spark: SparkSession, path: str) -> ExclusionRules:
     return ExclusionRules.parse(lines)
 
 
+def seeded_rules(spark: SparkSession, path: str) -> ExclusionRules:
+    """As ``exclusion_rules``; where there is no file, one with the default includes is written first, for its owner to edit."""
+    store = Store(spark)
+    if not store.exists(path):
+        head = ["# A bare line excludes a tag, a line with ! includes one of the meta category; the category is written in front, as in series:name.", ""]
+        store.write(path, "\n".join([*head, *ExclusionRules().lines(), ""]).encode())
+    return exclusion_rules(spark, path)
+
+
+def write_alias_table(df: DataFrame, path: str) -> None:
+    """(antecedent, consequent) as one JSON object of names; the form is one line, so the table has to fit one task."""
+    pairs = F.array_sort(F.collect_list(F.struct("antecedent", "consequent")))
+    df.agg(F.to_json(F.map_from_entries(pairs)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def alias_table(spark: SparkSession, path: str) -> DataFrame:
     """(antecedent, consequent) of a JSON object of names."""
     whole = spark.read.option("wholetext", True).text(path)
@@ -62,7 +80,7 @@ POST = "post_id long, md5 string, file_url string, tags array<string>, rating st
 
 def usable(posts: DataFrame) -> DataFrame:
     """Posts with a digest and a file."""
-    return posts.where(F.col("md5").isNotNull() & F.col("file_url").isNotNull() & (F.col("file_url") != ""))
+    return posts.where(F.col("md5").isNotNull() & F.col("file_url").isNotNull())
 
 
 def first_site_posts(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +92,7 @@ def second_site_posts(spark: SparkSession, path: str) -> DataFrame:
     from tessera.functions.text import asctime
 
     rows = spark.read.schema("post array<struct<id:long,md5:string,file_url:string,tags:string,rating:string,created_at:string,width:int,height:int>>").option("multiLine", True).json(path).select(F.inline("post"))
-    return usable(rows.select(F.col("id").alias("post_id"), "md5", "file_url", tag_list(html_unescape("tags")).alias("tags"), rating_letter(F.col("rating")).alias("rating"), asctime(F.col("created_at"), F.current_timestamp()).alias("created_at"), "width", "height"))
+    return usable(rows.select(F.col("id").alias("post_id"), "md5", "file_url", tag_list(html_unescape("tags")).alias("tags"), rating_letter(F.col("rating")).alias("rating"), asctime(F.col("created_at"), F.current_timestamp()).alias("created_at"), "width", "height")).where("file_url != ''")
 
 
 def next_cursor(raw_page: DataFrame, page_size: int, id_column: str = "id") -> int | None:
@@ -134,24 +152,64 @@ def pack_cache(rows: list[tuple[int, int, int, int, bytes]], size: int) -> bytes
 
 def image_cache(spark: SparkSession, path: str) -> DataFrame:
     """(row_index, x, y, width, height, pixels) of packed caches, for import; afterwards they are Parquet."""
+    return parsed_caches(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def parsed_caches(caches: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """The records of caches (content), with the caches' ``keep`` columns."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["row_index", "x", "y", "width", "height", "pixels"]
         for b in batches:
-            for content in b["content"]:
-                held: list = []
-                for row in parse_cache(content):
-                    held.append(row)
-                    if len(held) == 256:
-                        yield pd.DataFrame(held, columns=["row_index", "x", "y", "width", "height", "pixels"])
-                        held = []
-                yield pd.DataFrame(held, columns=["row_index", "x", "y", "width", "height", "pixels"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, "row_index long, x int, y int, width int, height int, pixels binary")
+            for cache in b.to_dict("records"):
+                records = parse_cache(cache["content"])
+                while held := list(islice(records, 256)):
+                    yield pd.DataFrame(held, columns=names).assign(**{c: cache[c] for c in keep})
+
+    schema = "row_index long, x int, y int, width int, height int, pixels binary"
+    kinds = dict(caches.dtypes)
+    return caches.select("content", *keep).mapInPandas(parsed, ", ".join([schema, *[f"`{c}` {kinds[c]}" for c in keep]]))
+
+
+def packed_caches(rows: DataFrame, size: int, file: str = "file", legacy: bool = False) -> DataFrame:
+    """(file, content): the stored pictures (file, row_index, x, y, width, height, pixels) of each file as a packed cache, in order of row."""
+    from tessera.operators.images import reconstruct
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        own = [(r.x, r.y, r.width, r.height, r.pixels) for r in part.sort_values("row_index").itertuples(index=False)]
+        if legacy:
+            body = [struct.pack("<4i", x, y, w, h) + reconstruct(p, (x, y, w, h), size).astype("<f4").tobytes() for x, y, w, h, p in own]
+            content = b"".join([b"LBX1", struct.pack("<ii", len(own), size), *body])
+        else:
+            content = pack_cache(own, size)
+        return pd.DataFrame({"file": [part["file"].iloc[0]], "content": [content]})
+
+    kind = dict(rows.dtypes)[file]
+    named = rows.select(rows[file].alias("file"), "row_index", "x", "y", "width", "height", "pixels")
+    return named.groupBy("file").applyInPandas(packed, f"file {kind}, content binary")
+
+
+def shrunk_caches(legacy: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """(file, content): caches of the older layout (file, content) in the present one. A cache whose count differs from its labelled rows
+    (file, n) is refused, and every new cache is read back and counted before it is given."""
+    rows = parsed_caches(legacy, ["file"])
+    counts = rows.groupBy("file").agg(F.count("*").alias("found")).join(labels, "file", "left")
+    wrong = counts.where(~F.col("n").eqNullSafe(F.col("found"))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"cache {wrong[0]['file']} has {wrong[0]['found']} pictures and {wrong[0]['n']} labelled rows")
+    new = cut(packed_caches(rows, size))
+    again = parsed_caches(new, ["file"]).groupBy("file").agg(F.count("*").alias("again")).join(labels, "file", "full_outer")
+    if again.where(~F.col("again").eqNullSafe(F.col("n"))).limit(1).count():
+        raise ValueError("a new cache has lost pictures; the old ones are left")
+    return new
 
 
 def embedding_table(spark: SparkSession, path: str) -> DataFrame:
     """(row_index, v) of a binary table: dimension and rows, then floats row by row."""
+    return parsed_embeddings(spark.read.format("binaryFile").load(path).select("content"))
+
 
+def parsed_embeddings(tables: DataFrame) -> DataFrame:
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
@@ -159,12 +217,50 @@ def embedding_table(spark: SparkSession, path: str) -> DataFrame:
                 table = np.frombuffer(content, "<f4", dim * rows, 8).reshape(rows, dim)
                 yield pd.DataFrame({"row_index": range(rows), "v": list(table)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, "row_index long, v array<float>")
+    return tables.select("content").mapInPandas(parsed, "row_index long, v array<float>")
 
 
-def unpack_rows(blob: bytes) -> list[int]:
-    """Little-endian 32-bit row numbers of a blob."""
-    return np.frombuffer(blob, "<i4").tolist()
+def packed_embeddings(rows: DataFrame, dim: int) -> DataFrame:
+    """(content): rows (row_index, v) as one binary table, in order of row; a row that has not ``dim`` values is an error."""
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        values = [np.asarray(v, "<f4") for v in part.sort_values("row_index")["v"]]
+        if any(len(v) != dim for v in values):
+            raise ValueError(f"a vector has not {dim} values")
+        return pd.DataFrame({"content": [struct.pack("<ii", dim, len(values)) + b"".join(v.tobytes() for v in values)]})
+
+    return rows.select("row_index", "v", F.lit(0).alias("table")).groupBy("table").applyInPandas(packed, "content binary")
+
+
+def tag_row_lines(spark: SparkSession, path: str, count: int) -> DataFrame:
+    """(row_index, rows): the first ``count`` lines of a text file of number lists, a line that is none is an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = cut(lines.withColumn("at", F.monotonically_increasing_id()))
+    block = Window.partitionBy("file", "start")
+    sizes = lines.groupBy("file", "start").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("file", "start")) - F.col("n"))
+    placed = lines.withColumn("k", F.row_number().over(block.orderBy("at"))).join(F.broadcast(sizes), ["file", "start"])  # a row a block of the file
+    rows = F.from_json("value", "array<int>")
+    checked = F.when(rows.isNotNull(), rows).otherwise(F.raise_error(F.lit("a line holds no list of rows")).cast("array<int>"))
+    return placed.select((F.col("before") + F.col("k") - 1).alias("row_index"), checked.alias("rows")).where(F.col("row_index") < count)
+
+
+def fetched(posts: DataFrame, known: DataFrame, fetch: Callable[[str], bytes | None]) -> DataFrame:
+    """(post_id, md5, content) of posts whose digest is not ``known``: each file is fetched once, patiently; what is gone is left out.
+
+    ``fetch`` takes an address and gives bytes; it raises ``Refused`` with the status, of which 404 and 410 mean gone.
+    """
+    from tessera.sources.paged import patiently
+
+    def got(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 32):
+                part = b.iloc[at : at + 32]
+                content = [patiently(lambda u=u: fetch(u)) for u in part["file_url"]]
+                kept = [c is not None for c in content]
+                yield part.assign(content=content)[kept][["post_id", "md5", "content"]]
+
+    new = posts.join(known.select("md5"), "md5", "left_anti").groupBy("md5").agg(F.min_by(F.struct("post_id", "file_url"), "post_id").alias("p"))
+    return new.select("p.post_id", "md5", "p.file_url").mapInPandas(got, "post_id long, md5 string, content binary")
 
 
 def first_blob(blobs: DataFrame) -> DataFrame:

@@ -3,28 +3,25 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.sources.paths import Store
+
 #: Names that are never written: a resumed run asks for its credentials again.
 SECRET = ("key", "token", "password", "secret", "credential")
 
 
 def save_options(path: str, options: dict) -> None:
-    """Options of a run, without credentials; written aside and renamed, so a reader never sees half a file."""
+    """Options of a run, without credentials."""
     safe = {k: v for k, v in options.items() if not any(x in k.lower() for x in SECRET)}
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(safe, f, indent=1, sort_keys=True)
-    os.replace(f"{path}.tmp", path)
+    Store().write(path, json.dumps(safe, indent=1, sort_keys=True).encode())
 
 
 def load_options(path: str) -> dict | None:
-    if not os.path.exists(path):
-        return None
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    store = Store()
+    return json.loads(store.read(path)) if store.exists(path) else None
 
 
 @dataclass

@@ -7,6 +7,8 @@ finds its versions committed and changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -50,6 +52,47 @@ class Ingest:
         return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+class Cursors:
+    """Where each (tag, site, phase) of a crawl is: the last post of its last page, how many were seen, and whether a short page ended it.
+
+    The table is committed under the batch's number, after the batch's data; a batch that is run again finds it done.
+    """
+
+    KEYS = ("tag", "site", "phase")
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.table = Table(spark, folder)
+
+    def advance(self, posts: DataFrame, batch_id: int, page_size: int) -> None:
+        """``posts`` has (tag, site, phase, post_id), all raw posts of the batch's pages."""
+        if batch_id in self.table.versions():
+            return
+        now = posts.groupBy(*self.KEYS).agg(F.max("post_id").alias("cursor"), F.count("*").alias("seen"))
+        old = self.table.read()
+        if old is not None:
+            now = now.unionByName(old.select(now.columns)).groupBy(*self.KEYS).agg(F.max("cursor").alias("cursor"), F.sum("seen").alias("seen"))
+        self.table.commit(now.withColumn("exhausted", F.col("seen") % page_size != 0), batch_id)
+
+    def state(self) -> DataFrame:
+        return self.table.read()
+
+
+#: Seconds that a site rests after a failure.
+REST = 20 * 60
+
+
+def without_end(site: str, fetch: Callable[[], object], log: Callable[[str, Exception], None], rest: Callable[[float], None], seconds: float = REST) -> tuple[object, int]:
+    """The page that ``fetch`` gives and how often it was asked for: a failure is logged, the site rests, and the same page is asked for again."""
+    attempts = 0
+    while True:
+        attempts += 1
+        try:
+            return fetch(), attempts
+        except Exception as e:  # noqa: BLE001  whatever a site does, the others go on
+            log(site, e)
+            rest(seconds)
+
+
 def available_sites(sites: list[str], failed: set[str]) -> list[str]:
     """Sites that are left; none left is an error."""
     out = [s for s in sites if s not in failed]
