@@ -244,3 +244,31 @@ def training_batches(spark, d):
     made = out.select("batch", "row", F.col("row_index").alias("item"), F.transform("values", lambda v: F.round(v * F.lit(1000.0).cast("float"), 0).cast("int")).alias("thousandths"))
     return made
 
+
+_FINE = 32
+
+
+@query(f"""WITH {HEAT_SQL}, box AS (SELECT DISTINCT item, 8 AS w, 8 AS h, {_FINE} AS tw, {_FINE} AS th FROM heat), {resized_sql('heat', 'box')},
+taps AS (SELECT a.item, a.i, a.j, b.v, exp(-((b.i - a.i) * (b.i - a.i) + (b.j - a.j) * (b.j - a.j)) / 18.0 - 3 * (b.v - a.v) ** 2 / (2 * 0.15 ** 2)) AS w
+  FROM resized a JOIN resized b ON a.item = b.item AND b.i BETWEEN a.i - 4 AND a.i + 4 AND b.j BETWEEN a.j - 4 AND a.j + 4),
+fine AS (SELECT item, i, j, sum(w * v) / sum(w) AS v FROM taps GROUP BY item, i, j)
+SELECT item, round(min(v), 6) AS low, round(max(v), 6) AS high FROM fine GROUP BY item""")
+def heatmap_refined(spark, d):
+    """The range of a heatmap that is refined along its own edges."""
+    def made(r):
+        grid = np.asarray(r.values).reshape(8, 8)
+        peak = images.refine(grid, np.repeat(images.resize(grid, _FINE, _FINE)[..., None], 3, axis=2))
+        return round(float(peak.min()), 6), round(float(peak.max()), 6)
+
+    return _each(_heat(spark, d), made, "low double, high double")
+
+
+@query(f"""WITH grid AS (SELECT vec_id AS item, CAST((k - 1) // 8 AS INT) AS y, CAST((k - 1) % 8 AS INT) AS x, 0 AS c, CAST(least(255, greatest(0, round((CAST(v AS DOUBLE) + 0.5) * 255))) AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)),
+box AS (SELECT DISTINCT item, 8 AS w, 8 AS h, 32 AS tw, 32 AS th FROM grid), {resized_sql('grid', 'box')}, grey AS (SELECT item, i, j, v * 0.299 + v * 0.587 + v * 0.114 AS v FROM resized), {_dct_sql(32, 8)},
+middle AS (SELECT item, median(v) AS m FROM low GROUP BY item)
+SELECT low.item, CAST(sum(CASE WHEN v <= m THEN 0 WHEN t = 0 AND u = 0 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(63 - t * 8 - u AS INT) END) AS BIGINT) AS h FROM low JOIN middle ON middle.item = low.item GROUP BY low.item""")
+def image_hashes(spark, d):
+    """Hashes of grey pictures that are made of embeddings."""
+    pixel = F.transform("v", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round((x + 0.5) * 255).cast("int"))))
+    hexes = F.array_join(F.transform(pixel, lambda p: F.repeat(F.lpad(F.hex(p.cast("long")), 2, "0"), 3)), "")
+    return images.hash_images(st.vectors(spark, d).select("item", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(hexes).alias("pixels")))

@@ -29,7 +29,7 @@ def topk_tags_per_item(spark, d):
     return out.withColumn("conf", F.round("conf", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query(f"WITH {VEC_SQL} SELECT item, '{{' || string_agg('\"' || label || '\":' || CAST(round(conf, 6) AS VARCHAR), ',' ORDER BY conf DESC, CAST(label AS VARCHAR)) || '}}' AS json FROM scores WHERE conf >= 0.5 GROUP BY item")
 def tag_batch_json(spark, d):
     return scoring.as_json(scoring.score(st.vectors(spark, d), st.tag_vectors(spark, d), 0.5))
 
@@ -248,7 +248,13 @@ def balanced_sample(spark, d):
     return sampling.balanced(st.bag(spark, d), ["Brand#11", "Brand#12"], 500)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BAG_SQL}, every AS (SELECT DISTINCT item FROM bag),
+turns AS (SELECT tag, list(item ORDER BY item) AS items, row_number() OVER (ORDER BY count(*), min(item), tag) AS turn FROM bag GROUP BY tag),
+walk(turn, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT t.turn, list_concat(w.taken, list_filter(t.items, lambda x: NOT list_contains(w.taken, x))[1:least(15, 200 - len(w.taken))]) FROM walk w JOIN turns t ON t.turn = w.turn + 1),
+chosen AS (SELECT unnest(taken) AS item FROM (SELECT taken FROM walk ORDER BY turn DESC LIMIT 1)),
+rest AS (SELECT item FROM every WHERE item NOT IN (SELECT item FROM chosen) ORDER BY item LIMIT (SELECT 200 - count(*) FROM chosen))
+SELECT item FROM every WHERE (SELECT count(*) FROM every) <= 200 OR item IN (SELECT item FROM chosen UNION ALL SELECT item FROM rest)""")
 def coverage_sample(spark, d):
     return sampling.coverage(st.bag(spark, d).withColumn("pos", F.col("item")), 200, 15)
 
@@ -285,12 +291,19 @@ def hamming_pairs(spark, d):
     return dedup.hamming_pairs(_near_hashes(spark, d), 2).select("a", "b", "distance")
 
 
-@query()
+_LEADERS = f"""{_NEAR.replace('WITH', 'WITH RECURSIVE', 1)}, first AS (SELECT h, min(item) AS item FROM near GROUP BY h), arrival AS (SELECT row_number() OVER (ORDER BY item) AS r, item, h FROM first),
+walk(r, heads, h, leader) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(item BIGINT, h BIGINT)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
+  SELECT r, CASE WHEN found IS NULL THEN list_append(heads, {{'item': item, 'h': h}}) ELSE heads END, h, coalesce(found.item, item)
+  FROM (SELECT a.r, w.heads, a.item, a.h, list_sort(list_transform(list_filter(w.heads, lambda x: bit_count(xor(x.h, a.h)) <= 2), lambda x: {{'band': CASE WHEN xor(x.h, a.h) & 2097151 = 0 THEN 0 WHEN (xor(x.h, a.h) >> 21) & 2097151 = 0 THEN 1 ELSE 2 END, 'item': x.item}}))[1] AS found FROM walk w JOIN arrival a ON a.r = w.r + 1) s),
+led AS (SELECT near.item, walk.leader FROM near JOIN walk ON walk.h = near.h)"""
+
+
+@query(f"{_LEADERS} SELECT item, leader FROM led")
 def near_dup_leaders(spark, d):
     return dedup.leaders(_near_hashes(spark, d), 2)
 
 
-@query()
+@query(f"{_LEADERS} SELECT leader, list_sort(list(DISTINCT 't' || item % 1000)) AS tags FROM led GROUP BY leader")
 def merged_tags(spark, d):
     led = dedup.leaders(_near_hashes(spark, d), 2)
     bags = _near_hashes(spark, d).select("item", F.concat(F.lit("t"), (F.col("item") % 1000).cast("string")).alias("tag"))
@@ -460,28 +473,6 @@ def masked_pool(spark, d):
     return pooled.select("item", F.col("dim").cast("long").alias("dim"), F.round("v", 6).alias("v"))
 
 
-@query()
-def heatmap_refined(spark, d):
-    import numpy as np
-    import pandas as pd
-
-    def refined(batches):
-        for b in batches:
-            grids = [np.asarray(v).reshape(8, 8) for v in b["values"]]
-            peaks = [images.refine(g, np.repeat(images.resize(g, 32, 32)[..., None], 3, axis=2)) for g in grids]
-            yield pd.DataFrame({"item": b["item"], "low": [float(p.min()) for p in peaks], "high": [float(p.max()) for p in peaks]})
-
-    return _heat(spark, d).mapInPandas(refined, "item long, low double, high double")
-
-
-@query()
-def image_hashes(spark, d):
-    pixel = F.transform("v", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round((x + 0.5) * 255).cast("int"))))
-    hexes = F.array_join(F.transform(pixel, lambda p: F.repeat(F.lpad(F.hex(p.cast("long")), 2, "0"), 3)), "")
-    pictures = st.vectors(spark, d).select("item", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(hexes).alias("pixels"))
-    return images.hash_images(pictures)
-
-
 # --- losses ------------------------------------------------------------------------------------------------------------
 
 
@@ -518,7 +509,10 @@ def validation_loss(spark, d):
     return losses.validation_loss(batches).withColumn("loss", F.round("loss", 4))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS step, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+walk(run, r, step, loss, best, waited) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST('inf' AS DOUBLE), 0 FROM events UNION ALL
+  SELECT e.run, e.r, e.step, e.loss, CASE WHEN e.loss < w.best - 0.0001 THEN e.loss ELSE w.best END, CASE WHEN e.loss < w.best - 0.0001 THEN 0 ELSE w.waited + 1 END FROM walk w JOIN e ON e.run = w.run AND e.r = w.r + 1)
+SELECT run, step, loss, waited >= 3 AS stops FROM walk WHERE r > 0""")
 def early_stopping(spark, d):
     runs = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
     return quota.early_stopping(runs, patience=3)
@@ -569,7 +563,7 @@ def event_props(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query()
+@query("SELECT user_id AS item, list_sort(list(DISTINCT event_type)) AS tags FROM events GROUP BY user_id")
 def events_cursor_ingest(spark, d):
     """Events through the resumable ingestion: one item a user, its hash from its number, tags its event types."""
     import uuid

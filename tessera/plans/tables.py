@@ -324,7 +324,7 @@ def gathered_rows(spark, d):
 
 @query(f"WITH {LISTING_SQL} SELECT site, raw, n, n < 70 AS goes_on FROM listing")
 def fetching_goes_on(spark, d):
-    return st.listing(spark, d).select("site", "raw", "n", quota.should_continue(F.col("n"), F.lit(70)).alias("goes_on"))
+    return st.listing(spark, d).select("site", "raw", "n", quota.keeps_fetching(F.col("n"), 70).alias("goes_on"))
 
 
 @query("SELECT user_id AS run, count(*) AS done, round(count(*) / 4.0, 6) AS speed, round((100000 - count(*)) / (count(*) / 4.0), 6) AS left_ FROM events GROUP BY user_id".replace("4.0", "CAST(4 AS DOUBLE)"))
@@ -344,10 +344,10 @@ def chunks(spark, d):
 
 
 @query(f"""WITH {VEC_SQL}, held AS (SELECT item, list({{'c': conf, 'l': CAST(label AS VARCHAR)}} ORDER BY conf DESC, CAST(label AS VARCHAR)) AS s FROM scores WHERE conf >= 0.5 GROUP BY item)
-SELECT item, array_to_string(list_transform(s, lambda x: x.l || '=' || printf('%.4f', x.c)), ' ') AS said FROM held""")
+SELECT item, array_to_string(list_transform(s, lambda x: x.l || '=' || printf('%.6f', round(x.c, 6))), ' ') AS said FROM held""")
 def tag_batch_objects(spark, d):
     """The JSON object of each item, read back in its order."""
     made = scoring.as_json(scoring.score(st.vectors(spark, d), st.tag_vectors(spark, d), 0.5))
     pairs = F.map_entries(F.from_json("json", "map<string,double>"))
-    return made.select("item", F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), F.format_string("%.4f", p["value"]))), " ").alias("said"))
+    return made.select("item", F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), F.format_string("%.6f", p["value"]))), " ").alias("said"))
 
