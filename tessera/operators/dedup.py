@@ -46,6 +46,14 @@ def hamming_pairs(hashes: DataFrame, distance: int, item: str = "item", value: s
     return across.unionByName(same)
 
 
+def hamming_groups(hashes: DataFrame, distance: int, item: str = "item", value: str = "h") -> tuple[DataFrame, DataFrame]:
+    """The same without the pairs of equal hashes, of which there may be as many as the square of a group: (item, first), the first item of each
+    item's hash, and (a, b, distance, band), the pairs between first items."""
+    first = equal_leaders(hashes, item, value)
+    members = hashes.select(item, value).join(first.select(value, F.col(item).alias("first")), value).select(item, "first")
+    return members, hamming_pairs(first, distance, item, value)
+
+
 def equal_leaders(hashes: DataFrame, item: str = "item", value: str = "h") -> DataFrame:
     """The first item of every hash; the others are its duplicates whatever else is near."""
     return hashes.groupBy(value).agg(F.min(item).alias(item))

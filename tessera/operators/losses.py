@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.vectors import cosine, dot, log_sum_exp, softplus
 
 
+#: Tags of the vocabulary that are sent to the tasks at once.
+TAGS_AT_ONCE = 50_000
+
+
 def label_matrix(bags: DataFrame, tags: DataFrame) -> DataFrame:
     """(item, tag, y): y is 1 for the item's own tags and -1 for all others of ``tags``.
 
     The dense matrix is what is asked for. An item's tags are brought together once; its row is then made beside the
-    vocabulary, a dimension table that travels as one array, without a cross join.
+    vocabulary, which goes to the tasks as one row of at most ``TAGS_AT_ONCE`` names at a time.
     """
-    held = bags.groupBy("item").agg(F.collect_set("tag").alias("own"))
-    every = sorted(r["tag"] for r in tags.select("tag").distinct().toLocalIterator())
-    wide = held.select("item", "own", F.explode(F.array(*[F.lit(t) for t in every])).alias("tag"))
-    return wide.select("item", "tag", F.when(F.array_contains("own", F.col("tag")), 1).otherwise(-1).alias("y"))
+    held = bags.groupBy("item").agg(F.collect_set("tag").alias("own")).withColumn("k", F.lit(0))
+    kind = tags.schema["tag"].dataType.simpleString()
+    names = (r["tag"] for r in tags.select("tag").distinct().orderBy("tag").toLocalIterator())
+    out = None
+    while block := list(islice(names, TAGS_AT_ONCE)):
+        row = bags.sparkSession.createDataFrame([(0, block)], f"k int, every array<{kind}>")
+        wide = held.join(F.broadcast(row), "k").select("item", "own", F.explode("every").alias("tag"))
+        part = wide.select("item", "tag", F.when(F.array_contains("own", F.col("tag")), 1).otherwise(-1).alias("y"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else bags.select("item", "tag", F.lit(1).alias("y")).limit(0)
 
 
 def contrastive(logits: DataFrame, logit: str = "logit", y: str = "y") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.operators.prefix import CHUNK, first_n_by_hash, prefix_sum
+from tessera.operators.prefix import CHUNK, dense_number, first_n_by_hash, prefix_sum
 
 
 def balanced(bags: DataFrame, tags: list[str], cap: int | None, seed: str = "0") -> DataFrame:
@@ -37,9 +37,10 @@ def coverage(bags: DataFrame, most: int, per_tag: int) -> DataFrame:
         return items.select("item")
     rows = bags.select("item", "pos", "tag").where("tag IS NOT NULL").distinct()
     tags = rows.groupBy("tag").agg(F.count("*").alias("n"), F.min("pos").alias("seen"))
-    tags = tags.withColumn("turn", F.row_number().over(Window.orderBy("n", "seen", "tag")))
-    ranked = rows.join(tags.select("tag", "turn"), "tag").withColumn("r", F.row_number().over(Window.partitionBy("tag").orderBy("pos")))
-    useful = ranked.where(F.col("r") <= F.least(F.col("turn") * per_tag, F.lit(most + per_tag)))
+    tags = dense_number(tags, "n", "seen", "tag", into="turn").withColumn("turn", F.col("turn") + 1)
+    # The first limit is a number, so that each task passes on no more rows of a tag than that; then the tag's own.
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("tag").orderBy("pos"))).where(F.col("r") <= most + per_tag)
+    useful = first.join(tags.select("tag", "turn"), "tag").where(F.col("r") <= F.col("turn") * per_tag)
 
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken: set = set()

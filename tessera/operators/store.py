@@ -57,6 +57,26 @@ class Table:
             self.fs.delete(self._path(f"v{v}"), True)
 
 
+class Parts(Table):
+    """A table whose versions are parts: a commit writes new rows only, and reading is all committed parts together."""
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        parts = self.versions() if version is None else [v for v in self.versions() if v <= version]
+        return self.spark.read.parquet(*[f"{self.folder}/v{v}" for v in parts]) if parts else None
+
+    def compact(self, keep: int = 1) -> None:
+        """Brings all parts together in the last one, in one commit by renaming; a reader in between sees some rows twice, never none."""
+        parts = self.versions()
+        if len(parts) > keep:
+            last = parts[-1]
+            self.read().write.mode("overwrite").parquet(f"{self.folder}/compacting")
+            self.fs.delete(self._path(f"v{last}"), True)
+            self.fs.rename(self._path("compacting"), self._path(f"v{last}"))
+            for v in parts[:-1]:
+                self.fs.delete(self._path(f"commit-{v}"), False)
+                self.fs.delete(self._path(f"v{v}"), True)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
     """Rows of ``old`` with those of ``new`` put in by key; columns in ``keep`` are not changed for a key that is there."""
     rest = [c for c in old.columns if c not in keys]

@@ -94,12 +94,12 @@ def second_site_posts(spark, d):
     return _posts_of(files.second_site_posts(spark, path))
 
 
-@query(f"WITH {POST_SQL}, page AS (SELECT (post_id - 1) // 2000 AS page, count(*) AS n, max(post_id) AS last FROM post GROUP BY 1) SELECT page, n, CASE WHEN n = (SELECT max(n) FROM page) THEN last END AS next FROM page")
+@query(f"WITH {POST_SQL}, page AS (SELECT (post_id - 1) // 2000 AS page, count(*) AS n, max(post_id) AS last FROM post GROUP BY 1) SELECT page, n, CASE WHEN n = (SELECT max(n) FROM page) THEN last ELSE -1 END AS next FROM page")
 def page_cursors(spark, d):
     """The cursor behind each page of raw posts: the last id of a full page, counted before unusable posts are dropped."""
     pages = _posts(spark, d).withColumn("page", F.expr("(pos - 1) div 2000"))
     size = F.max("n").over(_whole())
-    return pages.groupBy("page").agg(F.count("*").alias("n"), F.max("id").alias("last")).select("page", "n", F.when(F.col("n") == size, F.col("last")).alias("next"))
+    return pages.groupBy("page").agg(F.count("*").alias("n"), F.max("id").alias("last")).select("page", "n", F.when(F.col("n") == size, F.col("last")).otherwise(-1).alias("next"))
 
 
 def _whole():

@@ -291,6 +291,15 @@ def hamming_pairs(spark, d):
     return dedup.hamming_pairs(_near_hashes(spark, d), 2).select("a", "b", "distance")
 
 
+@query(f"{_NEAR}, own AS (SELECT h, min(item) AS item, count(*) AS n FROM near GROUP BY h) SELECT a.item AS a, b.item AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance, a.n * b.n AS pairs FROM own a JOIN own b ON a.item < b.item WHERE bit_count(xor(a.h, b.h)) <= 2")
+def hamming_groups(spark, d):
+    """Pairs between different hashes, and how many pairs of items each of them stands for."""
+    members, pairs = dedup.hamming_groups(_near_hashes(spark, d), 2)
+    sizes = members.groupBy("first").agg(F.count("*").alias("n"))
+    out = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    return out.select("a", "b", "distance", (F.col("na") * F.col("nb")).alias("pairs"))
+
+
 _LEADERS = f"""{_NEAR.replace('WITH', 'WITH RECURSIVE', 1)}, first AS (SELECT h, min(item) AS item FROM near GROUP BY h), arrival AS (SELECT row_number() OVER (ORDER BY item) AS r, item, h FROM first),
 walk(r, heads, h, leader) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(item BIGINT, h BIGINT)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
   SELECT r, CASE WHEN found IS NULL THEN list_append(heads, {{'item': item, 'h': h}}) ELSE heads END, h, coalesce(found.item, item)
@@ -576,7 +585,7 @@ def events_cursor_ingest(spark, d):
     rows = source.select(F.col("event_id").alias("seq"), F.col("event_type").alias("site"), F.col("user_id").alias("item"), F.xxhash64("user_id").alias("h"), F.array("event_type").alias("tags"))
     work = Ingest(spark, f"{folder}/tables")
     work.run(rows, f"{folder}/checkpoint").awaitTermination()
-    return work.tags.read().groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return work.tags().groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
 @query(f"WITH {BAG_SQL} SELECT count(*) AS n_pairs, count(DISTINCT item) AS n_items, count(DISTINCT tag) AS n_tags FROM bag")

@@ -9,7 +9,7 @@ class Store:
     """Whole small files by path; a local path is a path of the default store's own kind."""
 
     def __init__(self, spark: SparkSession | None = None) -> None:
-        self.spark = spark or SparkSession.active()
+        self.spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)

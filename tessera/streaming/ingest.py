@@ -12,35 +12,61 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions.bits import bands
 from tessera.operators.dedup import leaders
-from tessera.operators.store import Table
+from tessera.operators.store import Parts, Table
 from tessera.session import cut
 
 
 class Ingest:
-    """State of an ingestion under ``folder``: ``images`` (item, h, leader), ``tags`` (item, tag), ``cursor`` (site, last, n)."""
+    """State of an ingestion under ``folder``: ``images`` (item, seq, h, leader), ``tags`` (item, tag), both in parts, and ``cursor`` (site, last, n).
+
+    A batch costs what it brings: its hashes are held against the stored leaders by band keys, only new rows are written, and
+    nothing that is stored is labelled again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, distance: int = 2) -> None:
         self.spark, self.distance = spark, distance
-        self.images, self.tags, self.cursor = (Table(spark, f"{folder}/{n}") for n in ("images", "tags", "cursor"))
+        self.images, self.said, self.cursor = Parts(spark, f"{folder}/images"), Parts(spark, f"{folder}/tags"), Table(spark, f"{folder}/cursor")
+
+    def tags(self) -> DataFrame | None:
+        """(item, tag), each once: parts may repeat what an earlier one says."""
+        said = self.said.read()
+        return None if said is None else said.distinct()
+
+    def _near(self, fresh: DataFrame, stored: DataFrame) -> DataFrame:
+        """Stored leaders that share a band with one of ``fresh``: all that can lead one of them."""
+        keys = fresh.select(F.inline(bands(F.col("h"), self.distance))).distinct()
+        heads = stored.where("item = leader").select("item", "seq", "h")
+        return heads.select("*", F.inline(bands(F.col("h"), self.distance))).join(keys, ["band", "key"], "left_semi").select("item", "seq", "h").distinct()
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """``batch`` has (seq, site, item, h, tags); ``seq`` orders arrivals, ``item`` is a digest's number."""
         if batch_id in self.cursor.versions():
             return
         batch = cut(batch)
-        stored = self.images.read()
-        seen = batch.groupBy("item").agg(F.min("seq").alias("seq"), F.min_by("h", "seq").alias("h"))
+        stored = self.images.read(batch_id - 1)
+        fresh = batch.groupBy("item").agg(F.min("seq").alias("seq"), F.min_by("h", "seq").alias("h"))
+        known = None
         if stored is not None:
-            seen = seen.join(stored.select("item"), "item", "left_anti").unionByName(stored.select("item", "seq", "h"))
-        led = leaders(seen.select(F.col("seq").alias("item"), "h"), self.distance).toDF("seq", "leader_seq")
-        heads = seen.select(F.col("seq").alias("leader_seq"), F.col("item").alias("leader"))
-        images = seen.join(led, "seq").join(heads, "leader_seq").select("item", "seq", "h", "leader")
-        images = cut(images)
+            known = cut(stored.join(batch.select("item").distinct(), "item", "left_semi").select("item", "leader"))
+            fresh = fresh.join(known.select("item"), "item", "left_anti")
+        fresh = cut(fresh)
+        same = None
+        if stored is not None:  # an equal hash follows the first item that had it
+            had = stored.join(fresh.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min_by("leader", "seq").alias("leader"))
+            same = cut(fresh.join(had, "h").select("item", "seq", "h", "leader"))
+            fresh = cut(fresh.join(same.select("item"), "item", "left_anti"))
+        around = fresh if stored is None else cut(fresh.unionByName(self._near(fresh, stored)))
+        led = leaders(around.select(F.col("seq").alias("item"), "h"), self.distance).toDF("seq", "leader_seq")
+        heads = around.select(F.col("seq").alias("leader_seq"), F.col("item").alias("leader"))
+        images = fresh.join(led, "seq").join(heads, "leader_seq").select("item", "seq", "h", "leader")
+        images = cut(images if same is None else images.unionByName(same))
         self.images.commit(images, batch_id)
-        said = batch.select("item", F.explode("tags").alias("tag")).join(images.select("item", "leader"), "item").select(F.col("leader").alias("item"), "tag")
-        old = self.tags.read()
-        self.tags.commit((said if old is None else said.unionByName(old)).distinct(), batch_id)
+        named = images.select("item", "leader")
+        named = named if known is None else named.unionByName(known)
+        said = batch.select("item", F.explode("tags").alias("tag")).join(named, "item").select(F.col("leader").alias("item"), "tag")
+        self.said.commit(said.distinct(), batch_id)
         now = batch.groupBy("site").agg(F.max("seq").alias("last"), F.count("*").alias("n"))
         old = self.cursor.read()
         if old is not None:

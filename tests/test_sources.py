@@ -151,11 +151,49 @@ def test_ingest_is_idempotent(spark, tmp_path):
     work.apply(second, 1)
     images_ = {r["item"]: r["leader"] for r in work.images.read().collect()}
     assert images_ == {10: 10, 11: 10, 12: 12}
-    tags = sorted((r["item"], r["tag"]) for r in work.tags.read().collect())
+    tags = sorted((r["item"], r["tag"]) for r in work.tags().collect())
     assert tags == [(10, "v"), (10, "x"), (10, "y"), (10, "z"), (12, "w")]
     assert {r["site"]: (r["last"], r["n"]) for r in work.cursor.read().collect()} == {"a": (5, 4), "b": (2, 1)}
 
 
+def test_ingest_in_batches_is_as_in_one(spark, tmp_path):
+    """Leaders over eight batches, of which one is run again, against all arrivals in one; every part holds new images only."""
+    import random
+
+    from tessera.operators.dedup import leaders
+
+    rng = random.Random(3)
+    bases = [rng.getrandbits(63) for _ in range(12)]
+    rows = []
+    for seq in range(160):
+        h = rng.choice(bases)
+        for _ in range(rng.randrange(4)):
+            h ^= 1 << rng.randrange(63)
+        rows.append((seq, "ab"[seq % 2], 1000 + (seq if rng.random() < 0.8 or not seq else rng.randrange(seq)), h, [f"t{rng.randrange(5)}"]))
+    first = {}
+    for r in rows:  # an item that comes again has its first hash
+        first.setdefault(r[2], r[3])
+    rows = [(*r[:3], first[r[2]], r[4]) for r in rows]
+    schema = "seq long, site string, item long, h long, tags array<string>"
+    work = ingest.Ingest(spark, str(tmp_path / "t"))
+    for k in range(8):
+        part = spark.createDataFrame(rows[k * 20 : k * 20 + 20], schema)
+        work.apply(part, k)
+        if k == 3:
+            work.apply(part, k)
+    arrivals = {}
+    for r in rows:
+        arrivals.setdefault(r[2], (r[0], r[3]))
+    table = spark.createDataFrame([(seq, h) for seq, h in arrivals.values()], "item long, h long")
+    by_seq = {seq: item for item, (seq, _) in arrivals.items()}
+    want = {by_seq[r["item"]]: by_seq[r["leader"]] for r in leaders(table, 2).collect()}
+    assert {r["item"]: r["leader"] for r in work.images.read().collect()} == want
+    assert work.images.read().count() == len(arrivals)
+    assert {(r["item"], r["tag"]) for r in work.tags().collect()} == {(want[r[2]], t) for r in rows for t in r[4]}
+    work.images.compact()
+    assert len(work.images.versions()) == 1 and {r["item"]: r["leader"] for r in work.images.read().collect()} == want
+
+
 def test_refresh_walk(spark):
     sources = spark.createDataFrame([("a", 1), ("a", 5), ("a", 3), ("b", 2)], "site string, post_id long")
     got = [([r["post_id"] for r in rows], after) for rows, after in ingest.refresh_walk(sources, "a", 2)]
@@ -196,6 +234,14 @@ def test_large_cache_command(spark):
     assert {r["tag"] for r in vocab.collect()} == {"common", "mid"}
 
 
+def test_large_cache_keeps_untagged_images(spark):
+    links = spark.createDataFrame([(i, "common") for i in range(5)] + [(5, "rare")], "image_id long, name string")
+    blobs = spark.createDataFrame([(i, i, b"x") for i in range(8)], "image_id long, blob_id long, data binary")
+    for most in (None, 7):
+        got = {r["item"]: r["tags"] for r in commands.build_large_cache(blobs, links, most, 2, 2)[0].collect()}
+        assert len(got) == (most or 8) and got[5] == [] and got[6] == [] and got[0] == ["common"]
+
+
 def test_detect_command(spark):
     scores = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.7), (1, "c", 0.1)], "item long, label string, conf double")
     grid = [0.1, 0.9, 0.1, 0.1]
