@@ -8,10 +8,12 @@ any stretch of the diagonal is long and equal enough. The one that is given is
 the best, with one point for an equal word and ``-penalty`` for a substituted
 one, or, if that is too short, the longest that is equal enough.
 
-The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text,
-whose size is checked before it is sent; each text is read whole in one pass
-for a block, without a shuffle of texts. A hit is held against every item that
-has its hash, wherever and however often it occurs.
+The benchmark's seeds are joined to the texts where these are: it goes to the
+tasks in blocks of at most ``block_bytes`` of text, whose size is checked before
+a block is broadcast (one block for most benchmarks; a text is read once for
+each). A worker builds a block's index, 12 bytes a seed, once. No text is
+shuffled. A hit is held against every item that has its hash, wherever and
+however often it occurs.
 
 Defined results: null and empty texts, and items of fewer words than
 ``min_words``, overlap with nothing unless a whole item of at least
@@ -22,11 +24,12 @@ text. Columns beside id and text are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.llm.common import mix, steps, word_hashes
 
@@ -64,7 +67,7 @@ class Block:
         self.ids = [i for i, _ in items]
         words, at = word_hashes(pa.array([t for _, t in items], pa.string()))
         self.words, self.at, self.masks = words, at, masks
-        keys, owner, place = [], [], []
+        keys, places = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
         for k in range(len(items)):
             own = words[at[k] : at[k + 1]]
             if len(own) < min_item_words:
@@ -72,13 +75,10 @@ class Block:
             for m, mask in enumerate(masks):
                 s = seeds(own, mask, m)
                 keys.append(s)
-                owner.append(np.full(len(s), k))
-                place.append(np.arange(len(s)))
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.owner = np.concatenate(owner)[order] if keys else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if keys else np.empty(0, np.int64)
+                places.append(np.arange(at[k], at[k] + len(s), dtype=np.int32))
+        keys, places = np.concatenate(keys), np.concatenate(places)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.places = keys[order], places[order]  # 12 bytes a seed
         self.bits = max(16, int(len(self.keys) * 16).bit_length())
         self.bitmap = np.zeros(1 << self.bits, bool)
         self.bitmap[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
@@ -98,7 +98,9 @@ class Block:
             near, low, count, text = near[inside], low[inside], count[inside], text[inside]
             entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
             near, text = np.repeat(near, count), np.repeat(text, count)
-            found.append(np.stack([text, self.owner[entry], near - starts[text] - self.place[entry]], axis=1))
+            place = self.places[entry].astype(np.int64)
+            owner = np.searchsorted(self.at, place, "right") - 1
+            found.append(np.stack([text, owner, near - starts[text] - (place - self.at[owner])], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
     def fitting(self, words: np.ndarray, starts: np.ndarray, hits: np.ndarray, min_words: int, min_equal: float) -> Iterator[tuple[int, int, int]]:
@@ -178,14 +180,28 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
     for items_now in blocks_of(items, item_id, item_text, block_bytes):
-        part = source.mapInArrow(_searcher(items_now, min_words, min_equal, penalty), RESULT)
+        part = source.mapInArrow(_searcher(docs.sparkSession, items_now, min_words, min_equal, penalty), RESULT)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _searcher(items_now, min_words: int, min_equal: float, penalty: float):
+#: The index that a worker built last, by the block that it is of.
+_BUILT: dict[str, Block] = {}
+
+
+def _index(name: str, sent) -> Block:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Block(sent.value)
+    return _BUILT[name]
+
+
+def _searcher(spark: SparkSession, items: list[tuple[int, str]], min_words: int, min_equal: float, penalty: float):
+    """Searches texts for a block of items, which is broadcast."""
+    sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(items_now)
+        block = _index(name, sent)
         for whole in batches:
             for batch in steps(whole):
                 words, starts = word_hashes(batch.column(1))
@@ -210,7 +226,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     """``docs`` without the rows whose text overlaps with an item; each row is decided for itself, so ids need not be unique."""
     out = docs
     for items_now in blocks_of(items, item_id, item_text, block_bytes):
-        search = _searcher(items_now, min_words, min_equal, penalty)
+        search = _searcher(docs.sparkSession, items_now, min_words, min_equal, penalty)
 
         def kept(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
             for whole in batches:
