@@ -130,7 +130,8 @@ def adjusted_counts(spark, d):
 # --- cursors -----------------------------------------------------------------------------------------------------------
 
 
-@query("WITH page AS (SELECT user_id AS tag, event_type AS site, 'positive' AS phase, max(event_id) AS cursor, count(*) AS seen FROM events GROUP BY ALL) SELECT CAST(tag AS VARCHAR) AS tag, site, phase, cursor, seen, seen % 5 <> 0 AS exhausted FROM page")
+@query("""WITH page AS (SELECT user_id AS tag, event_type AS site, max(event_id) FILTER (event_id % 2 = 1) AS odd, max(event_id) AS last, count(*) FILTER (event_id % 2 = 1) AS n, count(*) AS seen FROM events GROUP BY ALL)
+SELECT CAST(tag AS VARCHAR) AS tag, site, 'positive' AS phase, coalesce(odd, last) AS cursor, seen, CASE WHEN n > 0 THEN n % 5 <> 0 ELSE seen % 5 <> 0 END AS exhausted FROM page""")
 def crawl_cursors(spark, d):
     """Where each (tag, site, phase) is after its pages of 5: the cursor moves with the page's data, a short page ends the phase."""
     table = ingest.Cursors(spark, f"{folder(spark)}/cursors")
@@ -142,6 +143,22 @@ def crawl_cursors(spark, d):
     return table.state()
 
 
+@query(f"""WITH {MENTION_SQL} SELECT item, list_sort(list(DISTINCT tag)) AS tags FROM mention WHERE tag IN ('Brand#11', 'Brand#12', 'Brand#13') AND site <> 'R' GROUP BY item""")
+def crawled_tags(spark, d):
+    """Two sites' listings of three tags, crawled to their end: an image that both sites have is stored once."""
+    from tessera.streaming.crawl import crawl
+
+    rows = st.mentions(spark, d).where("tag IN ('Brand#11', 'Brand#12', 'Brand#13') AND site <> 'R'")
+    tags = F.array_sort(F.collect_set("tag"))
+    posts = rows.groupBy("item", "site").agg(tags.alias("tags")).withColumn("tag", F.explode("tags"))
+    size = max(50, -(-rows.count() // 12))
+    posts = posts.select("tag", F.lower("site").alias("site"), F.lit("positive").alias("phase"), F.col("item").alias("post_id"), "item", F.xxhash64("item").alias("h"), "tags")
+    path = folder(spark)
+    work, cursors = ingest.Ingest(spark, f"{path}/work"), ingest.Cursors(spark, f"{path}/cursors")
+    crawl(posts, work, cursors, 1 << 40, 0, size)
+    return work.tags().groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
 @query(f"WITH {SOURCE_SQL}, last AS (SELECT 'a' AS site, max(item) AS last FROM snapshots), known AS (SELECT count(DISTINCT item) AS n FROM snapshots WHERE item % 4 <> 0) SELECT site, last, n AS refreshed FROM last, known")
 def refresh_cursor(spark, d):
     """A sweep's cursor moves over orphan sources too, which are not refreshed."""

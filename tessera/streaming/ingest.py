@@ -89,17 +89,20 @@ class Cursors:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.table = Table(spark, folder)
 
-    def advance(self, posts: DataFrame, batch_id: int, page_size: int) -> None:
-        """``posts`` has (tag, site, phase, post_id), all raw posts of the batch's pages."""
+    def advance(self, posts: DataFrame, batch_id: int, page_size: int, falling: bool = False) -> None:
+        """``posts`` has (tag, site, phase, post_id), all raw posts of the batch's pages; a row without a post says that there was none."""
         if batch_id in self.table.versions():
             return
-        now = posts.groupBy(*self.KEYS).agg(F.max("post_id").alias("cursor"), F.count("*").alias("seen"))
+        last = F.min("post_id") if falling else F.max("post_id")
+        now = posts.groupBy(*self.KEYS).agg(last.alias("cursor"), F.count("post_id").alias("seen"))
+        now = now.withColumn("exhausted", (F.col("seen") % page_size != 0) | (F.col("seen") == 0))
         old = self.table.read()
         if old is not None:
-            now = now.unionByName(old.select(now.columns)).groupBy(*self.KEYS).agg(F.max("cursor").alias("cursor"), F.sum("seen").alias("seen"))
-        self.table.commit(now.withColumn("exhausted", F.col("seen") % page_size != 0), batch_id)
+            both = old.toDF(*self.KEYS, "_cursor", "_seen", "_exhausted").join(now, list(self.KEYS), "full_outer")
+            now = both.select(*self.KEYS, F.coalesce("cursor", "_cursor").alias("cursor"), (F.coalesce("seen", F.lit(0)) + F.coalesce("_seen", F.lit(0))).alias("seen"), F.coalesce("exhausted", "_exhausted").alias("exhausted"))
+        self.table.commit(now, batch_id)
 
-    def state(self) -> DataFrame:
+    def state(self) -> DataFrame | None:
         return self.table.read()
 
 

@@ -194,6 +194,57 @@ def test_ingest_in_batches_is_as_in_one(spark, tmp_path):
     assert len(work.images.versions()) == 1 and {r["item"]: r["leader"] for r in work.images.read().collect()} == want
 
 
+def plain_crawl(posts, most, negatives, page_size):
+    """The rounds of a crawl in plain Python; hashes are all far apart."""
+    floor = -(-most // len({p["site"] for p in posts}))
+    lists = {}
+    for p in sorted(posts, key=lambda p: -p["post_id"]):
+        lists.setdefault((p["tag"], p["site"], p["phase"]), []).append(p)
+    at, seen, done, images = {k: 0 for k in lists}, {k: 0 for k in lists}, set(), {}
+    while True:
+        count = lambda t: sum(t in tags for tags in images.values())
+        wants = lambda k: k not in done and (seen[k] < floor or count(k[0]) < most if k[2] == "positive" else negatives - (len(images) - count(k[0])) > 0)
+        now = [k for k in lists if k[2] == "positive" and wants(k)]
+        now += [k for k in lists if k[2] != "positive" and wants(k) and not any(x[1] == k[1] for x in now if x[2] == "positive")]
+        if not now:
+            return images, seen
+        for k in now:
+            page = lists[k][at[k] : at[k] + page_size]
+            at[k] += len(page)
+            seen[k] += len(page)
+            if len(page) < page_size:
+                done.add(k)
+            for p in page:
+                images.setdefault(p["item"], set()).update(p["tags"])
+
+
+@pytest.mark.parametrize("most, negatives", [(4, 6), (100, 0), (3, 50)])
+def test_crawl_of_two_sites(spark, tmp_path, most, negatives):
+    import random
+
+    from tessera.streaming.crawl import crawl
+
+    rng = random.Random(most)
+    posts = []
+    for site in "ab":
+        for post in range(40):
+            item = 100 + post if rng.random() < 0.5 else 1000 * ord(site) + post
+            tags = sorted({rng.choice("xyz") for _ in range(2)})
+            posts += [{"tag": t, "site": site, "phase": "positive", "post_id": post, "item": item, "h": hash((item, 7)) * 2654435761 % (1 << 62), "tags": tags} for t in tags]
+            posts += [{"tag": t, "site": site, "phase": "negative", "post_id": post, "item": item, "h": hash((item, 7)) * 2654435761 % (1 << 62), "tags": tags} for t in set("xyz") - set(tags)]
+    schema = "tag string, site string, phase string, post_id long, item long, h long, tags array<string>"
+    df = spark.createDataFrame(posts, schema)
+    work, cursors = ingest.Ingest(spark, str(tmp_path / "w"), 0), ingest.Cursors(spark, str(tmp_path / "c"))
+    rounds = crawl(df, work, cursors, most, negatives, 5)
+    images, seen = plain_crawl(posts, most, negatives, 5)
+    got = {}
+    for r in work.tags().collect():
+        got.setdefault(r["item"], set()).add(r["tag"])
+    assert got == images
+    assert {(r["tag"], r["site"], r["phase"]): r["seen"] for r in cursors.state().collect()} == {k: n for k, n in seen.items() if n}
+    assert crawl(df, work, cursors, most, negatives, 5) == rounds  # nothing is left to do
+
+
 def test_refresh_walk(spark):
     sources = spark.createDataFrame([("a", 1), ("a", 5), ("a", 3), ("b", 2)], "site string, post_id long")
     got = [([r["post_id"] for r in rows], after) for rows, after in ingest.refresh_walk(sources, "a", 2)]
