@@ -164,7 +164,9 @@ def run_onnx(images: DataFrame, model: bytes, canvas: int = 224, name: str = "sp
     def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import onnxruntime
 
-        session = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"])
+        from tessera.models.run import devices
+
+        session = onnxruntime.InferenceSession(model, providers=devices())
         for b in batches:
             out = []
             for item, x, y, w, h, p in b[["item", "x", "y", "width", "height", "pixels"]].itertuples(index=False):

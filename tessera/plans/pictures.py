@@ -272,3 +272,46 @@ def image_hashes(spark, d):
     pixel = F.transform("v", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round((x + 0.5) * 255).cast("int"))))
     hexes = F.array_join(F.transform(pixel, lambda p: F.repeat(F.lpad(F.hex(p.cast("long")), 2, "0"), 3)), "")
     return images.hash_images(st.vectors(spark, d).select("item", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(hexes).alias("pixels")))
+
+
+_VALID = f"""valid AS (SELECT item, cy, cx, (cy + 0.5) * {CANVAS} / 2 >= oy AND (cy + 0.5) * {CANVAS} / 2 < oy + th AND (cx + 0.5) * {CANVAS} / 2 >= ox AND (cx + 0.5) * {CANVAS} / 2 < ox + tw AS inside FROM box, unnest(range(2)) AS a(cy), unnest(range(2)) AS b(cx))"""
+
+
+@query(f"""WITH {CONTENT_SQL}, {CANVAS_SQL}, {_VALID}, cell AS (SELECT item, y // 4 AS cy, x // 4 AS cx, c, avg(CAST(CASE WHEN inside THEN {_NORMAL} ELSE 0 END AS DOUBLE)) AS v FROM canvas GROUP BY ALL)
+SELECT cell.item, list(round(m * 0.7310585, 2) + 0.0 ORDER BY c) AS v FROM (SELECT cell.item, c, avg(v) AS m FROM cell JOIN valid ON valid.item = cell.item AND valid.cy = cell.cy AND valid.cx = cell.cx WHERE valid.inside GROUP BY cell.item, c) cell GROUP BY cell.item""")
+def encoded_pictures(spark, d):
+    """Stored pictures through a finished encoder (here one that takes means of 4x4 pixels), pooled over the cells inside the box."""
+    from tessera.models.graph import Graph
+
+    graph = Graph("means")
+    means = graph.node("AveragePool", graph.input("pixel_values", [1, 3, CANVAS, CANVAS]), kernel_shape=[4, 4], strides=[4, 4])
+    graph.output(means, "spatial_features")
+    out = images.run_onnx(images.encode_images(pictures(spark, d), CANVAS), graph.bytes(), CANVAS)
+    return out.select("item", F.transform("v", lambda x: F.round(x.cast("double") * 0.7310585, 2) + F.lit(0.0)).alias("v"))
+
+
+@query("""WITH letter AS (SELECT p_partkey AS tag, ascii(unnest(string_split(p_name, ''))) % 16 AS k FROM part), e(j) AS (VALUES (0), (1), (2))
+SELECT tag, list(round(m, 4) + 0.0 ORDER BY j) AS v FROM (SELECT tag, j, avg((k * (j + 3)) % 7 - 3) AS m FROM letter, e GROUP BY tag, j) GROUP BY tag""")
+def embedded_texts(spark, d):
+    """Texts through a finished text encoder (here the mean of the letters' rows), with the caller's own tokenizer."""
+    from tessera.models.graph import Graph
+    from tessera.models.run import embed_texts
+
+    graph = Graph("letters")
+    ids, mask = graph.input("input_ids", ["n", "length"], whole=True), graph.input("attention_mask", ["n", "length"])
+    table = graph.constant(np.array([[(k * (j + 3)) % 7 - 3 for j in range(3)] for k in range(16)], np.float32))
+    wide = graph.node("Unsqueeze", mask, graph.constant(np.array([2])))
+    total = graph.node("ReduceSum", graph.node("Mul", graph.node("Gather", table, ids), wide), graph.constant(np.array([1])), keepdims=0)
+    size = graph.node("ReduceSum", wide, graph.constant(np.array([1])), keepdims=0)
+    graph.output(graph.node("Div", total, size), "embedding")
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("tag"), F.col("p_name").alias("text"))
+    out = embed_texts(rows, graph.bytes(), lambda t: [ord(c) % 16 for c in t])
+    return out.select("tag", F.transform("v", lambda x: F.round(x.cast("double"), 4) + F.lit(0.0)).alias("v"))
+
+
+@query("SELECT * FROM (VALUES ('both', 'CUDAExecutionProvider'), ('processor', 'CPUExecutionProvider'), ('none', 'CPUExecutionProvider')) t(machine, device)")
+def device_choice(spark, d):
+    from tessera.models.run import devices
+
+    machines = {"both": ["CPUExecutionProvider", "CUDAExecutionProvider"], "processor": ["CPUExecutionProvider"], "none": []}
+    return spark.createDataFrame([(k, devices(v)[0]) for k, v in machines.items()], "machine string, device string")
