@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators.prefix import dense_number
+from tessera.operators.store import Parts, Table
+from tessera.session import cut
 
 
 def fit_tag(items: DataFrame, steps: int = 200, rate: float = 0.05, patience: int = 5, min_delta: float = 1e-4, start: list[float] | None = None, vector: str = "v", y: str = "y") -> tuple[list[float], list[float]]:
@@ -53,6 +55,103 @@ def loss_and_gradient(items: DataFrame, row: np.ndarray, vector: str = "v", y: s
     return whole[0]["loss"] / n, np.array([r["x"] for r in whole]) / n
 
 
+#: Numbers of a block of rows that is sent to the tasks at once.
+BLOCK_VALUES = 4_000_000
+
+
+def _gradients(first: int, table: np.ndarray):
+    """For a block of rows: their summed gradients over a task's training items, and the summed losses of training and validation items."""
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, losses, counts = np.zeros(table.shape), np.zeros((2, len(table))), np.zeros(2, np.int64)
+        for b in frames:
+            x = np.stack(list(b["v"])).astype(np.float64)
+            y = np.full((len(b), len(table)), -1.0)
+            for i, own in enumerate(b["rows"]):
+                own = np.asarray(own, np.int64) - first
+                y[i, own[(own >= 0) & (own < len(table))]] = 1
+            z = y * (x @ table.T)
+            held = b["validation"].to_numpy(bool)
+            for k, part in enumerate((~held, held)):
+                losses[k] += np.logaddexp(0, -z[part]).sum(axis=0)
+                counts[k] += part.sum()
+            total += (-y / (1 + np.exp(z)))[~held].T @ x[~held]
+        yield pd.DataFrame({"row_index": range(first, first + len(table)), "g": list(total), "loss": losses[0], "held_loss": losses[1], "n": counts[0], "held_n": counts[1]})
+
+    return summed
+
+
+class RowTraining:
+    """Embedding rows of all tags fitted to frozen item vectors, epoch by epoch, in versions under ``folder``.
+
+    An epoch is one pass over the items for each block of rows, one step of Adam for every row, and the losses before that step.
+    Version k of ``rows`` (row_index, w, first, second) is what k epochs have made of them, so a run that died goes on behind its
+    last whole epoch, with the same patience: that is worked out from the stored losses.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, rate: float = 0.05, patience: int = 3, min_delta: float = 1e-4) -> None:
+        self.rows, self.losses = Table(spark, f"{folder}/rows"), Parts(spark, f"{folder}/losses")
+        self.rate, self.patience, self.min_delta = rate, patience, min_delta
+
+    def start(self, rows: DataFrame) -> None:
+        """``rows`` (row_index, v) are where training begins, unless it has begun."""
+        zeros = F.transform("w", lambda _: F.lit(0.0))
+        self.rows.commit(rows.select("row_index", F.col("v").cast("array<double>").alias("w")).withColumns({"first": zeros, "second": zeros}), 0)
+
+    def stopped(self) -> bool:
+        """Whether validation has not improved for ``patience`` epochs; a loss that is no number is an error."""
+        best, waited = float("inf"), 0
+        said = self.losses.read()
+        for r in said.orderBy("epoch").collect() if said is not None else []:  # a row an epoch
+            if not (r["loss"] == r["loss"] and r["held_loss"] == r["held_loss"]):
+                raise ValueError(f"the loss of epoch {r['epoch']} is no number")
+            best, waited = (r["held_loss"], 0) if r["held_loss"] < best - self.min_delta else (best, waited + 1)
+        return waited >= self.patience
+
+    def run(self, items: DataFrame, epochs: int) -> DataFrame:
+        """(row_index, v) after ``epochs`` epochs or fewer; ``items`` has (v, rows, validation), ``rows`` an item's own row numbers."""
+        items = cut(items.select("v", "rows", "validation"))
+        while (done := self.rows.version()) < epochs and not self.stopped():
+            self._epoch(items, done)
+        return self.rows.read().select("row_index", F.col("w").alias("v"))
+
+    def _epoch(self, items: DataFrame, done: int) -> None:
+        now, parts, held = self.rows.read(done), None, []
+        schema = "row_index long, g array<double>, loss double, held_loss double, n long, held_n long"
+
+        def add(block: list) -> None:
+            nonlocal parts
+            part = items.mapInPandas(_gradients(block[0]["row_index"], np.array([r["w"] for r in block])), schema)
+            parts = part if parts is None else parts.unionByName(part)
+
+        for r in now.select("row_index", "w").orderBy("row_index").toLocalIterator():
+            held.append(r)
+            if len(held) * len(r["w"]) >= BLOCK_VALUES:
+                add(held)
+                held = []
+        if held:
+            add(held)
+
+        def whole(own: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"row_index": [own["row_index"].iloc[0]], "g": [np.sum(np.stack(list(own["g"])), axis=0)], **{c: [own[c].sum()] for c in ("loss", "held_loss", "n", "held_n")}})
+
+        sums = cut(parts.groupBy("row_index").applyInPandas(whole, schema))
+        tags, rate = now.count(), self.rate
+
+        def stepped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in frames:
+                g = np.stack(list(b["g"])) / (b["n"].to_numpy()[:, None].clip(1) * tags)
+                w, m, v = (np.stack(list(b[c])) for c in ("w", "first", "second"))
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+                w = w - rate * (m / (1 - 0.9 ** (done + 1))) / (np.sqrt(v / (1 - 0.999 ** (done + 1))) + 1e-8)
+                yield pd.DataFrame({"row_index": b["row_index"], "w": list(w), "first": list(m), "second": list(v)})
+
+        mean = lambda loss, n: (F.sum(loss) / F.greatest(F.sum(n), F.lit(1))).alias(loss)
+        self.losses.commit(sums.agg(mean("loss", "n"), mean("held_loss", "held_n")).withColumn("epoch", F.lit(done)), done)
+        after = now.join(sums, "row_index").mapInPandas(stepped, "row_index long, w array<double>, first array<double>, second array<double>")
+        self.rows.commit(after, done + 1)
+
+
 def shuffled(rows: DataFrame, key: str, size: int, seed: str = "0") -> DataFrame:
     """``rows`` dealt to batches: (batch, row) by the order of a hash of seed and key, the last batch may be smaller."""
     digest = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))

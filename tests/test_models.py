@@ -59,3 +59,50 @@ def test_tower_over_stored_images(spark):
 
 def test_devices():
     assert run.devices(["CPUExecutionProvider", "CUDAExecutionProvider"])[0] == "CUDAExecutionProvider" and run.devices([]) == ["CPUExecutionProvider"]
+
+
+def plain_epochs(x, y, held, w, epochs, rate):
+    """Full passes of Adam over all rows, and the losses before each."""
+    m = v = np.zeros_like(w)
+    losses = []
+    for t in range(1, epochs + 1):
+        z = y * (x @ w.T)
+        losses.append((np.logaddexp(0, -z[~held]).mean(), np.logaddexp(0, -z[held]).mean()))
+        g = (-y / (1 + np.exp(z)))[~held].T @ x[~held] / (~held).sum() / len(w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w, losses
+
+
+def test_row_training_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    from tessera.operators import training
+
+    rng = np.random.default_rng(7)
+    x, w = rng.normal(size=(60, 4)), rng.normal(size=(3, 4)) * 0.01
+    own = [[int(k) for k in range(3) if x[i, k] > 0.3] for i in range(60)]
+    held = np.arange(60) % 5 == 0
+    items = spark.createDataFrame([(x[i].tolist(), own[i], bool(held[i])) for i in range(60)], "v array<double>, rows array<long>, validation boolean")
+    rows = spark.createDataFrame([(k, w[k].tolist()) for k in range(3)], "row_index long, v array<double>")
+    y = np.array([[1.0 if k in own[i] else -1.0 for k in range(3)] for i in range(60)])
+    want, losses = plain_epochs(x, y, held, w, 4, 0.05)
+    for block in (100, 8):  # all rows at once, and two at a time
+        monkeypatch.setattr(training, "BLOCK_VALUES", block)
+        run_ = training.RowTraining(spark, str(tmp_path / f"t{block}"))
+        run_.start(rows)
+        run_.run(items, 2)
+        again = training.RowTraining(spark, str(tmp_path / f"t{block}"))
+        again.start(rows.limit(0))  # it has begun
+        got = {r["row_index"]: r["v"] for r in again.run(items, 4).collect()}
+        assert np.allclose([got[k] for k in range(3)], want)
+        said = again.losses.read().orderBy("epoch").collect()
+        assert np.allclose([(r["loss"], r["held_loss"]) for r in said], losses) and losses[3][1] < losses[0][1]
+
+
+def test_row_training_stops(spark, tmp_path):
+    from tessera.operators import training
+
+    items = spark.createDataFrame([([1.0, 0.0], [0], False), ([1.0, 0.0], [], True)], "v array<double>, rows array<long>, validation boolean")
+    work = training.RowTraining(spark, str(tmp_path / "s"), rate=0.5, patience=2)
+    work.start(spark.createDataFrame([(0, [0.0, 0.0])], "row_index long, v array<double>"))
+    work.run(items, 50)
+    assert work.rows.version() == 3 and work.stopped()  # the first loss is the best, then two that are worse
