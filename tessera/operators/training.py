@@ -105,6 +105,8 @@ class RowTraining:
         for r in said.orderBy("epoch").collect() if said is not None else []:  # a row an epoch
             if not (r["loss"] == r["loss"] and r["held_loss"] == r["held_loss"]):
                 raise ValueError(f"the loss of epoch {r['epoch']} is no number")
+            if not r["held_n"]:
+                return False  # nothing is held out, so nothing can be said
             best, waited = (r["held_loss"], 0) if r["held_loss"] < best - self.min_delta else (best, waited + 1)
         return waited >= self.patience
 
@@ -147,7 +149,7 @@ class RowTraining:
                 yield pd.DataFrame({"row_index": b["row_index"], "w": list(w), "first": list(m), "second": list(v)})
 
         mean = lambda loss, n: (F.sum(loss) / F.greatest(F.sum(n), F.lit(1))).alias(loss)
-        self.losses.commit(sums.agg(mean("loss", "n"), mean("held_loss", "held_n")).withColumn("epoch", F.lit(done)), done)
+        self.losses.commit(sums.agg(mean("loss", "n"), mean("held_loss", "held_n"), F.sum("held_n").alias("held_n")).withColumn("epoch", F.lit(done)), done)
         after = now.join(sums, "row_index").mapInPandas(stepped, "row_index long, w array<double>, first array<double>, second array<double>")
         self.rows.commit(after, done + 1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.taxonomy import ExclusionRules, eligible
-from tessera.operators import aliases as al, cooccur, quota, reconcile as rec, sampling, scoring, spatial, survey, vocabulary
+from tessera.operators import aliases as al, cooccur, quota, reconcile as rec, sampling, scoring, spatial, survey, training, vocabulary
 from tessera.sources import files
 
 MIN_IMAGES, MAX_IMAGES = 500, 1000
@@ -50,10 +50,32 @@ def prune_aliased_tags(stored: DataFrame, aliases: DataFrame, apply: bool = Fals
     return survey.prune(stored, aliases) if apply else survey.prune_report(stored, aliases, al.closure(aliases))
 
 
-def build_small_dataset(bags: DataFrame, tags: list[str], max_images: int | None = None) -> DataFrame:
-    """(item, positive, tags) of a balanced sample."""
+def build_small_dataset(bags: DataFrame, tags: list[str], max_images: int | None = None, blobs: DataFrame | None = None) -> DataFrame:
+    """(item, positive, tags) of a balanced sample; with ``blobs`` (image_id, blob_id, data) also each image's first blob, and only images that have one."""
     chosen = sampling.balanced(bags, tags, max_images)
-    return chosen.join(bags.groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("tags")), "item")
+    out = chosen.join(bags.groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("tags")), "item")
+    return out if blobs is None else out.join(files.first_blob(blobs).withColumnRenamed("image_id", "item"), "item")
+
+
+def add_tag(known: DataFrame, items: DataFrame, tag: str, folder: str, start: list[float], min_images: int = MIN_IMAGES, epochs: int = 20, rate: float = 0.05, patience: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary with ``tag`` and the tag's fitted row.
+
+    ``known`` has (row_index, tag, image_count, status), ``items`` (item, v, tags): the manifest's images with their frozen vectors. A
+    new tag is numbered after all others; every image of the manifest counts for it, and with enough images it is promoted. Of 6
+    images or more a fifth is held out, and training stops when they no longer improve.
+    """
+    number = known.where(F.col("tag") == tag).select("row_index").first()
+    if number is None:
+        size = known.agg((F.coalesce(F.max("row_index"), F.lit(-1)) + 1).alias("s")).first()["s"]
+        fresh = known.sparkSession.createDataFrame([(size, tag, 0, vocabulary.WARM_START)], "row_index long, tag string, image_count long, status string")
+        known = known.select("row_index", "tag", "image_count", "status").unionByName(fresh)
+    row = size if number is None else number["row_index"]
+    known = known.withColumn("image_count", F.when(F.col("tag") == tag, F.col("image_count") + items.count()).otherwise(F.col("image_count")))
+    work = training.RowTraining(items.sparkSession, folder, rate, patience)
+    work.start(items.sparkSession.createDataFrame([(row, start)], "row_index long, v array<double>"))
+    own = F.when(F.array_contains("tags", tag), F.array(F.lit(row).cast("long"))).otherwise(F.array().cast("array<long>"))
+    fitted = work.run(sampling.small_split(items, "item").select("v", own.alias("rows"), "validation"), epochs)
+    return vocabulary.promote(known, min_images), fitted
 
 
 def build_large_cache(blobs: DataFrame, links: DataFrame, max_images: int | None = None, min_per_tag: int = 15, min_tag_images: int = 100) -> tuple[DataFrame, DataFrame]:

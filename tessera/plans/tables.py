@@ -336,6 +336,47 @@ def gathered_rows(spark, d):
     return rows.join(wanted, "label", "left_semi").select("label", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
+@query(f"WITH {MENTION_SQL}, v AS (SELECT tag, count(*) AS n FROM mention GROUP BY tag), listed AS (SELECT row_number() OVER (ORDER BY tag) - 1 AS row_index, tag, n FROM v), size AS (SELECT count(*) AS images FROM embeddings) SELECT row_index, tag, CASE tag WHEN 'Brand#11' THEN n + images ELSE n END AS image_count, CASE WHEN tag = 'Brand#11' AND n + images >= 300 THEN 'Trained' ELSE 'WarmStartOnly' END AS status FROM listed, size UNION ALL SELECT (SELECT count(*) FROM v), 'new', images, CASE WHEN images >= 300 THEN 'Trained' ELSE 'WarmStartOnly' END FROM size")
+def added_tags(spark, d):
+    """A vocabulary to which a tag that it has and one that it has not are added, each from the same manifest."""
+    from pyspark.sql import Window
+
+    from tessera.plans import commands
+
+    known = st.mentions(spark, d).groupBy("tag").agg(F.count("*").alias("image_count"))
+    known = known.select((F.row_number().over(Window.orderBy("tag")) - 1).cast("long").alias("row_index"), "tag", "image_count", F.lit("WarmStartOnly").alias("status"))
+    items = cut(st.vectors(spark, d).select("item", "v", F.when(F.col("label") == 3, F.array(F.lit("new"))).otherwise(F.array(F.lit("Brand#11"))).alias("tags")))
+    path = folder(spark)
+    grown = known
+    for tag in ("Brand#11", "new"):
+        # The others' status is not looked at here: only the added tag may be promoted.
+        after, fitted = commands.add_tag(grown, items, tag, f"{path}/{tag.replace('#', '-')}", [0.0] * 64, 300, epochs=2)
+        assert fitted.count() == 1
+        grown = cut(grown.where(F.col("tag") != tag).select("row_index", "tag", "image_count", "status").unionByName(after.where(F.col("tag") == tag).select("row_index", "tag", "image_count", "status")))
+    return grown
+
+
+@query(f"WITH {BAG_SQL}, m AS (SELECT item, bool_or(tag IN ('Brand#11', 'Brand#12')) AS hit FROM bag GROUP BY item), p AS (SELECT item FROM m WHERE hit ORDER BY md5('0p' || item), item LIMIT 300), n AS (SELECT item FROM m WHERE item NOT IN (SELECT item FROM p) ORDER BY md5('0n' || item), item LIMIT (SELECT count(*) FROM p)), c AS (SELECT item, 1 AS positive FROM p UNION ALL SELECT item, 0 FROM n) SELECT c.item, c.positive, (SELECT list_sort(list(tag)) FROM bag WHERE bag.item = c.item) AS tags, (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = c.item) AS data FROM c")
+def small_dataset(spark, d):
+    """A balanced sample with each image's first blob."""
+    from tessera.plans import commands
+
+    blobs = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("blob_id"), F.col("l_linenumber").alias("data"))
+    return commands.build_small_dataset(st.bag(spark, d), ["Brand#11", "Brand#12"], 300, blobs)
+
+
+@query(f"WITH {BAG_SQL}, frequent AS (SELECT tag FROM bag GROUP BY tag HAVING count(*) >= (SELECT count(*) / 25.0 FROM bag)), image AS (SELECT DISTINCT l_orderkey AS item FROM lineitem) SELECT item, coalesce((SELECT list_sort(list(tag)) FROM bag WHERE bag.item = image.item AND tag IN (SELECT tag FROM frequent)), []) AS tags FROM image")
+def large_cache(spark, d):
+    """All images with their frequent tags, an empty list where there is none."""
+    from tessera.plans import commands
+
+    lines = read(spark, d, "lineitem")
+    blobs = lines.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("blob_id"), F.col("l_linenumber").alias("data"))
+    links = st.bag(spark, d).select(F.col("item").alias("image_id"), F.col("tag").alias("name"))
+    least = -(-links.count() // 25)
+    return commands.build_large_cache(blobs, links, min_tag_images=least)[0].select("item", "tags")
+
+
 # --- quotas ------------------------------------------------------------------------------------------------------------
 
 
