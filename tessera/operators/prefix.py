@@ -1,36 +1,38 @@
 """Running sums and dense numbers over a whole table without one task that sees all rows.
 
-Rows are dealt to chunks of consecutive keys, as wide as the keys are sparse;
-only the chunks' totals, a row each, are summed in one place.
+Rows are dealt to ranges of keys with about as many rows each, however the keys
+lie; only the ranges' totals, a row each, are summed in one place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rows that a chunk has on average.
-CHUNK = 1 << 16
+from tessera.session import cut
+
+#: Rows that a range has, and ranges at most.
+CHUNK, CHUNKS = 1 << 16, 20_000
 
 
 def prefix_sum(df: DataFrame, key: str, value: Column, into: str = "before", then: tuple[str, ...] = (), chunk: int = CHUNK, chunk_column: str | None = None) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before a row (exclusive), in order of integer ``key``; ties by ``then``.
+    """``df`` with the sum of ``value`` over all rows before a row (exclusive), in order of ``key``; ties by ``then``.
 
-    ``chunk_column`` keeps the rows' chunk number under that name.
+    ``chunk_column`` keeps the number of a row's range under that name. Rows are written once before and once after they are dealt.
     """
     name = chunk_column or "__chunk"
-    span = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
-    width = 1 if not span["n"] else min(1 << 62, max(1, -(-(span["high"] - span["low"] + 1) * chunk // span["n"])))
-    rows = df.withColumn(name, F.expr(f"`{key}` div {width}L") if width > 1 else F.col(key).cast("long")).withColumn("__value", value)
+    rows = cut(df.withColumn("__value", value))
+    ranges = min(CHUNKS, max(1, -(-rows.count() // chunk)))
+    rows = cut(rows.repartitionByRange(ranges, key, *then).withColumn(name, F.spark_partition_id().cast("long")))
     totals = rows.groupBy(name).agg(F.sum("__value").alias("__total"))
     ahead = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(name, F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__ahead"))
     inside = Window.partitionBy(name).orderBy(key, *then).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(totals, name).withColumn(into, F.col("__ahead") + F.coalesce(F.sum("__value").over(inside), F.lit(0)))
+    out = rows.join(F.broadcast(totals), name).withColumn(into, F.col("__ahead") + F.coalesce(F.sum("__value").over(inside), F.lit(0)))
     return out.drop("__value", "__ahead", *([] if chunk_column else [name]))
 
 
 def dense_number(df: DataFrame, key: str, *then: str, into: str = "row_index") -> DataFrame:
-    """Numbers rows from 0 on by ascending integer ``key``, ties by ``then``."""
+    """Numbers rows from 0 on by ascending ``key``, ties by ``then``."""
     return prefix_sum(df, key, F.lit(1).cast("long"), into, then)
 
 
