@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and returns the columns of ``documents``, but for the
 last, which returns the packed pieces.
+
+Defined results: a null or empty text has no words and is rejected by the first stage. A null id goes through like any other.
+Rows that repeat an id and a text are copies of each other, of which near dedup keeps one; rows that repeat an id with another text
+stay documents of their own. Ties between copies go to the least id. Columns that ``documents`` has beside the five are dropped by
+the first stage. An empty table gives an empty result.
+
+What stands between two stages is written under the shared checkpoint folder, where whatever clears that folder finds it.
 """
 
 from __future__ import annotations
