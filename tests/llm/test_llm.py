@@ -563,6 +563,21 @@ def test_pieces_of_identity_terms_do_not_count(spark):
     assert biased.max() - biased.min() > 0.4 and fair[:3].max() - fair[:3].min() < 0.1 and fair[3:].max() - fair[3:].min() < 0.1
 
 
+@pytest.mark.parametrize("held", [1 << 21, 40])
+def test_words_are_counted_by_class(monkeypatch, held):
+    monkeypatch.setattr(toxicity, "_HELD", held)
+    rng = random.Random(42)
+    rows = [(rng.randrange(2), sorted(rng.sample(range(60), rng.randrange(30)))) for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows]), pa.array([np.array(w, np.uint64).tobytes() for _, w in rows], pa.binary())], names=["label", "words"])
+    got = collections.Counter()
+    for part in toxicity._count(iter([batch.slice(0, 20), batch.slice(20)])):
+        for r in part.to_pylist():
+            got[r["word"], 0] += r["clean"]
+            got[r["word"], 1] += r["toxic"]
+    assert +got == collections.Counter((w, y) for y, words in rows for w in words)
+    assert not list(toxicity._count(iter([])))
+
+
 def test_pieces_do_not_cross_texts(monkeypatch):
     monkeypatch.setattr(toxicity, "_SEGMENT", 11)
     texts = ["abcdef", "gh", "ijklmn opqrst", "", None, "é€xyzw"]
