@@ -97,15 +97,9 @@ def second_site_posts(spark, d):
 @query(f"WITH {POST_SQL}, page AS (SELECT (post_id - 1) // 2000 AS page, count(*) AS n, max(post_id) AS last FROM post GROUP BY 1) SELECT page, n, CASE WHEN n = (SELECT max(n) FROM page) THEN last ELSE -1 END AS next FROM page")
 def page_cursors(spark, d):
     """The cursor behind each page of raw posts: the last id of a full page, counted before unusable posts are dropped."""
-    pages = _posts(spark, d).withColumn("page", F.expr("(pos - 1) div 2000"))
-    size = F.max("n").over(_whole())
-    return pages.groupBy("page").agg(F.count("*").alias("n"), F.max("id").alias("last")).select("page", "n", F.when(F.col("n") == size, F.col("last")).otherwise(-1).alias("next"))
-
-
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
+    pages = _posts(spark, d).select(F.expr("(pos - 1) div 2000").alias("page"), "id")
+    size = pages.groupBy("page").count().agg(F.max("count")).first()[0]
+    return files.page_cursors(pages, size).select("page", "n", F.coalesce("next", F.lit(-1)).alias("next"))
 
 
 @query(f"WITH {POST_SQL}, usable AS (SELECT * FROM post WHERE md5 IS NOT NULL AND file_url IS NOT NULL) SELECT 'a' AS site, e.event_id AS post_id, u.md5, u.rating FROM events e LEFT JOIN usable u ON u.post_id = e.event_id")
@@ -207,7 +201,7 @@ def shrunk_cache_records(spark, d):
     return files.parsed_caches(new, ["file"]).withColumn("pixels", F.hex("pixels"))
 
 
-@query(_FILED_SQL.replace("SELECT item % 8 AS file, row_number() OVER (PARTITION BY item % 8 ORDER BY item) - 1 AS row_index, x, y, width, height, pixels FROM stored", "SELECT item % 8 AS file, length(pixels) // 2 + 28 AS bytes FROM stored QUALIFY row_number() OVER (PARTITION BY item % 8 ORDER BY item) = 1"))
+@query(f"{_STORED_SQL} SELECT item % 8 AS file, length(pixels) // 2 + 28 AS bytes FROM stored QUALIFY row_number() OVER (PARTITION BY item % 8 ORDER BY item) = 1")
 def first_records(spark, d):
     """Where the second record of each cache begins: behind the header, a box and the first content."""
     one = files.parsed_caches(files.packed_caches(_filed(spark, d), CANVAS), ["file"]).where("row_index = 0")

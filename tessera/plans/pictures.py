@@ -29,17 +29,18 @@ def _axis(to: str, size: str, name: str) -> str:
 {name} AS (SELECT *, CAST(floor(p) AS INT) AS i0, least(CAST(floor(p) AS INT) + 1, {size} - 1) AS i1, p - floor(p) AS f FROM {name}_at)"""
 
 
-def resized_sql(source: str, box: str, extra: str = "c") -> str:
-    """``resized`` (item, i, j, {extra}, v): every picture of ``source`` (item, y, x, {extra}, v) at the size that ``box`` (item, w, h, tw, th) gives."""
-    return f"""ys_in AS (SELECT item, h, th, unnest(range(th)) AS i FROM {box}), {_axis('th', 'h', 'ys')},
-xs_in AS (SELECT item, w, tw, unnest(range(tw)) AS i FROM {box}), {_axis('tw', 'w', 'xs')},
-resized AS (SELECT ys.item, ys.i AS i, xs.i AS j, a.{extra},
-  (a.v * (1 - xs.f) + b.v * xs.f) * (1 - ys.f) + (c.v * (1 - xs.f) + d.v * xs.f) * ys.f AS v
-  FROM ys JOIN xs ON ys.item = xs.item
-  JOIN {source} a ON a.item = ys.item AND a.y = ys.i0 AND a.x = xs.i0
-  JOIN {source} b ON b.item = ys.item AND b.y = ys.i0 AND b.x = xs.i1 AND b.{extra} = a.{extra}
-  JOIN {source} c ON c.item = ys.item AND c.y = ys.i1 AND c.x = xs.i0 AND c.{extra} = a.{extra}
-  JOIN {source} d ON d.item = ys.item AND d.y = ys.i1 AND d.x = xs.i1 AND d.{extra} = a.{extra})"""
+def resized_sql(source: str, box: str, into: str = "resized") -> str:
+    """``into`` (item, i, j, c, v): every picture of ``source`` (item, y, x, c, v) at the size that ``box`` (item, w, h, tw, th) gives."""
+    ys, xs = f"{into}_y", f"{into}_x"
+    return f"""{ys}_in AS (SELECT item, h, th, unnest(range(th)) AS i FROM {box}), {_axis('th', 'h', ys)},
+{xs}_in AS (SELECT item, w, tw, unnest(range(tw)) AS i FROM {box}), {_axis('tw', 'w', xs)},
+{into} AS (SELECT y.item, y.i AS i, x.i AS j, a.c,
+  (a.v * (1 - x.f) + b.v * x.f) * (1 - y.f) + (c.v * (1 - x.f) + d.v * x.f) * y.f AS v
+  FROM {ys} y JOIN {xs} x ON y.item = x.item
+  JOIN {source} a ON a.item = y.item AND a.y = y.i0 AND a.x = x.i0
+  JOIN {source} b ON b.item = y.item AND b.y = y.i0 AND b.x = x.i1 AND b.c = a.c
+  JOIN {source} c ON c.item = y.item AND c.y = y.i1 AND c.x = x.i0 AND c.c = a.c
+  JOIN {source} d ON d.item = y.item AND d.y = y.i1 AND d.x = x.i1 AND d.c = a.c)"""
 
 
 BOX_SQL = f"""scaled AS (SELECT item, w, h, least({CANVAS} / CAST(w AS DOUBLE), {CANVAS} / CAST(h AS DOUBLE)) AS s FROM pic),
@@ -177,7 +178,7 @@ _REFINE = 12
 
 @query(f"""WITH {HEAT_SQL}, {PICTURE_SQL}, up_box AS (SELECT item, 8 AS w, 8 AS h, {_REFINE} AS tw, {_REFINE} AS th FROM pic),
 guide_box AS (SELECT item, w, h, {_REFINE} AS tw, {_REFINE} AS th FROM pic),
-{resized_sql('heat', 'up_box').replace('ys', 'uy').replace('xs', 'ux').replace('resized', 'up')},
+{resized_sql('heat', 'up_box', 'up')},
 {resized_sql('pixel', 'guide_box')},
 guide AS (SELECT item, i, j, max(v) FILTER (c = 0) / 255 AS r, max(v) FILTER (c = 1) / 255 AS g, max(v) FILTER (c = 2) / 255 AS b FROM resized GROUP BY item, i, j),
 both_ AS (SELECT guide.*, up.v FROM guide JOIN up ON up.item = guide.item AND up.i = guide.i AND up.j = guide.j),

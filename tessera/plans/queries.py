@@ -177,7 +177,7 @@ def negative_query_plan(spark, d):
     return cooccur.negative_query_plan(bags.select("tag"), bags, 0.13, 15, 3).withColumn("step", F.col("step").cast("long"))
 
 
-@query(f"WITH {BAG_SQL}, t AS (SELECT count(DISTINCT item) AS total FROM bag) SELECT tag, count(*) AS positives, greatest(0, total - count(*) // 1 - (total - 2 * count(*)) - 10) AS unused, greatest(CAST(0 AS BIGINT), 14000 - (total - count(*))) AS missing FROM bag, t GROUP BY tag, total".replace("greatest(0, total - count(*) // 1 - (total - 2 * count(*)) - 10) AS unused, ", ""))
+@query(f"WITH {BAG_SQL}, t AS (SELECT count(DISTINCT item) AS total FROM bag) SELECT tag, count(*) AS positives, greatest(CAST(0 AS BIGINT), 14000 - (total - count(*))) AS missing FROM bag, t GROUP BY tag, total")
 def negative_shortfall(spark, d):
     bags = st.bag(spark, d)
     total = bags.select("item").distinct().count()
@@ -278,7 +278,8 @@ def _near_hashes(spark, d):
     return own.unionByName(flip(1_000_000, "")).unionByName(flip(2_000_000, "| shiftleft(1L, cast(item % 61 as int) + 2)"))
 
 
-_NEAR = f"WITH {HASH_SQL}, near AS (SELECT item, h FROM hash UNION ALL SELECT item + 1000000, xor(h, CAST(1 AS BIGINT) << (item % 61)) FROM hash UNION ALL SELECT item + 2000000, xor(h, (CAST(1 AS BIGINT) << (item % 61)) | (CAST(1 AS BIGINT) << (item % 61 + 2))) FROM hash)"
+_NEAR_SQL = f"{HASH_SQL}, near AS (SELECT item, h FROM hash UNION ALL SELECT item + 1000000, xor(h, CAST(1 AS BIGINT) << (item % 61)) FROM hash UNION ALL SELECT item + 2000000, xor(h, (CAST(1 AS BIGINT) << (item % 61)) | (CAST(1 AS BIGINT) << (item % 61 + 2))) FROM hash)"
+_NEAR = f"WITH {_NEAR_SQL}"
 
 
 @query(f"WITH {HASH_SQL} SELECT item, h FROM hash")
@@ -300,7 +301,7 @@ def hamming_groups(spark, d):
     return out.select("a", "b", "distance", (F.col("na") * F.col("nb")).alias("pairs"))
 
 
-_LEADERS = f"""{_NEAR.replace('WITH', 'WITH RECURSIVE', 1)}, first AS (SELECT h, min(item) AS item FROM near GROUP BY h), arrival AS (SELECT row_number() OVER (ORDER BY item) AS r, item, h FROM first),
+_LEADERS = f"""WITH RECURSIVE {_NEAR_SQL}, first AS (SELECT h, min(item) AS item FROM near GROUP BY h), arrival AS (SELECT row_number() OVER (ORDER BY item) AS r, item, h FROM first),
 walk(r, heads, h, leader) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(item BIGINT, h BIGINT)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
   SELECT r, CASE WHEN found IS NULL THEN list_append(heads, {{'item': item, 'h': h}}) ELSE heads END, h, coalesce(found.item, item)
   FROM (SELECT a.r, w.heads, a.item, a.h, list_sort(list_transform(list_filter(w.heads, lambda x: bit_count(xor(x.h, a.h)) <= 2), lambda x: {{'band': CASE WHEN xor(x.h, a.h) & 2097151 = 0 THEN 0 WHEN (xor(x.h, a.h) >> 21) & 2097151 = 0 THEN 1 ELSE 2 END, 'item': x.item}}))[1] AS found FROM walk w JOIN arrival a ON a.r = w.r + 1) s),
@@ -512,7 +513,7 @@ def label_matrix(spark, d):
     return losses.label_matrix(bags, bags)
 
 
-@query("SELECT sum(avg_v * n) / sum(n) AS loss FROM (SELECT round(avg(value), 6) AS avg_v, count(*) AS n FROM events GROUP BY user_id)".replace("sum(avg_v * n) / sum(n)", "round(sum(avg_v * n) / sum(n), 4)"))
+@query("SELECT round(sum(avg_v * n) / sum(n), 4) AS loss FROM (SELECT round(avg(value), 6) AS avg_v, count(*) AS n FROM events GROUP BY user_id)")
 def validation_loss(spark, d):
     batches = read(spark, d, "events").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("loss"), F.count("*").alias("n"))
     return losses.validation_loss(batches).withColumn("loss", F.round("loss", 4))

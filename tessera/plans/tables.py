@@ -182,7 +182,7 @@ def refresh_cursor(spark, d):
 _TRIES = [("gone", [404]), ("gone for good", [410]), ("patience", [429, 429, 0]), ("told to wait", [(429, 7.5), 0]), ("line", [-1, 0]), ("server", [500]), ("never", [429] * 8)]
 
 
-@query("SELECT * FROM (VALUES ('gone', 'skipped', 1, 0.0), ('gone for good', 'skipped', 1, 0.0), ('patience', 'given', 3, 15.0), ('told to wait', 'given', 2, 7.5), ('line', 'given', 2, 5.0), ('server', 'failed', 1, 0.0), ('never', 'failed', 8, 5.0 + 10 + 20 + 40 + 80 + 120 + 120)) t(name, outcome, requests, waited)".replace("waited)", "w)").replace("SELECT *", "SELECT name, outcome, requests, CAST(w AS DOUBLE) AS waited"))
+@query("SELECT name, outcome, requests, CAST(w AS DOUBLE) AS waited FROM (VALUES ('gone', 'skipped', 1, 0), ('gone for good', 'skipped', 1, 0), ('patience', 'given', 3, 15), ('told to wait', 'given', 2, 7.5), ('line', 'given', 2, 5), ('server', 'failed', 1, 0), ('never', 'failed', 8, 5 + 10 + 20 + 40 + 80 + 120 + 120)) t(name, outcome, requests, w)")
 def retries(spark, d):
     """What becomes of a request, how often it is made, and how long is waited."""
     out = []
@@ -209,7 +209,7 @@ def retries(spark, d):
     return _rows(spark, out, "name string, outcome string, requests int, waited double")
 
 
-@query("SELECT CAST(site AS VARCHAR) AS site, k AS request, k / rate AS at FROM (VALUES ('a', 4.0), ('b', 2.0)) s(site, rate), unnest(range(12)) AS r(k)".replace("k / rate", "CAST(k AS DOUBLE) / CAST(rate AS DOUBLE)"))
+@query("SELECT site, k AS request, CAST(k AS DOUBLE) / CAST(rate AS DOUBLE) AS at FROM (VALUES ('a', 4.0), ('b', 2.0)) s(site, rate), unnest(range(12)) AS r(k)")
 def request_times(spark, d):
     """When requests of a paced source go out, if each is wanted at once."""
     out = []
@@ -385,7 +385,7 @@ def fetching_goes_on(spark, d):
     return st.listing(spark, d).select("site", "raw", "n", quota.keeps_fetching(F.col("n"), 70).alias("goes_on"))
 
 
-@query("SELECT user_id AS run, count(*) AS done, round(count(*) / 4.0, 6) AS speed, round((100000 - count(*)) / (count(*) / 4.0), 6) AS left_ FROM events GROUP BY user_id".replace("4.0", "CAST(4 AS DOUBLE)"))
+@query("SELECT run, done, round(done / CAST(4 AS DOUBLE), 6) AS speed, round((100000 - done) / (done / CAST(4 AS DOUBLE)), 6) AS left_ FROM (SELECT user_id AS run, count(*) AS done FROM events GROUP BY user_id)")
 def progress(spark, d):
     """Rows a second and the seconds that are left."""
     done = read(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("done"))

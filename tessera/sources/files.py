@@ -95,10 +95,17 @@ def second_site_posts(spark: SparkSession, path: str) -> DataFrame:
     return usable(rows.select(F.col("id").alias("post_id"), "md5", "file_url", tag_list(html_unescape("tags")).alias("tags"), rating_letter(F.col("rating")).alias("rating"), asctime(F.col("created_at"), F.current_timestamp()).alias("created_at"), "width", "height")).where("file_url != ''")
 
 
+def page_cursors(raw: DataFrame, page_size: int, id_column: str = "id", order: str | None = None) -> DataFrame:
+    """(page, n, next) of raw posts (page, id): the last id of a full page, by ``order`` or by place, counted before unusable posts are dropped; null after a short page."""
+    placed = raw.withColumn("_place", F.monotonically_increasing_id() if order is None else F.col(order))
+    pages = placed.groupBy("page").agg(F.count("*").alias("n"), F.max_by(id_column, "_place").alias("last"))
+    return pages.select("page", "n", F.when(F.col("n") == page_size, F.col("last")).alias("next"))
+
+
 def next_cursor(raw_page: DataFrame, page_size: int, id_column: str = "id") -> int | None:
-    """The last raw id of a full page, by place and counted before unusable posts are dropped; none after a short page."""
-    row = raw_page.withColumn("_place", F.monotonically_increasing_id()).agg(F.count("*").alias("n"), F.max_by(id_column, "_place").alias("last")).first()
-    return row["last"] if row["n"] == page_size else None
+    """The cursor behind one page."""
+    row = page_cursors(raw_page.withColumn("page", F.lit(0)), page_size, id_column).first()
+    return row["next"] if row else None
 
 
 def alias_pages(spark: SparkSession, path: str) -> DataFrame:
