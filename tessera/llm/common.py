@@ -8,6 +8,7 @@ these, lower-cased.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        if not named and not spark.sparkContext.master.startswith("local["):
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
         current = spark.sparkContext.getCheckpointDir()
