@@ -135,44 +135,40 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["label", "words"])
 
 
-#: Features with their counts that a task holds before it brings equal ones together.
-_HELD = 1 << 21
+#: Features with their counts that a task holds before it gives them on.
+_HELD = 1 << 18
 
 
 def _folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their (clean, toxic) counts."""
-    if not parts:
-        return np.empty(0, np.uint64), np.empty((0, 2), np.int64)
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word of a task, in how many clean and toxic texts it stands."""
-    parts, size = [], 0
+    """For each word, in how many clean and toxic texts of a task it stands; a word may come several times, with parts of its counts."""
+    now = [(np.empty(0, np.uint64), np.empty((0, 2), np.int32))]
     for batch in batches:
-        for label, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            keys = np.frombuffer(words.as_buffer(), np.uint64).copy()
-            counts = np.zeros((len(keys), 2), np.int64)
-            counts[:, label] = 1
-            parts.append((keys, counts))
-            size += len(keys)
-            if size > _HELD:
-                parts = [_folded(parts)]
-                size = len(parts[0][0])
-                if size > _HELD // 2:  # what is left is as good as a task's share: give it on
-                    yield from _given(*parts.pop())
-                    size = 0
-    yield from _given(*_folded(parts))
+        for label in (0, 1):
+            own = batch.column(1).filter(pc.equal(batch.column(0), label)).to_pylist()
+            keys, n = np.unique(np.frombuffer(b"".join(own), np.uint64), return_counts=True)
+            counts = np.zeros((len(keys), 2), np.int32)
+            counts[:, label] = n
+            now.append((keys, counts))
+        now = [_folded(now)]
+        if len(now[0][0]) > _HELD:
+            yield from _given(*now[0])
+            now = [(now[0][0][:0], now[0][1][:0])]
+    yield from _given(*now[0])
 
 
 def _given(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(keys), 100_000):
         part = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part, 0]), pa.array(counts[part, 1])], names=["word", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part, 0].astype(np.int64)), pa.array(counts[part, 1].astype(np.int64))], names=["word", "clean", "toxic"])
 
 
 def _numbers(chosen: np.ndarray):
