@@ -49,8 +49,9 @@ def hamming_pairs(hashes: DataFrame, distance: int, item: str = "item", value: s
 def hamming_groups(hashes: DataFrame, distance: int, item: str = "item", value: str = "h") -> tuple[DataFrame, DataFrame]:
     """The same without the pairs of equal hashes, of which there may be as many as the square of a group: (item, first), the first item of each
     item's hash, and (a, b, distance, band), the pairs between first items."""
-    first = equal_leaders(hashes, item, value)
-    members = hashes.select(item, value).join(first.select(value, F.col(item).alias("first")), value).select(item, "first")
+    hashes = cut(hashes.select(item, value))
+    first = cut(equal_leaders(hashes, item, value))
+    members = hashes.join(first.select(value, F.col(item).alias("first")), value).select(item, "first")
     return members, hamming_pairs(first, distance, item, value)
 
 
@@ -66,6 +67,7 @@ def leaders(hashes: DataFrame, distance: int, item: str = "item", value: str = "
     Equal hashes follow their first item. Among the rest the rule is settled in rounds: an undecided item leads once all
     its earlier neighbours are known not to, and follows once one of them leads.
     """
+    hashes = cut(hashes.select(item, value))
     first = cut(equal_leaders(hashes, item, value))
     links = cut(hamming_pairs(first, distance, item, value).select(F.col("a").alias("early"), F.col("b").alias("late"), "band"))
     state = cut(first.select(F.col(item).alias("node")).join(links.select(F.col("late").alias("node")).distinct().withColumn("waits", F.lit(True)), "node", "left").select("node", F.when(F.col("waits"), F.lit(0)).otherwise(F.lit(1)).alias("leads")))
@@ -77,7 +79,7 @@ def leaders(hashes: DataFrame, distance: int, item: str = "item", value: str = "
     of = links.join(leading, "early").groupBy(F.col("late").alias("node")).agg(F.min_by("early", F.struct("band", "early")).alias("leader"))
     named = state.join(of, "node", "left").select("node", F.when(F.col("leads") == 1, F.col("node")).otherwise(F.col("leader")).alias("leader"))
     heads = first.select(value, F.col(item).alias("node")).join(named, "node").select(value, "leader")
-    return hashes.select(item, value).join(heads, value).select(item, "leader")
+    return hashes.join(heads, value).select(item, "leader")
 
 
 def merged_tags(led: DataFrame, bags: DataFrame, item: str = "item", tag: str = "tag") -> DataFrame:
