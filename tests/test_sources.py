@@ -235,14 +235,14 @@ def test_crawl_of_two_sites(spark, tmp_path, most, negatives):
     schema = "tag string, site string, phase string, post_id long, item long, h long, tags array<string>"
     df = spark.createDataFrame(posts, schema)
     work, cursors = ingest.Ingest(spark, str(tmp_path / "w"), 0), ingest.Cursors(spark, str(tmp_path / "c"))
-    rounds = crawl(df, work, cursors, most, negatives, 5)
-    images, seen = plain_crawl(posts, most, negatives, 5)
+    rounds = crawl(df, work, cursors, most, negatives, 9)
+    images, seen = plain_crawl(posts, most, negatives, 9)
     got = {}
     for r in work.tags().collect():
         got.setdefault(r["item"], set()).add(r["tag"])
     assert got == images
     assert {(r["tag"], r["site"], r["phase"]): r["seen"] for r in cursors.state().collect()} == {k: n for k, n in seen.items() if n}
-    assert crawl(df, work, cursors, most, negatives, 5) == rounds  # nothing is left to do
+    assert crawl(df, work, cursors, most, negatives, 9) == rounds  # nothing is left to do
 
 
 def test_refresh_walk(spark):
