@@ -232,8 +232,8 @@ def test_counts_and_perplexity_against_plain_python():
 
 
 def test_every_language_has_a_model(spark, monkeypatch):
-    """Ten languages, two at a time, one of them of a script with hundreds of characters; one without enough trusted texts."""
-    monkeypatch.setattr(quality_lm, "LANGUAGES_AT_ONCE", 2)
+    """Ten languages, six at a time, one of them of a script with hundreds of characters; one without enough trusted texts."""
+    monkeypatch.setattr(quality_lm, "LANGUAGES_AT_ONCE", 6)
     rng = random.Random(24)
     script = [chr(0x4E00 + rng.randrange(20_000)) for _ in range(300)]
     pairs = ["".join(rng.choices(script, k=2)) for _ in range(60)]
