@@ -1,7 +1,7 @@
 """Queries of the image kernels, over pictures whose pixels follow from the items' numbers, and their SQL.
 
-Rounded results are scaled by a factor without a short form first, so that no
-value lies on the border between two. A picture's red, green and blue are whole numbers made of item, row and column, so SQL draws the same picture. Where a
+Rounded results are scaled by a factor without a short form first, so that hardly
+a value lies on the border between two (a grey of exactly 100 does). A picture's red, green and blue are whole numbers made of item, row and column, so SQL draws the same picture. Where a
 kernel works on doubles, its SQL does the same operations in the same order.
 """
 
@@ -132,6 +132,13 @@ def channel_order(spark, d):
     return _each(images.encode_images(pictures(spark, d), CANVAS).drop("x", "y"), made, "planes array<int>, pixels array<int>")
 
 
+def _rounded(values: np.ndarray, places: int) -> np.ndarray:
+    """Rounded as SQL does: what lies on a border goes away from zero, not to the even neighbour."""
+    scaled = values * 10.0**places
+    whole = np.trunc(scaled)
+    return (whole + np.where(np.abs(scaled - whole) >= 0.5, np.sign(scaled), 0)) / 10.0**places
+
+
 def _grey_sql(size: int) -> str:
     return f"""{PICTURE_SQL}, box AS (SELECT item, w, h, {size} AS tw, {size} AS th FROM pic), {resized_sql('pixel', 'box')},
 grey AS (SELECT item, i, j, sum(v * CASE c WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END) AS v FROM resized GROUP BY item, i, j)"""
@@ -145,13 +152,13 @@ low AS (SELECT item, t, u, sum(v * {cosine.format(x='i', u='t')}) AS v FROM acro
 
 @query(f"WITH {_grey_sql(CANVAS)} SELECT item, list(round(v * 0.7310585, 4) ORDER BY i, j) AS plane FROM grey GROUP BY item")
 def grey_plane(spark, d):
-    return _each(pictures(spark, d), lambda r: (np.round(images.grey(_array(r), CANVAS) * 0.7310585, 4).reshape(-1).tolist(),), "plane array<double>")
+    return _each(pictures(spark, d), lambda r: (_rounded(images.grey(_array(r), CANVAS) * 0.7310585, 4).reshape(-1).tolist(),), "plane array<double>")
 
 
 @query(f"WITH {_grey_sql(CANVAS)}, {_dct_sql(CANVAS, CANVAS)} SELECT item, list(round(v * 0.7310585, 3) + 0.0 ORDER BY t, u) AS coefficients FROM low GROUP BY item")
 def dct_plane(spark, d):
     c = images.dct(CANVAS)
-    return _each(pictures(spark, d), lambda r: ((np.round(c @ images.grey(_array(r), CANVAS) @ c.T * 0.7310585, 3) + 0.0).reshape(-1).tolist(),), "coefficients array<double>")
+    return _each(pictures(spark, d), lambda r: ((_rounded(c @ images.grey(_array(r), CANVAS) @ c.T * 0.7310585, 3) + 0.0).reshape(-1).tolist(),), "coefficients array<double>")
 
 
 @query(f"""WITH {_grey_sql(32)}, {_dct_sql(32, 8)}, middle AS (SELECT item, median(v) AS m FROM low GROUP BY item)

@@ -39,6 +39,15 @@ def test_query_matches_sql(spark, con, sf, name):
     assert rows(plans.QUERIES[name](spark, sf).toPandas()) == rows(con.execute(plans.ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["grey_plane", "dct_plane"])
+def test_rounding_on_a_border(spark, tmp_path, name):
+    """Item 2782 has a grey of exactly 100, times 0.7310585 the middle between two roundings to four places."""
+    pd.DataFrame({"vec_id": [2782]}).to_parquet(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(plans.ORACLE_SQL[name]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, sf, name):
     assert plans.QUERIES[name](spark, sf).count() >= 0
