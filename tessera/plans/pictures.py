@@ -157,8 +157,7 @@ def grey_plane(spark, d):
 
 @query(f"WITH {_grey_sql(CANVAS)}, {_dct_sql(CANVAS, CANVAS)} SELECT item, list(round(v * 0.7310585, 3) + 0.0 ORDER BY t, u) AS coefficients FROM low GROUP BY item")
 def dct_plane(spark, d):
-    c = images.dct(CANVAS)
-    return _each(pictures(spark, d), lambda r: ((_rounded(c @ images.grey(_array(r), CANVAS) @ c.T * 0.7310585, 3) + 0.0).reshape(-1).tolist(),), "coefficients array<double>")
+    return _each(pictures(spark, d), lambda r: ((_rounded(images.transform(images.grey(_array(r), CANVAS), CANVAS) * 0.7310585, 3) + 0.0).reshape(-1).tolist(),), "coefficients array<double>")
 
 
 @query(f"""WITH {_grey_sql(32)}, {_dct_sql(32, 8)}, middle AS (SELECT item, median(v) AS m FROM low GROUP BY item)
