@@ -2,21 +2,19 @@
 the characters of trusted texts, and per-document perplexity held against
 language-specific quantiles.
 
-The model's units are ``SYMBOLS`` symbols a language: its most frequent
-characters, a text's border, and an escape for any other character. Such a one
-is spelled beside the text as three or four digits, grams of their own that
-count and score like the others, so that in a script of thousands of characters
-each is still told from all others. Whole texts of all trusted documents are
-counted (all but a fifth, which set the thresholds). Counts are summed by Spark,
-sharded by their history; continuation counts, discounts and interpolation
-weights are joins and aggregations of those shards.
-
-There are at most ``SYMBOLS ** ORDER`` n-grams a language, whatever the corpus,
-so the finished log probabilities (16 bits each, 10.6 MB a language) are small
-enough by construction to be sent to the tasks, for ``LANGUAGES_AT_ONCE``
-languages at a time; every language with ``LEAST_TRUSTED`` trusted texts has a
-model and a threshold of its own. Scoring joins the tables to the documents
-there, so that no text and no n-gram of a document is shuffled.
+The model's units are characters, all of them: a gram is ``ORDER`` code points, a
+text's border among them. Whole texts of all trusted documents are counted (all
+but a fifth, which set the thresholds). Counts are summed by Spark, sharded by
+their history; continuation counts, discounts and interpolation weights are
+joins and aggregations of those shards.
+
+Of grams that hold a language's ``DIGITS`` most frequent characters only there are
+at most ``SYMBOLS ** ORDER``, whatever the corpus, so their finished log
+probabilities (16 bits each, 10.6 MB a language) are small enough by construction
+to be sent to the tasks, for ``LANGUAGES_AT_ONCE`` languages at a time, and no
+such gram of a document is shuffled. Every other gram of a document is a row, and
+the shares and weights of its orders are joined to it. Every language with
+``LEAST_TRUSTED`` trusted texts has a model and a threshold of its own.
 
 Defined results: null and empty texts have no perplexity and are not kept. A
 null language is ``other``. Of a language with fewer trusted texts nothing is
@@ -42,6 +40,9 @@ BORDER, ESCAPE = 0, 1
 #: Digits of a spelled character, and how many characters three of them tell apart; others take four behind a mark.
 DIGITS = SYMBOLS - 2
 SHORT = DIGITS**3
+#: Code points to the base of which wide grams are numbers, the border's, how many there are (each as likely where nothing is known), and parts of a logarithm's unit, in which logarithms are summed as whole numbers.
+WIDE, EDGE, SIZE = 1 << 21, 0x110000, 0x110000 + 1
+LOG_UNIT = 1 << 20
 LANGUAGES_AT_ONCE = 8
 LEAST_TRUSTED = 5
 QUANTILE = 0.95
@@ -161,16 +162,85 @@ def _counter(tables):
     return counted
 
 
-def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def _wide(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, with borders as ``_symbols`` has them, their symbols, and where each text begins; the places where a gram of the table ends, and those where one with an escaped character does."""
+    points, at = _code_points(texts)
+    starts = at + ORDER * np.arange(len(at))
+    wide = np.full(starts[-1], EDGE, np.int64)
+    wide[np.arange(len(points)) + np.repeat(starts[:-1] - at[:-1] + ORDER - 1, np.diff(at))] = points
+    symbols = table[np.minimum(wide, len(table) - 1)]
+    symbols[wide == EDGE] = BORDER
+    inside = np.ones(len(wide), bool)
+    for k in range(ORDER - 1):
+        inside[starts[:-1] + k] = False
+    escaped = symbols == ESCAPE
+    rare = escaped.copy()
+    for k in range(1, ORDER):
+        rare[k:] |= escaped[:-k]
+    return wide, symbols, starts, inside & ~rare, np.flatnonzero(inside & rare)
+
+
+def _tally(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows of some columns, in order, and how often each is there."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], np.diff(np.append(first, len(order)))
+
+
+def _packed(wide: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """History and last character of the grams that end at some places."""
+    return (wide[ends - 3] << 42) | (wide[ends - 2] << 21) | wide[ends - 1], wide[ends]
+
+
+def _wide_counter(tables):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lang, history, symbol, count) of trusted (lang, text), by code points; grams of frequent characters are summed in an array first."""
+        own = tables.value
+        sums: dict[str, np.ndarray] = {}
+        batch_of = lambda lang, history, symbol, n: pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(history, pa.int64()), pa.array(symbol, pa.int64()), pa.array(n, pa.int64())], names=["lang", "history", "symbol", "n"])
+        for whole in batches:
+            for batch in steps(whole):
+                for lang, rows in _rows_by(batch.column(0)).items():
+                    wide, symbols, _, dense, ends = _wide(batch.column(1).take(pa.array(rows)), own[lang])
+                    total = sums.setdefault(lang, np.zeros(SYMBOLS**ORDER, np.int32))
+                    for first, number in _windows(symbols):
+                        total += np.bincount(number[dense[first : first + len(number)]], minlength=len(total)).astype(np.int32)
+                    for at in range(0, len(ends), 100_000):
+                        keys, n = _tally(*_packed(wide, ends[at : at + 100_000]))
+                        yield batch_of(lang, *keys, n)
+        for lang, total in sums.items():
+            points = _points(own[lang])
+            number = np.flatnonzero(total)
+            for at in range(0, len(number), 100_000):
+                part = number[at : at + 100_000]
+                grams = np.stack([points[part // SYMBOLS**k % SYMBOLS] for k in range(ORDER - 1, -1, -1)], axis=1).reshape(-1)
+                yield batch_of(lang, *_packed(grams, np.arange(ORDER - 1, len(grams), ORDER)), total[part])
+
+    return counted
+
+
+def _points(table: np.ndarray) -> np.ndarray:
+    """The code point of each symbol; the border's is ``EDGE``, the escape has none."""
+    out = np.full(SYMBOLS, EDGE, np.int64)
+    known = np.flatnonzero(table > ESCAPE)
+    out[table[known]] = known
+    return out
+
+
+def kneser_ney(counts: DataFrame, base_: int | None = None) -> list[tuple[DataFrame, DataFrame]]:
     """For orders 1 up to ``ORDER``: (lang, at, value) of discounted shares by gram, and of the weight of the lower order by history.
 
-    ``counts`` has (lang, gram, n) of the highest order; a gram's number is its symbols to the base ``SYMBOLS``. Every
+    ``counts`` has (lang, gram, n) of the highest order; a gram's number is its symbols to the base ``SYMBOLS``, or ``base_``. Every
     aggregation and join is sharded by (lang, history); a level's counts are written before the next is made of them.
     """
     out = []
-    now = counts
+    now, wide = counts, base_ or SYMBOLS
     for order in range(ORDER, 0, -1):
-        base = now.withColumn("history", F.expr(f"gram div {SYMBOLS}"))
+        base = now.withColumn("history", F.expr(f"gram div {wide}"))
         tally = base.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"t{k}") for k in (1, 2, 3, 4)])
         y = F.when(F.col("t1") + 2 * F.col("t2") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(F.lit(0.5))
         cut_of = lambda k: F.when(F.col(f"t{k}") > 0, F.least(F.greatest(k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}"), F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(0.5 * k))
@@ -182,7 +252,7 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         shares = joined.select("lang", F.col("gram").alias("at"), ((F.col("n") - F.col("cut")) / F.col("total")).alias("value"))
         out.append((shares, totals.select("lang", F.col("history").alias("at"), (F.col("mass") / F.col("total")).alias("value"))))
         if order > 1:  # how many different symbols stand before what is left when the first one goes
-            now = cut(now.select("lang", F.expr(f"gram % {SYMBOLS ** (order - 1)}").alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
+            now = cut(now.select("lang", F.expr(f"gram % {wide ** (order - 1)}{'BD' if base_ else ''}").alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
     return out[::-1]
 
 
@@ -191,25 +261,29 @@ def log_tables(counts: DataFrame, langs: list[str]) -> dict[str, np.ndarray]:
 
     A table is built for one language after the other; the rows that are collected are as many as there can be n-grams at most.
     """
-    levels = [[_collected(x, langs) for x in level] for level in kneser_ney(counts)]
+    return _filled([[_collected(x, langs) for x in level] for level in kneser_ney(counts)], langs, SYMBOLS, 1e-7)
+
+
+def _filled(levels: list, langs: list[str], size: int, least: float) -> dict[str, np.ndarray]:
+    """Tables of ``log_tables`` from collected levels; below order 1 each of ``size`` symbols is as likely."""
     out = {}
     for k, lang in enumerate(langs):
         if not (levels[-1][0][0] == k).any():
             continue
-        lower = np.full(1, 1 / SYMBOLS, np.float32)
+        lower = np.full(1, 1 / size, np.float32)
         for order, (shares, gammas) in enumerate(levels, 1):
             rest = SYMBOLS ** max(0, order - 2)
             gamma = np.ones(SYMBOLS ** (order - 1), np.float32)  # an unseen history says nothing
             own = gammas[0] == k
             gamma[gammas[1][own]] = gammas[2][own]
             if order == 1:
-                table = np.full(SYMBOLS, gamma[0] / SYMBOLS, np.float32)
+                table = np.full(SYMBOLS, gamma[0] / size, np.float32)
             else:
                 table = (gamma.reshape(SYMBOLS, rest, 1) * lower.reshape(1, rest, SYMBOLS)).reshape(-1)
             own = shares[0] == k
             table[shares[1][own]] += shares[2][own]
             lower = table
-        out[lang] = np.log(np.maximum(lower, 1e-7)).astype(np.float16)
+        out[lang] = np.log(np.maximum(lower, least)).astype(np.float16)
     return out
 
 
@@ -220,6 +294,63 @@ def _collected(df: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray,
     return tuple(table.column(i).to_numpy() for i in range(3))
 
 
+def _frequent(levels: list[tuple[DataFrame, DataFrame]], langs: list[str], tables: dict[str, np.ndarray]) -> list[list[tuple[np.ndarray, ...]]]:
+    """What ``_collected`` gives, of those rows of wide levels that have frequent characters only: at most as many as there are such grams."""
+    spark = levels[0][0].sparkSession
+    rows = [(lang, int(p), k) for lang in langs for k, p in enumerate(_points(tables[lang])) if k == BORDER or p != EDGE]
+    symbol = F.broadcast(spark.createDataFrame(rows, "lang string, point long, k int"))
+
+    def narrow(df: DataFrame, order: int):
+        now = df.select("lang", F.col("at").cast("decimal(26,0)").alias("at"), "value", F.lit(0).alias("number"))
+        for k in range(order - 1, -1, -1):
+            point = F.expr(f"at % {WIDE ** (k + 1)}BD div {WIDE ** k}BD")  # the rest first: a quotient has 63 bits
+            now = now.withColumn("point", point).join(symbol, ["lang", "point"]).select("lang", "at", "value", (F.col("number") * SYMBOLS + F.col("k")).alias("number"))
+        return _collected(now.select("lang", F.col("number").alias("at"), "value"), langs)
+
+    return [[narrow(shares, order), narrow(gammas, order - 1)] for order, (shares, gammas) in enumerate(levels, 1)]
+
+
+def _asked(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(lang, gram, log) of different (lang, gram): each order's share and weight joined to it, ``LOG_UNIT``s to one."""
+    now, p = grams, F.lit(1 / SIZE)
+    for order, (shares, gammas) in enumerate(levels, 1):
+        own = F.expr(f"cast(gram % {WIDE ** order}BD as decimal(26,0))")
+        now = now.withColumn("own", own).withColumn("before", F.expr(f"own div {WIDE}"))
+        now = now.join(shares.select("lang", F.col("at").cast("decimal(26,0)").alias("own"), F.col("value").alias("share")), ["lang", "own"], "left")
+        now = now.join(gammas.select("lang", F.col("at").alias("before"), F.col("value").alias("weight")), ["lang", "before"], "left")
+        p = F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * (p if order == 1 else F.col("p"))
+        now = now.select("lang", "gram", p.alias("p"))
+    return now.select("lang", "gram", F.round(F.log("p") * LOG_UNIT).cast("long").alias("log"))
+
+
+def _wide_scorer(tables, logs):
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each document the log of its grams of frequent characters, and its other grams, to be joined."""
+        own, known = tables.value, logs.value
+        for whole in batches:
+            for batch in steps(whole):
+                total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+                found = [(np.zeros(0, np.int64),) * 3]
+                for lang, rows in _rows_by(batch.column(1)).items():
+                    wide, symbols, starts, dense, ends = _wide(batch.column(2).take(pa.array(rows)), own[lang])
+                    log = known.get(lang)
+                    count[rows] = np.diff(starts) - ORDER
+                    if log is None:
+                        total[rows] = np.nan
+                        continue
+                    for first, number in _windows(symbols):
+                        place = np.flatnonzero(dense[first : first + len(number)])
+                        owner = np.searchsorted(starts, place + first, "right") - 1
+                        total[rows] += np.bincount(owner, weights=log[number[place]].astype(np.float64), minlength=len(rows))
+                    found.append((rows[np.searchsorted(starts, ends, "right") - 1], *_packed(wide, ends)))
+                (owner, history, symbol), n = _tally(*[np.concatenate(x) for x in zip(*found)])
+                at = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int64))) for x in (history, symbol, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), pa.array(count), batch.column(3), *lists], names=["doc_id", "lang", "total", "n_chars", "trusted", "history", "symbol", "n"])
+
+    return scored
+
+
 def _scorer(tables, logs):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = tables.value, logs.value
@@ -248,7 +379,7 @@ def _scorer(tables, logs):
     return scored
 
 
-def _scored(marked: DataFrame, langs: list[str]) -> DataFrame:
+def _scored(marked: DataFrame, langs: list[str], spelled: bool) -> DataFrame:
     """Each document's perplexity under its language's model: all of ``marked`` are of ``langs``."""
     spark = marked.sparkSession
     characters = marked.select("lang", "text").mapInArrow(_characters, "lang string, point int, n long").groupBy("lang", "point").agg(F.sum("n").alias("n"))
@@ -256,14 +387,29 @@ def _scored(marked: DataFrame, langs: list[str]) -> DataFrame:
     alphabet: dict[str, list[int]] = {x: [] for x in langs}
     for r in characters.withColumn("k", rank).where(F.col("k") <= DIGITS).orderBy("lang", "k").collect():  # SYMBOLS rows a language at most
         alphabet[r["lang"]].append(r["point"])
-    tables = spark.sparkContext.broadcast(_symbol_tables(alphabet))
-    counts = marked.where("trusted = 1").select("lang", "text").mapInArrow(_counter(tables), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    logs = spark.sparkContext.broadcast(log_tables(cut(counts), langs))
-    return cut(marked.select("doc_id", "lang", "text", "trusted").mapInArrow(_scorer(tables, logs), "doc_id long, lang string, perplexity double, n_chars long, trusted int"))
-
-
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE) -> DataFrame:
-    """Each document's perplexity per character, its language's threshold (the ``quantile`` of held-out trusted documents), and whether it is kept."""
+    own = _symbol_tables(alphabet)
+    tables = spark.sparkContext.broadcast(own)
+    if spelled:
+        counts = marked.where("trusted = 1").select("lang", "text").mapInArrow(_counter(tables), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        logs = spark.sparkContext.broadcast(log_tables(cut(counts), langs))
+        return cut(marked.select("doc_id", "lang", "text", "trusted").mapInArrow(_scorer(tables, logs), "doc_id long, lang string, perplexity double, n_chars long, trusted int"))
+    gram = (F.col("history").cast("decimal(19,0)") * F.lit(WIDE).cast("decimal(7,0)") + F.col("symbol").cast("decimal(7,0)")).cast("decimal(26,0)").alias("gram")
+    counts = marked.where("trusted = 1").select("lang", "text").mapInArrow(_wide_counter(tables), "lang string, history long, symbol long, n long").groupBy("lang", "history", "symbol").agg(F.sum("n").alias("n"))
+    levels = [[cut(x) for x in level] for level in kneser_ney(cut(counts.select("lang", gram, "n")), WIDE)]
+    logs = spark.sparkContext.broadcast(_filled(_frequent(levels, langs, own), langs, SIZE, 1e-30))
+    rows = cut(marked.select("doc_id", "lang", "text", "trusted").mapInArrow(_wide_scorer(tables, logs), "doc_id long, lang string, total double, n_chars long, trusted int, history array<long>, symbol array<long>, n array<long>")).withColumn("row", F.monotonically_increasing_id())
+    rare = rows.select("row", "lang", F.explode(F.arrays_zip("history", "symbol", "n")).alias("g")).select("row", "lang", "g.*").select("row", "lang", gram, "n")
+    sums = rare.join(_asked(rare.select("lang", "gram").distinct(), levels), ["lang", "gram"]).groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("log"))
+    total = F.col("total") + F.coalesce(F.col("log") / LOG_UNIT, F.lit(0.0))
+    perplexity = F.when((F.col("n_chars") > 0) & ~F.isnan("total"), F.exp(-total / (F.col("n_chars") + 1)))
+    return cut(rows.drop("history", "symbol", "n").join(sums, "row", "left").select("doc_id", "lang", perplexity.alias("perplexity"), "n_chars", "trusted"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE, spelled: bool = False) -> DataFrame:
+    """Each document's perplexity per character, its language's threshold (the ``quantile`` of held-out trusted documents), and whether it is kept.
+
+    ``spelled``: a smaller model without joins, which knows of a rare character only its spelling, not what stands before and behind it.
+    """
     trusted = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("q")).where("q >= 0.5").select("doc_id", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT_OF)) == 0, 2).otherwise(1).alias("trusted"))
     few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("other")).alias("lang"), F.col(text).cast("string").alias("text"))
@@ -272,7 +418,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     parts = []
     for at in range(0, len(known), LANGUAGES_AT_ONCE):
         now = known[at : at + LANGUAGES_AT_ONCE]
-        parts.append(_scored(marked.where(F.col("lang").isin(now)), now))
+        parts.append(_scored(marked.where(F.col("lang").isin(now)), now, spelled))
     rest = marked.where(~F.col("lang").isin(known)) if known else marked
     length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     scored = rest.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), length.alias("n_chars"), "trusted")

@@ -231,6 +231,49 @@ def test_counts_and_perplexity_against_plain_python():
         assert r["perplexity"] == (pytest.approx(np.exp(-sum(float(log[g]) for g in p) / (len(t) + 1))) if t else None)
 
 
+def test_rare_characters_are_histories_too(spark):
+    """Perplexity over a script of 120 characters, against a model of all characters in plain Python."""
+    rng = random.Random(25)
+    script = [chr(0x4E00 + 7 * k) for k in range(118)] + ["a", "\U0001f600"]
+    follow = {c: rng.choices(script, k=3) for c in script}
+    texts = []
+    for k in range(40):
+        text = [rng.choice(script)]
+        while len(text) < 60:
+            text.append(rng.choice(follow[text[-1]]))
+        texts.append("".join(text if k % 4 else rng.sample(text, 60)))
+    texts += [texts[1], "\u00e9" + texts[2], "", "a"]
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.classify(documents(spark, texts), labels).collect()}
+    held = {r["doc_id"] for r in labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality_lm.HELD_OUT_OF)) == 0).collect()}
+    langs = {r["doc_id"]: r["lang"] for r in documents(spark, texts).select("doc_id", "lang").collect()}
+    assert len(set(langs.values())) == 1
+    grams_in = lambda t: [("^^^" + t + "^")[k : k + 4] for k in range(len(t) + 1)]
+    levels = {4: collections.Counter(g for i in range(20) if i not in held for g in grams_in(texts[i]))}
+    for o in (3, 2, 1):
+        levels[o] = collections.Counter(g[1:] for g in levels[o + 1])
+    cuts = {}
+    for o, c in levels.items():
+        t = [sum(v == k for v in c.values()) for k in range(1, 5)]
+        y = t[0] / (t[0] + 2 * t[1]) if t[0] + 2 * t[1] else 0.5
+        cuts[o] = [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) if t[k - 1] else 0.5 * k for k in (1, 2, 3)]
+
+    def prob(g):
+        if not g:
+            return 1 / (0x110000 + 1)
+        d, c = cuts[len(g)], levels[len(g)]
+        own = [v for x, v in c.items() if x[:-1] == g[:-1]]
+        if not own:
+            return prob(g[1:])
+        share = c[g] - d[min(c[g], 3) - 1] if g in c else 0
+        return (share + sum(d[min(v, 3) - 1] for v in own) * prob(g[1:])) / sum(own)
+
+    for i, t in enumerate(texts):
+        want = np.exp(-sum(np.log(prob(g)) for g in grams_in(t)) / (len(t) + 1)) if t else None
+        assert got[i] == (pytest.approx(want, rel=0.005) if t else None)
+    assert got[1] == got[40]
+
+
 def test_every_language_has_a_model(spark, monkeypatch):
     """Ten languages, six at a time, one of them of a script with hundreds of characters; one without enough trusted texts."""
     monkeypatch.setattr(quality_lm, "LANGUAGES_AT_ONCE", 6)
