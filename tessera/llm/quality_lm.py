@@ -6,14 +6,16 @@ The model's units are characters, all of them: a gram is ``ORDER`` code points,
 text's border among them. Whole texts of all trusted documents are counted (all
 but a fifth, which set the thresholds). Counts are summed by Spark, sharded by
 their history; continuation counts, discounts and interpolation weights are
-joins and aggregations of those shards.
+aggregations of those shards.
 
 Of grams that hold a language's ``DIGITS`` most frequent characters only there are
 at most ``SYMBOLS ** ORDER``, whatever the corpus, so their finished log
 probabilities (16 bits each, 10.6 MB a language) are small enough by construction
 to be sent to the tasks, for ``LANGUAGES_AT_ONCE`` languages at a time, and no
-such gram of a document is shuffled. Every other gram of a document is a row, and
-the shares and weights of its orders are joined to it. Every language with
+such gram of a document is shuffled. Every other gram of a document is a row, to
+which its logarithm is joined: such grams are among the counted ones from the
+start, those that no counted text has with a count of 0, so one chain of joins
+from order to order gives them all. Every language with
 ``LEAST_TRUSTED`` trusted texts has a model and a threshold of its own.
 
 Defined results: null and empty texts have no perplexity and are not kept. A
@@ -26,11 +28,13 @@ Repeated rows repeat their result. Clashing columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.common import cut, steps, utf8
 
@@ -53,6 +57,8 @@ ENOUGH = 20
 #: Ids of trusted documents that are sent to the tasks; beyond, documents and ids are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 WINDOW_CHARS = 1 << 20
+#: Rare grams that a task sums up before they are rows.
+TALLIED = 1 << 18
 
 
 def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +72,7 @@ def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _rows_by(values: pa.Array) -> dict[str, np.ndarray]:
     found: dict[str, list[int]] = {}
     for i, v in enumerate(values.to_pylist()):
+        v = tuple(v.values()) if isinstance(v, dict) else v
         found.setdefault(v, []).append(i)
     return {k: np.array(v) for k, v in found.items()}
 
@@ -191,27 +198,53 @@ def _tally(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [k[first] for k in keys], np.diff(np.append(first, len(order)))
 
 
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Some (history, symbol, count) as one, in which each gram is once."""
+    history, symbol, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((symbol, history))
+    history, symbol, n = history[order], symbol[order], n[order]
+    first = np.flatnonzero(np.append(True, (history[1:] != history[:-1]) | (symbol[1:] != symbol[:-1]))[: len(n)])
+    return history[first], symbol[first], np.add.reduceat(n, first) if len(n) else n
+
+
 def _packed(wide: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """History and last character of the grams that end at some places."""
     return (wide[ends - 3] << 42) | (wide[ends - 2] << 21) | wide[ends - 1], wide[ends]
 
 
-def _wide_counter(tables):
+def _gram_counter(tables):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lang, history, symbol, count) of trusted (lang, text), by code points; grams of frequent characters are summed in an array first."""
+        """(lang, history, symbol, code, count) of (lang, text, 1 if counted): all grams of counted texts, and of others those with an escaped
+        character, 0 times, as their probability will be asked for. The code is the gram's symbols to the base ``SYMBOLS``."""
         own = tables.value
         sums: dict[str, np.ndarray] = {}
-        batch_of = lambda lang, history, symbol, n: pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(history, pa.int64()), pa.array(symbol, pa.int64()), pa.array(n, pa.int64())], names=["lang", "history", "symbol", "n"])
+        rare: dict[str, list[tuple[np.ndarray, ...]]] = {}
+
+        def batch_of(lang: str, history: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            code = np.zeros(len(n), np.int64)
+            for part in (history >> 42, history >> 21 & WIDE - 1, history & WIDE - 1, symbol):
+                code = code * SYMBOLS + np.where(part == EDGE, BORDER, own[lang][np.minimum(part, len(own[lang]) - 1)])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(history, pa.int64()), pa.array(symbol, pa.int32()), pa.array(code, pa.int32()), pa.array(n, pa.int64())], names=["lang", "history", "symbol", "code", "n"])
+
         for whole in batches:
             for batch in steps(whole):
-                for lang, rows in _rows_by(batch.column(0)).items():
+                for (lang, once), rows in _rows_by(pc.make_struct(batch.column(0), batch.column(2), field_names=["lang", "once"])).items():
                     wide, symbols, _, dense, ends = _wide(batch.column(1).take(pa.array(rows)), own[lang])
-                    total = sums.setdefault(lang, np.zeros(SYMBOLS**ORDER, np.int32))
-                    for first, number in _windows(symbols):
-                        total += np.bincount(number[dense[first : first + len(number)]], minlength=len(total)).astype(np.int32)
+                    if once:
+                        total = sums.setdefault(lang, np.zeros(SYMBOLS**ORDER, np.int32))
+                        for first, number in _windows(symbols):
+                            total += np.bincount(number[dense[first : first + len(number)]], minlength=len(total)).astype(np.int32)
+                    parts = rare.setdefault(lang, [])
                     for at in range(0, len(ends), 100_000):
                         keys, n = _tally(*_packed(wide, ends[at : at + 100_000]))
-                        yield batch_of(lang, *keys, n)
+                        parts.append((*keys, n * once))
+                    if sum(len(x[2]) for x in parts) > TALLIED:
+                        parts[:] = [_summed(parts)]
+                        if len(parts[0][2]) > TALLIED // 2:
+                            yield batch_of(lang, *parts.pop())
+        for lang, parts in rare.items():
+            if parts:
+                yield batch_of(lang, *_summed(parts))
         for lang, total in sums.items():
             points = _points(own[lang])
             number = np.flatnonzero(total)
@@ -231,16 +264,16 @@ def _points(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def kneser_ney(counts: DataFrame, base_: int | None = None) -> list[tuple[DataFrame, DataFrame]]:
+def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """For orders 1 up to ``ORDER``: (lang, at, value) of discounted shares by gram, and of the weight of the lower order by history.
 
-    ``counts`` has (lang, gram, n) of the highest order; a gram's number is its symbols to the base ``SYMBOLS``, or ``base_``. Every
+    ``counts`` has (lang, gram, n) of the highest order; a gram's number is its symbols to the base ``SYMBOLS``. Every
     aggregation and join is sharded by (lang, history); a level's counts are written before the next is made of them.
     """
     out = []
-    now, wide = counts, base_ or SYMBOLS
+    now = counts
     for order in range(ORDER, 0, -1):
-        base = now.withColumn("history", F.expr(f"gram div {wide}"))
+        base = now.withColumn("history", F.expr(f"gram div {SYMBOLS}"))
         tally = base.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"t{k}") for k in (1, 2, 3, 4)])
         y = F.when(F.col("t1") + 2 * F.col("t2") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(F.lit(0.5))
         cut_of = lambda k: F.when(F.col(f"t{k}") > 0, F.least(F.greatest(k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}"), F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(0.5 * k))
@@ -252,7 +285,7 @@ def kneser_ney(counts: DataFrame, base_: int | None = None) -> list[tuple[DataFr
         shares = joined.select("lang", F.col("gram").alias("at"), ((F.col("n") - F.col("cut")) / F.col("total")).alias("value"))
         out.append((shares, totals.select("lang", F.col("history").alias("at"), (F.col("mass") / F.col("total")).alias("value"))))
         if order > 1:  # how many different symbols stand before what is left when the first one goes
-            now = cut(now.select("lang", F.expr(f"gram % {wide ** (order - 1)}{'BD' if base_ else ''}").alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
+            now = cut(now.select("lang", F.expr(f"gram % {SYMBOLS ** (order - 1)}").alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
     return out[::-1]
 
 
@@ -294,33 +327,93 @@ def _collected(df: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray,
     return tuple(table.column(i).to_numpy() for i in range(3))
 
 
-def _frequent(levels: list[tuple[DataFrame, DataFrame]], langs: list[str], tables: dict[str, np.ndarray]) -> list[list[tuple[np.ndarray, ...]]]:
-    """What ``_collected`` gives, of those rows of wide levels that have frequent characters only: at most as many as there are such grams."""
-    spark = levels[0][0].sparkSession
-    rows = [(lang, int(p), k) for lang in langs for k, p in enumerate(_points(tables[lang])) if k == BORDER or p != EDGE]
-    symbol = F.broadcast(spark.createDataFrame(rows, "lang string, point long, k int"))
+def _levels(grams: DataFrame) -> list[DataFrame]:
+    """For orders 1 up to ``ORDER``: (lang, history, symbol, code, n) of each gram that was counted (n > 0) or is asked for (0), written once.
 
-    def narrow(df: DataFrame, order: int):
-        now = df.select("lang", F.col("at").cast("decimal(26,0)").alias("at"), "value", F.lit(0).alias("number"))
-        for k in range(order - 1, -1, -1):
-            point = F.expr(f"at % {WIDE ** (k + 1)}BD div {WIDE ** k}BD")  # the rest first: a quotient has 63 bits
-            now = now.withColumn("point", point).join(symbol, ["lang", "point"]).select("lang", "at", "value", (F.col("number") * SYMBOLS + F.col("k")).alias("number"))
-        return _collected(now.select("lang", F.col("number").alias("at"), "value"), langs)
+    Beyond order 1 each has its history's counts: their sum, how many are 1, 2 and more, and whether the row is the history's first. An
+    order takes one exchange to sum up and one by history; discounts are worked out when all is written and need neither.
+    """
+    out: list[DataFrame] = []
+    now = grams.repartition("lang", "history").groupBy("lang", "history", "symbol", "code").agg(F.sum("n").alias("n"))
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:  # how many different symbols stand before what is left when the first one goes
+            keys = ["lang", _rest(order + 1).alias("history"), "symbol", (F.col("code") % SYMBOLS**order).alias("code")]
+            now = out[-1].select(*keys, F.when(F.col("n") > 0, 1).otherwise(0).alias("n")).groupBy("lang", "history", "symbol", "code").agg(F.sum("n").alias("n"))
+        if order > 1:
+            own = Window.partitionBy("lang", "history")
+            many = lambda which: F.sum(F.when(which, 1).otherwise(0)).over(own)
+            now = now.select("*", F.sum("n").over(own).alias("total"), many(F.col("n") == 1).alias("ones"), many(F.col("n") == 2).alias("twos"), many(F.col("n") > 2).alias("more"), (F.col("symbol") == F.min("symbol").over(own)).alias("lead"))
+        out.append(cut(now))
+    return out[::-1]
 
-    return [[narrow(shares, order), narrow(gammas, order - 1)] for order, (shares, gammas) in enumerate(levels, 1)]
+
+def _rest(order: int) -> Column:
+    """The history of a gram of that order, without its first character."""
+    return F.col("history").bitwiseAND(F.lit(WIDE ** (order - 2) - 1))
+
+
+def _valued(levels: list[DataFrame], langs: list[str]) -> tuple[list[DataFrame], dict[str, float]]:
+    """``levels`` with each gram's discounted share and the weight of the lower order behind its history; and that weight of order 1 by language."""
+    each = [x.where("n > 0").select("lang", F.lit(order).alias("order"), "n") for order, x in enumerate(levels, 1)]
+    some = lambda which: F.sum(F.when(which, 1).otherwise(0))
+    sums = reduce(DataFrame.union, each).groupBy("lang", "order").agg(F.sum("n").alias("total"), some(F.col("n") > 2).alias("more"), *[some(F.col("n") == k).alias(f"t{k}") for k in (1, 2, 3, 4)])
+    tally = {(r["lang"], r["order"]): r for r in sums.collect()}  # ORDER rows a language
+    nothing = dict.fromkeys(("total", "more", "t1", "t2", "t3", "t4"), 0)
+    by = lambda value: F.create_map(*[F.lit(x) for lang in langs for x in (lang, value[lang])])[F.col("lang")]
+    out, base = [], {}
+    for order, level in enumerate(levels, 1):
+        t = {lang: tally.get((lang, order), nothing) for lang in langs}
+        cuts = {lang: _cuts([x[f"t{k}"] for k in (1, 2, 3, 4)]) for lang, x in t.items()}
+        d = [by({lang: x[k] for lang, x in cuts.items()}) for k in range(3)]
+        if order == 1:
+            base = {lang: sum(c * x[k] for c, k in zip(cuts[lang], ("t1", "t2", "more"))) / x["total"] if x["total"] else 1.0 for lang, x in t.items()}
+            total, weight = by({lang: x["total"] for lang, x in t.items()}), by(base)
+        else:
+            total = F.col("total")
+            weight = F.when(total > 0, (d[0] * F.col("ones") + d[1] * F.col("twos") + d[2] * F.col("more")) / total).otherwise(1.0)  # an unseen history says nothing
+        own = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        out.append(level.withColumns({"share": F.when(F.col("n") > 0, (F.col("n") - own) / total).otherwise(0.0), "weight": weight}))
+    return out, base
+
+
+def _cuts(t: list[int]) -> list[float]:
+    """Discounts of grams that are there once, twice and more often, from how many are there once to four times."""
+    y = t[0] / (t[0] + 2 * t[1]) if t[0] + 2 * t[1] else 0.5
+    return [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) if t[k - 1] else 0.5 * k for k in (1, 2, 3)]
+
+
+def _frequent(valued: list[DataFrame], base: dict[str, float], langs: list[str]) -> list[list[tuple[np.ndarray, ...]]]:
+    """(language's number, place, value) of shares and weights of each order, of frequent characters only: at most as many as there are such grams."""
+    number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
+    parts = []
+    for order, df in enumerate(valued, 1):
+        plain = [F.expr(f"code div {SYMBOLS**k} % {SYMBOLS} != {ESCAPE}") for k in range(order)]
+        share = F.when(reduce(Column.__and__, plain) & (F.col("n") > 0), F.col("share"))
+        weight = F.when(reduce(Column.__and__, plain[1:]) & F.col("lead") & (F.col("total") > 0), F.col("weight")) if order > 1 else F.lit(None)
+        parts.append(df.select(F.lit(order).cast("byte").alias("order"), number.cast("byte").alias("k"), "code", share.cast("float").alias("share"), weight.cast("float").alias("weight")).where("share is not null or weight is not null"))
+    table = reduce(DataFrame.union, parts).toArrow()
+    order, out = table.column("order").to_numpy(), []
+    for o in range(1, ORDER + 1):
+        own = table.filter(pa.array(order == o))
+        k, code = own.column("k").to_numpy(), own.column("code").to_numpy()
+        share, weight = (own.column(x).to_numpy() for x in ("share", "weight"))
+        has = [~np.isnan(share), ~np.isnan(weight)]
+        weights = (k[has[1]], code[has[1]] // SYMBOLS, weight[has[1]]) if o > 1 else (np.arange(len(langs)), np.zeros(len(langs), np.int64), np.array([base[x] for x in langs], np.float32))
+        out.append([(k[has[0]], code[has[0]], share[has[0]]), weights])
+    return out
 
 
-def _asked(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(lang, gram, log) of different (lang, gram): each order's share and weight joined to it, ``LOG_UNIT``s to one."""
-    now, p = grams, F.lit(1 / SIZE)
-    for order, (shares, gammas) in enumerate(levels, 1):
-        own = F.expr(f"cast(gram % {WIDE ** order}BD as decimal(26,0))")
-        now = now.withColumn("own", own).withColumn("before", F.expr(f"own div {WIDE}"))
-        now = now.join(shares.select("lang", F.col("at").cast("decimal(26,0)").alias("own"), F.col("value").alias("share")), ["lang", "own"], "left")
-        now = now.join(gammas.select("lang", F.col("at").alias("before"), F.col("value").alias("weight")), ["lang", "before"], "left")
-        p = F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * (p if order == 1 else F.col("p"))
-        now = now.select("lang", "gram", p.alias("p"))
-    return now.select("lang", "gram", F.round(F.log("p") * LOG_UNIT).cast("long").alias("log"))
+def _asked(valued: list[DataFrame]) -> DataFrame:
+    """(lang, history, symbol, log) of grams with an escaped character, ``LOG_UNIT``s to one: each order's probability joined to the next one's grams."""
+    for order, level in enumerate(valued, 1):
+        if order == 1:
+            now = level.select("lang", "history", "symbol", (F.col("share") + F.col("weight") / SIZE).alias("p"))
+            continue
+        if order == ORDER:
+            level = level.where(reduce(Column.__or__, [F.expr(f"code div {SYMBOLS**k} % {SYMBOLS} = {ESCAPE}") for k in range(order)]))
+        lower = now.select("lang", F.col("history").alias("rest"), "symbol", F.col("p").alias("lower"))
+        now = level.withColumn("rest", _rest(order)).join(lower, ["lang", "rest", "symbol"]).select("lang", "history", "symbol", (F.col("share") + F.col("weight") * F.col("lower")).alias("p"))
+    return now.select("lang", "history", "symbol", F.round(F.log("p") * LOG_UNIT).cast("long").alias("log"))
 
 
 def _wide_scorer(tables, logs):
@@ -345,7 +438,7 @@ def _wide_scorer(tables, logs):
                     found.append((rows[np.searchsorted(starts, ends, "right") - 1], *_packed(wide, ends)))
                 (owner, history, symbol), n = _tally(*[np.concatenate(x) for x in zip(*found)])
                 at = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int64))) for x in (history, symbol, n)]
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(kind))) for x, kind in ((history, np.int64), (symbol, np.int32), (n, np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), pa.array(count), batch.column(3), *lists], names=["doc_id", "lang", "total", "n_chars", "trusted", "history", "symbol", "n"])
 
     return scored
@@ -385,7 +478,7 @@ def _scored(marked: DataFrame, langs: list[str], spelled: bool) -> DataFrame:
     characters = marked.select("lang", "text").mapInArrow(_characters, "lang string, point int, n long").groupBy("lang", "point").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "point"))
     alphabet: dict[str, list[int]] = {x: [] for x in langs}
-    for r in characters.withColumn("k", rank).where(F.col("k") <= DIGITS).orderBy("lang", "k").collect():  # SYMBOLS rows a language at most
+    for r in sorted(characters.withColumn("k", rank).where(F.col("k") <= DIGITS).collect(), key=lambda r: r["k"]):  # SYMBOLS rows a language at most
         alphabet[r["lang"]].append(r["point"])
     own = _symbol_tables(alphabet)
     tables = spark.sparkContext.broadcast(own)
@@ -393,13 +486,12 @@ def _scored(marked: DataFrame, langs: list[str], spelled: bool) -> DataFrame:
         counts = marked.where("trusted = 1").select("lang", "text").mapInArrow(_counter(tables), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         logs = spark.sparkContext.broadcast(log_tables(cut(counts), langs))
         return cut(marked.select("doc_id", "lang", "text", "trusted").mapInArrow(_scorer(tables, logs), "doc_id long, lang string, perplexity double, n_chars long, trusted int"))
-    gram = (F.col("history").cast("decimal(19,0)") * F.lit(WIDE).cast("decimal(7,0)") + F.col("symbol").cast("decimal(7,0)")).cast("decimal(26,0)").alias("gram")
-    counts = marked.where("trusted = 1").select("lang", "text").mapInArrow(_wide_counter(tables), "lang string, history long, symbol long, n long").groupBy("lang", "history", "symbol").agg(F.sum("n").alias("n"))
-    levels = [[cut(x) for x in level] for level in kneser_ney(cut(counts.select("lang", gram, "n")), WIDE)]
-    logs = spark.sparkContext.broadcast(_filled(_frequent(levels, langs, own), langs, SIZE, 1e-30))
-    rows = cut(marked.select("doc_id", "lang", "text", "trusted").mapInArrow(_wide_scorer(tables, logs), "doc_id long, lang string, total double, n_chars long, trusted int, history array<long>, symbol array<long>, n array<long>")).withColumn("row", F.monotonically_increasing_id())
-    rare = rows.select("row", "lang", F.explode(F.arrays_zip("history", "symbol", "n")).alias("g")).select("row", "lang", "g.*").select("row", "lang", gram, "n")
-    sums = rare.join(_asked(rare.select("lang", "gram").distinct(), levels), ["lang", "gram"]).groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("log"))
+    counts = marked.select("lang", "text", (F.col("trusted") == 1).cast("int").alias("once")).mapInArrow(_gram_counter(tables), "lang string, history long, symbol int, code int, n long")
+    valued, base = _valued(_levels(counts), langs)
+    logs = spark.sparkContext.broadcast(_filled(_frequent(valued, base, langs), langs, SIZE, 1e-30))
+    rows = cut(marked.select("doc_id", "lang", "text", "trusted").mapInArrow(_wide_scorer(tables, logs), "doc_id long, lang string, total double, n_chars long, trusted int, history array<long>, symbol array<int>, n array<int>")).withColumn("row", F.monotonically_increasing_id())
+    rare = rows.select("row", "lang", F.explode(F.arrays_zip("history", "symbol", "n")).alias("g")).select("row", "lang", "g.*")
+    sums = rare.join(_asked(valued), ["lang", "history", "symbol"]).groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("log"))
     total = F.col("total") + F.coalesce(F.col("log") / LOG_UNIT, F.lit(0.0))
     perplexity = F.when((F.col("n_chars") > 0) & ~F.isnan("total"), F.exp(-total / (F.col("n_chars") + 1)))
     return cut(rows.drop("history", "symbol", "n").join(sums, "row", "left").select("doc_id", "lang", perplexity.alias("perplexity"), "n_chars", "trusted"))
@@ -410,10 +502,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     ``spelled``: a smaller model without joins, which knows of a rare character only its spelling, not what stands before and behind it.
     """
-    trusted = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("q")).where("q >= 0.5").select("doc_id", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT_OF)) == 0, 2).otherwise(1).alias("trusted"))
+    trusted = cut(labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("q")).where("q >= 0.5").select("doc_id", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT_OF)) == 0, 2).otherwise(1).alias("trusted")))
     few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("other")).alias("lang"), F.col(text).cast("string").alias("text"))
-    marked = slim.join(F.broadcast(trusted) if few else trusted, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(0)))  # 0: not trusted, 1: counted, 2: held out
+    marked = slim.join(F.broadcast(trusted.coalesce(8)) if few else trusted, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(0)))  # 0: not trusted, 1: counted, 2: held out
     known = [r["lang"] for r in marked.where("trusted > 0").groupBy("lang").count().where(F.col("count") >= LEAST_TRUSTED).orderBy("lang").collect()]  # languages
     parts = []
     for at in range(0, len(known), LANGUAGES_AT_ONCE):

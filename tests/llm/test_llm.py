@@ -274,6 +274,57 @@ def test_rare_characters_are_histories_too(spark):
     assert got[1] == got[40]
 
 
+@pytest.mark.parametrize("tallied", [10, 1 << 18])
+def test_grams_of_all_characters_against_plain_python(monkeypatch, tallied):
+    """Every gram of counted texts, and 0 times those with a rare character that only other texts have."""
+    monkeypatch.setattr(quality_lm, "TALLIED", tallied)
+    rng = random.Random(26)
+    table = quality_lm._symbol_tables({"x": [ord(c) for c in "ab é中"]})["x"]
+    texts = ["", None, "a", "中文 \U0001f600b"] + ["".join(rng.choice("ab é中文字\U0001f600Z") for _ in range(rng.randrange(30))) for _ in range(60)]
+    once = [k % 3 == 0 for k in range(len(texts))]
+    want = collections.Counter()
+    for t, counted in zip(texts, once):
+        line = [quality_lm.EDGE] * 3 + [ord(c) for c in t or ""] + [quality_lm.EDGE]
+        for k in range(3, len(line)):
+            g = tuple(line[k - 3 : k + 1])
+            codes = tuple(0 if c == quality_lm.EDGE else int(table[c]) if c < len(table) else 1 for c in g)
+            if counted or 1 in codes:
+                want[g, codes] += counted
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x"] * 8), pa.array(texts[k : k + 8]), pa.array([int(x) for x in once[k : k + 8]])], names=["lang", "text", "once"]) for k in range(0, len(texts), 8)]
+    got = collections.Counter()
+    for b in quality_lm._gram_counter(type("Value", (), {"value": {"x": table}}))(iter(batches)):
+        for r in b.to_pylist():
+            g = (*(r["history"] >> 21 * k & (1 << 21) - 1 for k in (2, 1, 0)), r["symbol"])
+            got[g, tuple(r["code"] // 48**k % 48 for k in (3, 2, 1, 0))] += r["n"]
+    assert got == want and set(got) == set(want) and 0 in want.values()
+
+
+def test_tasks_of_the_quality_model_grow_slowly_with_partitions(spark):
+    """Each task of an exchange leaves files however few its rows are, so they have to be few for each shuffle partition."""
+    rng = random.Random(27)
+    docs = documents(spark, [prose(rng, 40) + rng.choice("ÄÖÜ中文字") for _ in range(100)])
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
+    tracker, conf = spark.sparkContext.statusTracker(), {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def job() -> int:
+        spark.sparkContext.setJobGroup(name := f"tasks-{rng.random()}", "")
+        spark.sparkContext.parallelize([1], 1).count()
+        return max(tracker.getJobIdsForGroup(name))
+
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        first = job()
+        assert quality_lm.classify(docs, labels).count() == 100
+        last = job()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in range(first + 1, last) for s in tracker.getJobInfo(j).stageIds}
+    assert 40 < sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 50 * 40
+
+
 def test_every_language_has_a_model(spark, monkeypatch):
     """Ten languages, six at a time, one of them of a script with hundreds of characters; one without enough trusted texts."""
     monkeypatch.setattr(quality_lm, "LANGUAGES_AT_ONCE", 6)
