@@ -231,9 +231,10 @@ def _gram_counter(tables):
                 for (lang, once), rows in _rows_by(pc.make_struct(batch.column(0), batch.column(2), field_names=["lang", "once"])).items():
                     wide, symbols, _, dense, ends = _wide(batch.column(1).take(pa.array(rows)), own[lang])
                     if once:
-                        total = sums.setdefault(lang, np.zeros(SYMBOLS**ORDER, np.int32))
+                        if lang not in sums:
+                            sums[lang] = np.zeros(SYMBOLS**ORDER, np.int32)
                         for first, number in _windows(symbols):
-                            total += np.bincount(number[dense[first : first + len(number)]], minlength=len(total)).astype(np.int32)
+                            np.add.at(sums[lang], number[dense[first : first + len(number)]], np.int32(1))  # a text has far fewer grams than there can be
                     parts = rare.setdefault(lang, [])
                     for at in range(0, len(ends), 100_000):
                         keys, n = _tally(*_packed(wide, ends[at : at + 100_000]))
